@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, external_shuffle, packing
+from . import byte_bpe, exact_dedup, external_shuffle, kmeans_tree, licenses, packing, quote_linking, toxicity
 from .common import table, text_or_empty
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = external_shuffle.external_shuffle(table(spark, sf_dir, "documents"), shards=16)
     text = text_or_empty(F.col("row.text"))
@@ -24,6 +28,10 @@ def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
@@ -44,6 +52,18 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    doc_id = F.col("row.doc_id")
+    return toxicity.scored(docs, model).select(
+        doc_id.alias("doc_id"),
+        (toxicity.fold(doc_id) == toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.with_crc(pieces).select(
@@ -51,6 +71,10 @@ def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_linking.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,10 +88,18 @@ def op10_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_kmeans_tree": op1_kmeans_tree,
     "op2_external_shuffle": op2_external_shuffle,
+    "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_sum_of_squares": op8_sum_of_squares,
+    "op9_quote_linking": op9_quote_linking,
     "op10_bitmap_bpe": op10_bitmap_bpe,
 }
 
-ORACLE = {"op4_exact_dedup": OP4_SQL}
+ORACLE = {
+    "op3_license_scan": licenses.oracle_sql(),
+    "op4_exact_dedup": OP4_SQL,
+    "op9_quote_linking": quote_linking.ORACLE_SQL,
+}
