@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, external_shuffle, kmeans_tree, licenses, packing, quote_linking, toxicity
+from . import byte_bpe, exact_dedup, external_shuffle, kmeans_tree, licenses, packing, prefix_join, quote_linking, toxicity
 from .common import table, text_or_empty
 
 
@@ -52,6 +52,32 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+    SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)
+), reach AS (
+    SELECT a AS doc_id, b AS other FROM link
+    UNION
+    SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.other = link.a
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -92,6 +118,7 @@ QUERIES = {
     "op2_external_shuffle": op2_external_shuffle,
     "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_grouped_prefix_join": op6_grouped_prefix_join,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_quote_linking": op9_quote_linking,
@@ -101,5 +128,6 @@ QUERIES = {
 ORACLE = {
     "op3_license_scan": licenses.oracle_sql(),
     "op4_exact_dedup": OP4_SQL,
+    "op6_grouped_prefix_join": OP6_SQL,
     "op9_quote_linking": quote_linking.ORACLE_SQL,
 }
