@@ -1,10 +1,67 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: toxicity, exact dedup, near-duplicate documents, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. Stages but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerspark.llm import compact_windows, exact_dedup, packing, prefix_join, toxicity
+from ledgerspark.llm.common import staged, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go."""
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays."""
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
+    found = prefix_join.similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(staged(found, "near-copies"), "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut; n_chars follows; a document of which nothing is left goes."""
+    rows = compact_windows.without_repeats(docs)
+    own = [c for c in docs.columns if c not in ("text", "n_chars")]
+    text = F.when(F.col("cut"), F.col("text")).otherwise(F.col("row.text"))
+    n_chars = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    changed = rows.where(~F.col("cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return changed.select(*[F.col("row").getField(c).alias(c) for c in own], text.alias("text"), n_chars.alias("n_chars")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence."""
+    return packing.with_crc(packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("packing", pack),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, external_shuffle, kmeans_tree, licenses, packing, prefix_join, quote_linking, toxicity
+from . import byte_bpe, compact_windows, exact_dedup, external_shuffle, kmeans_tree, licenses, packing, prefix_join, quote_linking, toxicity
 from .common import table, text_or_empty
 
 
@@ -52,6 +52,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start_word", "end_word", "other_id", "other_start_word", "other_end_word", "similarity", F.md5("passage").alias("passage_md5")
+    )
+
+
 def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -118,6 +124,7 @@ QUERIES = {
     "op2_external_shuffle": op2_external_shuffle,
     "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_compact_windows": op5_compact_windows,
     "op6_grouped_prefix_join": op6_grouped_prefix_join,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_sum_of_squares": op8_sum_of_squares,
