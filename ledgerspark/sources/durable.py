@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in ``spark.checkpoint.dir``: short lineage, and no executor holds the only copy. Without that setting (tests)
-    a temporary folder is used."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='ledgerspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: short lineage, and no executor holds the only copy."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     path = f"{folder}/written/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
