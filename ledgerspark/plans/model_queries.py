@@ -114,11 +114,19 @@ def node_embeddings(spark, sf_dir):
 
 
 def event_files(spark, sf_dir, parts: int = 4) -> str:
-    """The events as several files in time order, from which the streams read."""
+    """The events as several sets of files, written one after the other in time order: streams take older files first."""
     import uuid
 
     path = f"{shared_folder(spark)}/streams/events-{uuid.uuid4().hex}"
-    spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(path)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.datediff("ts", F.lit("1970-01-01"))
+    low, high = events.agg(F.min(day), F.max(day)).first()
+    if low is None:
+        events.write.parquet(path)
+        return path
+    step = -(-(high - low + 1) // parts)
+    for start in range(low, high + 1, step):
+        events.where(day.between(start, start + step - 1)).write.mode("append").parquet(path)
     return path
 
 
