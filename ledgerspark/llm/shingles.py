@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
