@@ -34,7 +34,7 @@ END_ID = 1
 #: Open windows per task; each holds less than one window of ids.
 MOST_OPEN = 4096
 BATCH_BYTES = 4 << 20
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 CACHED_LENGTH = 48
 
 SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
