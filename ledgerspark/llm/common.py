@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +41,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    began = time.time()
     df.write.parquet(path)
+    long = time.time() - began > 8
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    if long:
+        time.sleep(1)  # the cleaner works beside us; what follows a long step may need its disk
+    table = spark.read.schema(schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more, because what was made of it is itself staged."""
+    jvm, context = table.sparkSession._jvm, table.sparkSession._jsc
+    path = jvm.org.apache.hadoop.fs.Path(table.staged_path)
+    path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
