@@ -3,8 +3,10 @@
 A document is compared in units: each line, each block of several lines (blocks end at blank lines), and the whole text
 if it has several blocks. A unit's words are its runs of ASCII letters and digits in lower case; its bigrams are the set
 of adjacent word pairs. With a and b bigrams, Dice is at most 2*min(a, b)/(a + b), so a template can only reach the
-threshold t if b lies in [a*t/(2-t), a*(2-t)/t]; other templates are pruned before any intersection. The templates are a
-fixed, small array literal: there is no join and no shuffle, and rows are independent.
+threshold t if b lies in [a*t/(2-t), a*(2-t)/t]; other templates are pruned before any intersection. By the same bound a match
+shares at least b*t/(2-t) of a template's b bigrams, so a text without any of the template's telling words (chosen such that
+fewer bigrams than that remain without them) is passed over before it is cut into units. The templates are a fixed, small
+array literal: there is no join and no shuffle, and rows are independent.
 
 Defined results: null and empty texts, and units of under two words, match nothing; every template at or above the
 threshold is reported, so ties give one row each; repeated rows give repeated matches; texts are scanned whole.
@@ -12,6 +14,9 @@ threshold is reported, so ties give one row each; repeated rows give repeated ma
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +70,7 @@ TEMPLATES = {
 }
 
 WORD = "[A-Za-z0-9]+"
+_COMMON = {"a", "an", "and", "any", "by", "for", "in", "is", "of", "or", "the", "this", "to", "with"}
 BLOCK_END = r"\n[ \t\r]*\n"
 
 
@@ -89,6 +95,20 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(found, found[1:], strict=False)})
 
 
+def telling_words(templates: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every matching unit holds one, as parts of its lower-case text: long ones first, as few as will do."""
+    chosen: set[str] = set()
+    for pairs in templates.values():
+        needed = len(pairs) * threshold / (2 - threshold) - 1e-9
+        left = [p.split(" ") for p in pairs]
+        for word in sorted({w for p in left for w in p}, key=lambda w: (w not in chosen, -len(w), w in _COMMON, w)):
+            if len(left) < needed:
+                break
+            chosen.add(word)
+            left = [p for p in left if word not in p]
+    return sorted(w for w in chosen if not any(len(o) > 3 and o != w and o in w for o in chosen))
+
+
 def license_matches(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
@@ -122,10 +142,19 @@ def license_matches(
         numbered("text", F.array(text), lambda x: x.rlike(BLOCK_END)),
     )
     # A unit of w words has at most w - 1 bigrams and repeats can only lower that, so only the lower bound prunes by words.
+    telling = telling_words(known, threshold)
+
+    def told(x: Column) -> Column:
+        long = [F.lower(x).contains(w) for w in telling if len(w) > 3]
+        short = [w for w in telling if len(w) <= 3]
+        return reduce(or_, long + ([x.rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])")] if short else []))
+
     found = (
         docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+        .where(told(text))
         .select("doc_id", F.explode(units).alias("u"))
         .select("doc_id", "u.*")
+        .where(told(F.col("unit_text")))
         .where(F.regexp_count("unit_text", F.lit(WORD)) > min(sizes) * low)
         .withColumn("found", bigrams(words(F.col("unit_text"))))
         .withColumn("unit_bigrams", F.size("found"))
