@@ -1,17 +1,17 @@
 """N-gram Jaccard self join of documents by grouped prefixes, and the components of its links.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes). Two sets with Jaccard similarity of at least 0.8
-share a shingle among the first n - ceil(0.8 n) + 1 of each, in any order that is the same for all. The order is rare
-shingles first: by a count sketch of fixed size over all documents, then by hash.
+share at least L shingles among the first n - ceil(0.8 n) + L of each (``COMMON`` = L; all of a set that is shorter), in any order that
+is the same for all. The order is rare shingles first: by a count sketch of fixed size over all documents, then by hash.
 
-1. ``nodes``: documents with equal sets are one node; nodes with the same size and the same prefix are one group. Postings
-   (shingle, group) are made once per group, so copies of a document, however many, count once.
+1. ``prefixes``, one pass over the texts: documents with equal sets are one node; nodes with the same size and the same prefix
+   are one group. Postings (shingle, group) are made once per group, so copies of a document, however many, count once.
 2. Shingles with one group only are dropped; what is left is written as a table.
-3. Star rounds: every group is paired with one group per round, that with which it shares most prefix shingles among the
-   first groups of their postings; pairs are expanded to nodes and verified exactly. Verified links are merged into
+3. Star rounds: every group is paired with one group per round, that with which it shares most prefix shingles (at least L) among
+   the first groups of their postings; pairs are expanded to nodes and verified exactly. Verified links are merged into
    components, and shingles whose groups are all in one component are dropped. This links large sets of near copies
    without emitting their pairs.
-4. Every pair of groups from different components that still shares a prefix shingle and passes the size filter is expanded
+4. Every pair of groups from different components that still shares L prefix shingles and passes the size filter is expanded
    and verified. No candidate is left out: pairs not looked at lie in one component already.
 
 Links are verified by integer arithmetic on whole sets. Nothing is collected but the sketch (fixed size).
@@ -23,9 +23,11 @@ links those of any of its texts; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
@@ -36,70 +38,62 @@ from pyspark.sql import functions as F
 from .byte_bpe import slices
 from .common import staged
 from .components import components
-from .shingles import mixed, shingle_set
+from .shingles import shingle_sequence, shingle_set, split_words, word_hashes
 
 #: Jaccard similarity as a percentage.
 PERCENT = 80
 #: Slots of the count sketch: its size, and that of the broadcast order (one byte a slot), whatever the input.
 SKETCH_BITS = 22
 STAR_ROUNDS = 2
+#: Shingles that two prefixes must share; every prefix is longer by COMMON - 1 for it.
+COMMON = 3
 _PART = 1 << 12
 
 
 def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many documents hold a shingle, by slot, on a logarithmic scale of 8 steps an octave; one byte per slot."""
+    """How often a shingle occurs in all documents, by slot, on a logarithmic scale of 8 steps an octave; one byte per slot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                found = [shingle_set(t) for t in texts]
+                found = [shingle_sequence(word_hashes(split_words(t))) for t in texts]
                 if found:
                     total += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        parts = total.reshape(-1, _PART)
+        parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, _PART)  # a slot over 255 in one task is frequent anyway
         at = np.flatnonzero(parts.any(axis=1))
-        task = TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId() % lanes_of
         for some in np.array_split(at, max(1, len(at) // 64)):
-            raw = [parts[i].astype("<u4").tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), task % 64), pa.int64()), pa.array(raw, pa.binary())], ["part", "lane", "counts"])
+            raw = [parts[i].tobytes() for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), task), pa.int64()), pa.array(raw, pa.binary())], ["part", "lane", "counts"])
 
-    def add(frames: Iterator) -> object:
-        import pandas as pd
-
-        part = lane = None
-        total = np.zeros(_PART, np.uint32)
-        for pdf in frames:
-            part, lane = pdf["part"].iloc[0], pdf["lane"].iloc[0]
+    def add(kind: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(_PART, np.uint32)
             for raw in pdf["counts"]:
-                total += np.frombuffer(raw, "<u4")
-        yield pd.DataFrame({"part": [part], "lane": [lane], "counts": [total.tobytes()]})
+                total += np.frombuffer(raw, kind)
+            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "lane": [0], "counts": [total.tobytes()]})
+
+        return run
 
     schema = "part long, lane long, counts binary"
-    lanes = docs.select("text").mapInArrow(count, schema)
-    summed = lanes.groupBy("part", "lane").applyInPandas(_iterated(add), schema)
-    summed = summed.withColumn("lane", F.lit(0).cast("long")).groupBy("part", "lane").applyInPandas(_iterated(add), schema)
+    texts = docs.select("text")
+    lanes_of = max(1, math.isqrt(texts.rdd.getNumPartitions()))  # two levels of sums, so that no group has more than the root of all tasks
+    lanes = texts.mapInArrow(count, schema)
+    summed = lanes.groupBy("part", "lane").applyInPandas(add("u1"), schema).groupBy("part").applyInPandas(add("<u4"), schema)
     total = np.zeros((1 << bits) // _PART * _PART, np.uint32).reshape(-1, _PART)
     for row in summed.select("part", "counts").collect():  # fixed size: one row per part of the sketch
         total[row["part"]] = np.frombuffer(row["counts"], "<u4")
     return np.minimum(8 * np.log2(1.0 + total.reshape(-1)), 255).astype(np.uint8)
 
 
-def _iterated(add):
-    """add() over one frame; at most one frame per lane and part arrives, of 16 KB a row."""
-
-    def run(pdf):
-        return next(iter(add(iter([pdf]))))
-
-    return run
-
-
 def prefix(found: np.ndarray, order: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first n - ceil(n * percent / 100) + 1 shingles of a set, rare ones first."""
+    """The first n - ceil(n * percent / 100) + COMMON shingles of a set, rare ones first; returned in hash order."""
     n = len(found)
-    length = n - -(-n * percent // 100) + 1
+    length = min(n, n - -(-n * percent // 100) + COMMON)
     bits = len(order).bit_length() - 1
-    rank = order[(found >> np.uint64(64 - bits)).astype(np.int64)]
-    return found[np.lexsort((found, rank))[:length]]
+    rank = order[(found >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
+    return found[np.sort(np.argpartition(rank, length - 1)[:length])]
 
 
 def _key(*arrays: np.ndarray) -> int:
@@ -110,43 +104,32 @@ def _key(*arrays: np.ndarray) -> int:
     return h.intdigest() - (1 << 63)
 
 
-def nodes(docs: DataFrame, order) -> DataFrame:
-    """doc_id, n (set size), node (one per different set), grp (one per size and prefix)."""
+def prefixes(docs: DataFrame, order) -> DataFrame:
+    """doc_id, n (set size), node (one per different set), grp (one per size and prefix), tokens (the prefix; null if the same batch
+    of documents has given this group's prefix already)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                sets = [shingle_set(t) for t in texts]
-                n = [len(s) for s in sets]
-                node = [_key(s) for s in sets]
-                group = [_key(prefix(s, order.value), np.array([len(s)])) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64())], ["doc_id", "n", "node", "grp"]
-                )
+                size, node, group, tokens, given = [], [], [], [], set()
+                for text in texts:
+                    found = shingle_set(text)
+                    size.append(len(found))
+                    node.append(_key(found))
+                    first = prefix(found, order.value) if len(found) else None
+                    key = _key(first, np.array([len(found)])) if len(found) else None
+                    group.append(key)
+                    tokens.append(first.view(np.int64) if key is not None and key not in given else None)
+                    given.add(key)
+                columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "grp", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, grp long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, grp long, tokens array<long>")
 
 
-def postings(docs: DataFrame, order) -> DataFrame:
-    """token, grp, n: the prefix of each document's group, once per batch of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in slices(batch, "text"):
-                found = {}
-                for t in texts:
-                    s = shingle_set(t)
-                    if len(s):
-                        first = prefix(s, order.value)
-                        found[_key(first, np.array([len(s)]))] = (first, len(s))
-                if found:
-                    size = [len(p) for p, _ in found.values()]
-                    token = np.concatenate([p for p, _ in found.values()]).view(np.int64)
-                    grp = np.repeat(np.array(list(found), np.int64), size)
-                    n = np.repeat(np.array([n for _, n in found.values()], np.int64), size)
-                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(grp), pa.array(n)], ["token", "grp", "n"])
-
-    return docs.select("text").mapInArrow(run, "token long, grp long, n long")
+def _enough(common: str, a: str, b: str, percent: int):
+    """COMMON shared shingles, or the whole overlap that the sizes ask for where that is less."""
+    return F.col(common) >= F.least(F.lit(COMMON), F.ceil(F.greatest(a, b) * percent / 100))
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -165,7 +148,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
             b_id = batch.column("b").to_pylist()
             keep = []
             for i, (ta, tb) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
-                if b_id[i] != seen:  # rows come sorted by b, so the set of a star's centre is made once
+                if b_id[i] != seen:  # mostly sorted by b: the set of a star's centre is made once
                     seen, last = b_id[i], shingle_set(tb.as_py())
                 own = shingle_set(ta.as_py())
                 shared = len(np.intersect1d(own, last, assume_unique=True))
@@ -181,16 +164,18 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, star_rounds: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(sketch(docs))
-    table = staged(nodes(docs, order), "nodes")
+    found = staged(prefixes(docs, order), "prefixes")
+    table = found.drop("tokens")
     member = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("grp").alias("grp"))
     member = staged(member, "members")
 
-    listed = postings(docs, order)
+    listed = found.select(F.explode("tokens").alias("token"), "grp", "n")
     often = listed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
     shared = staged(listed.join(often, "token").groupBy("token", "grp").agg(F.min("n").alias("n")), "postings")
 
-    # Texts of nodes that can have links: a group that shares a shingle, or that has several nodes.
-    live = shared.select("grp").union(member.groupBy("grp").count().where("count > 1").select("grp")).distinct()
+    # Texts of nodes that can have links: their group shares enough shingles with others, or has several nodes.
+    some = shared.groupBy("grp").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("common")).where(_enough("common", "n", "n", percent))
+    live = some.select("grp").union(member.groupBy("grp").count().where("count > 1").select("grp")).distinct()
     wanted = member.join(live, "grp", "left_semi").select("doc_id", "node")
     texts = staged(_texts_of(docs, wanted), "texts")
 
@@ -219,7 +204,9 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             mask = pa.array([_key(shingle_set(t.as_py())) == k for k, t in zip(node, batch.column("text"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("node", "text")], ["node", "text"])
 
-    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    # Repeated rows go before the partitioning by doc_id is lost, so this needs no shuffle of its own.
+    joined = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"])
+    return joined.select("node", "text").mapInArrow(run, "node long, text string")
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -247,7 +234,7 @@ def _stars(rows: DataFrame, label: DataFrame, turn: int, percent: int) -> DataFr
         "token", F.col("c.grp").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("centre_component")
     )
     near = rows.join(centre, "token").where((F.col("component") != F.col("centre_component")) & _sizes_fit("n", "m", percent))
-    counted = near.groupBy("grp", "centre").agg(F.count(F.lit(1)).alias("common"))
+    counted = near.groupBy("grp", "centre", "n", "m").agg(F.count(F.lit(1)).alias("common")).where(_enough("common", "n", "m", percent))
     chosen = counted.groupBy("grp").agg(F.max_by("centre", F.struct("common", "centre")).alias("centre"))
     centre_node = label.groupBy("grp").agg(F.min("node").alias("b")).withColumnRenamed("grp", "centre")
     return chosen.join(centre_node, "centre").join(label.select("grp", F.col("node").alias("a")), "grp").select("a", "b")
@@ -257,7 +244,8 @@ def _rest(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes of different components whose groups share a shingle and whose sizes fit."""
     left = rows.select("token", F.col("grp").alias("grp_a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
     right = rows.select("token", F.col("grp").alias("grp_b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    groups = left.join(right, "token").where((F.col("of_a") < F.col("of_b")) & _sizes_fit("n_a", "n_b", percent)).select("grp_a", "grp_b").distinct()
+    groups = left.join(right, "token").where((F.col("of_a") < F.col("of_b")) & _sizes_fit("n_a", "n_b", percent))
+    groups = groups.groupBy("grp_a", "grp_b", "n_a", "n_b").agg(F.count_distinct("token").alias("common")).where(_enough("common", "n_a", "n_b", percent)).select("grp_a", "grp_b")
     of = lambda c: label.select(F.col("grp").alias(f"grp_{c}"), F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     across = groups.join(of("a"), "grp_a").join(of("b"), "grp_b").where("of_a <> of_b").select("a", "b")
     within = label.join(label.select("grp", F.col("node").alias("b"), F.col("component").alias("of_b")), "grp")
