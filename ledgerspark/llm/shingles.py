@@ -49,6 +49,22 @@ def shingle_sequence(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return mixed(total, width)
 
 
+def run_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of ``width`` values, by doubling; nothing if there are fewer."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total, done, piece, span, power = np.zeros(n, np.uint64), 0, values, 1, int(_MULTIPLIER)
+    while done < width:
+        if width & span:
+            total = total * np.uint64(power) + piece[done : done + n]
+            done += span
+        if done < width:
+            piece = piece[:-span] * np.uint64(power) + piece[span:]
+            span, power = 2 * span, power * power & 0xFFFFFFFFFFFFFFFF
+    return mixed(total, width)
+
+
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of a text, sorted."""
     return np.unique(shingle_sequence(word_hashes(split_words(text)), width))

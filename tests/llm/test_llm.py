@@ -192,6 +192,36 @@ def test_passages_are_found_and_cut(docs, odd):
     assert compact_windows.repeated_passages(odd.limit(0)).count() == 0
 
 
+def sequence(words):
+    return shingles.shingle_sequence(shingles.word_hashes([w.encode() for w in words]))
+
+
+def test_passages_with_repeated_lines_are_verified():
+    r = random.Random(11)
+    passage, line, noise = prose(r, 60), prose(r, 6), prose(r, 20)
+    passage[27:33] = line
+    found = compact_windows.matched_stretches(sequence(noise + passage + prose(r, 20)), sequence(line + prose(r, 14) + passage))
+    assert [(a, b + 4, c, d + 4) for a, b, c, d, _ in found] == [(20, 80, 20, 80)]
+    # A stray common line close to an edited passage is trimmed away.
+    edited = passage[:15] + ["edit"] + passage[16:]
+    stray = prose(r, 5)
+    found = compact_windows.matched_stretches(sequence(stray + prose(r, 2) + edited + prose(r, 20)), sequence(stray + prose(r, 60) + passage))
+    assert [(a, b + 4, c, d + 4) for a, b, c, d, _ in found] == [(7, 67, 65, 125)]
+
+
+def test_runs_of_equal_shingles_are_passages():
+    r = random.Random(12)
+    for _ in range(60):
+        few = prose(r, 30)
+        a, b = [r.choice(few) for _ in range(150)], [r.choice(few[:3]) for _ in range(150)]
+        if r.random() < 0.5:
+            a, b = [few[i % 7] for i in range(120)], [few[i % 7] for i in range(90)]
+        b[20:80] = a[30:90]
+        b[:20] = b[40:60]
+        covered = {x for i, j, *_ in compact_windows.matched_stretches(sequence(a), sequence(b)) for x in range(i, j)}
+        assert covered >= set(range(30, 86))
+
+
 # 6: near copies
 
 
