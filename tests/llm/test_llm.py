@@ -192,6 +192,24 @@ def test_passages_are_found_and_cut(docs, odd):
     assert compact_windows.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_every_word_for_word_passage_is_linked(docs):
+    """All passages share a phrase that the first documents hold without the passage; every 50-word run is checked by brute force."""
+    r = random.Random(6)
+    phrase, passages = prose(r, 30), [(prose(r, 12), prose(r, 12)) for _ in range(6)]
+    rows = [(i, " ".join(prose(r, 60) + phrase + prose(r, 60))) for i in range(1, 9)]
+    for i in range(9, 40):
+        before, after = passages[r.randrange(6)]
+        rows.append((i, " ".join(prose(r, 60) + before + phrase + after + prose(r, 40))))
+    want, held = set(), {}
+    for i, t in rows:
+        words = t.split()
+        for at in range(len(words) - 49):
+            if held.setdefault(tuple(words[at : at + 50]), i) < i:
+                want |= {(i, x) for x in range(at, at + 50)}
+    got = {(x["doc_id"], w) for x in compact_windows.repeated_passages(docs(rows)).collect() for w in range(x["start_word"], x["end_word"])}
+    assert len({i for i, _ in want}) == 25 and want <= got
+
+
 def sequence(words):
     return shingles.shingle_sequence(shingles.word_hashes([w.encode() for w in words]))
 
