@@ -1,4 +1,5 @@
-"""Queries of payment networks, with their SQL. Path patterns look at larger amounts, in query and SQL alike."""
+"""Queries of payment networks, with their SQL. Path patterns, and the other queries whose SQL does,
+look at larger amounts, in query and SQL alike; queries without SQL look at all edges."""
 
 from __future__ import annotations
 
@@ -69,7 +70,7 @@ def hits(spark, sf_dir):
 
 @query()
 def kcore(spark, sf_dir):
-    return graph.kcore(large_pairs(spark, sf_dir))
+    return graph.kcore(pairs(spark, sf_dir))
 
 
 @query(f"WITH {EDGES} SELECT a.src AS node, least(count(DISTINCT b.dst), 200) AS reach FROM pairs a JOIN pairs b ON a.dst = b.src WHERE b.dst <> a.src GROUP BY 1")
@@ -84,7 +85,7 @@ def cycle_flag(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    label = graph.label_propagation(large_pairs(spark, sf_dir))
+    label = graph.label_propagation(pairs(spark, sf_dir))
     size = label.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
     return label.join(size, "community").select("node", "community", "size")
 
@@ -97,7 +98,7 @@ def scc(spark, sf_dir):
 @query()
 def size_distribution(spark, sf_dir):
     """How many components have each size."""
-    size = graph.strong_components(large_pairs(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    size = graph.strong_components(pairs(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return size.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
@@ -107,24 +108,24 @@ def supernodes(spark, sf_dir):
 
 
 def seeds(spark, sf_dir) -> DataFrame:
-    """One case per suspicious transaction over 150: its account and time."""
-    bad = t.txn_events(spark, sf_dir).where("is_suspicious = 1 and abs_amount > 150")
+    """One case per suspicious transaction: its account and time."""
+    bad = t.txn_events(spark, sf_dir).where("is_suspicious = 1")
     return bad.select(F.col("transaction_id").alias("case_id"), F.col("account_id").alias("node"), F.col("us").alias("at_us"))
 
 
 @query()
 def bounded_traversal(spark, sf_dir):
     hub = hubs(spark, sf_dir).where("is_hub").select("node")
-    return graph.bounded_traversal(large(spark, sf_dir), seeds(spark, sf_dir), hub)
+    return graph.bounded_traversal(edges(spark, sf_dir), seeds(spark, sf_dir), hub)
 
 
 @query()
 def case_subgraph(spark, sf_dir):
     """Edges of each case between nodes that the traversal reached, with hub marks."""
     hub = hubs(spark, sf_dir).where("is_hub").select(F.col("node").alias("dst"), F.lit(True).alias("hub_edge"))
-    found = graph.bounded_traversal(large(spark, sf_dir), seeds(spark, sf_dir), hub.select(F.col("dst").alias("node")), hops=2)
+    found = graph.bounded_traversal(edges(spark, sf_dir), seeds(spark, sf_dir), hub.select(F.col("dst").alias("node")), hops=2)
     a, b = found.select("case_id", F.col("node").alias("src")), found.select("case_id", F.col("node").alias("dst"))
-    inside = a.join(large_pairs(spark, sf_dir), "src").join(b, ["case_id", "dst"])
+    inside = a.join(pairs(spark, sf_dir), "src").join(b, ["case_id", "dst"])
     return inside.join(hub, "dst", "left").select("case_id", "src", "dst", F.coalesce("hub_edge", F.lit(False)).alias("hub_edge"))
 
 
