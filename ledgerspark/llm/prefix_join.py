@@ -1,24 +1,28 @@
 """N-gram Jaccard self join of documents by grouped prefixes, and the components of its links.
 
-A document is the set of its distinct 5-word shingles (64-bit hashes). Two sets with Jaccard similarity of at least 0.8
-share at least L shingles among the first n - ceil(0.8 n) + L of each (``COMMON`` = L; all of a set that is shorter), in any order that
-is the same for all. The order is rare shingles first: by a count sketch of fixed size over all documents, then by hash.
+A document is the set of its distinct 5-word shingles (64-bit hashes). A prefix is the first n - ceil(0.8 n) + L shingles of a set
+(``COMMON`` = L; all of a shorter set) in an order that is the same for all: rare shingles first, by a count sketch of fixed
+size over all documents, then by hash. Two sets of n and m shingles with Jaccard similarity of at least 0.8 share at least
+o = ceil((n + m) 0.8 / 1.8) shingles, and at least o - ceil(0.8 max(n, m)) + L of them lie in both prefixes (``needed``).
 
-1. ``prefixes``, one pass over the texts: documents with equal sets are one node; nodes with the same size and the same prefix
-   are one group. Postings (shingle, group) are made once per group, so copies of a document, however many, count once.
+1. ``prefixes``, one pass over the texts: documents with equal sets are one node (128-bit hash), named by its smallest
+   doc_id; nodes with the same size and the same prefix are one group. Postings (shingle, group) are made once per group.
 2. Shingles with one group only are dropped; what is left is written as a table.
-3. Star rounds: every group is paired with one group per round, that with which it shares most prefix shingles (at least L) among
-   the first groups of their postings; pairs are expanded to nodes and verified exactly. Verified links are merged into
-   components, and shingles whose groups are all in one component are dropped. This links large sets of near copies
-   without emitting their pairs.
-4. Every pair of groups from different components that still shares L prefix shingles and passes the size filter is expanded
-   and verified. No candidate is left out: pairs not looked at lie in one component already.
-
-Links are verified by integer arithmetic on whole sets. Nothing is collected but the sketch (fixed size).
-
-Defined results: rows without an id are dropped; null and empty texts have an empty set, no links, and are their own
-component; under five words the whole sequence is one shingle; rows that repeat an id are rows of one document, its
-links those of any of its texts; an empty table gives an empty result; other columns are ignored.
+3. Star rounds: for every shingle a centre is named, first the group whose set has the most common shingles (of near copies
+   that is the original, or close to it), then one by hash. A group is paired with the centre that it shares most
+   prefix shingles with, if these are enough; pairs are expanded to nodes and verified. Verified links are merged into
+   components, and shingles whose groups are all in one component are dropped. Rows stay in proportion to the postings.
+4. Every pair of groups from different components that can still be similar is found by a second prefix filter, now with exact
+   counts: for each class of partner sizes a group posts its rarest open shingles, all but as many as every partner of that class must
+   share less one. Shared open shingles of a pair are then counted, and enough of them lead to verification. Nothing is left
+   out: pairs not looked at lie in one component already, or share too few shingles.
+
+Links are verified by integer arithmetic on whole sets. Nothing is collected but the sketch (fixed size; the more it is filled, the
+less rare shingles differ in it, which costs candidates, never links).
+
+Defined results: every row gives a row; rows without an id have no component and no links; null and empty texts have an empty set,
+no links, and are their own component; under five words the whole sequence is one shingle; rows that repeat an id are
+rows of one document, its links those of any of its texts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
@@ -47,6 +51,8 @@ SKETCH_BITS = 22
 STAR_ROUNDS = 2
 #: Shingles that two prefixes must share; every prefix is longer by COMMON - 1 for it.
 COMMON = 3
+#: Sizes of one class differ by less than this factor.
+SIZE_STEP = 1.05
 _PART = 1 << 12
 
 
@@ -105,35 +111,48 @@ def _key(*arrays: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, order) -> DataFrame:
-    """doc_id, n (set size), node (one per different set), grp (one per size and prefix), tokens (the prefix; null if the same batch
-    of documents has given this group's prefix already)."""
+    """doc_id, text_key, n (set size), high and low (128 bits of the set), grp (one per size and prefix), common (how frequent the set's
+    shingles are on average), tokens (the prefix; null if the same batch of documents has given this group's prefix already)."""
+    names = ["doc_id", "text_key", "n", "high", "low", "grp", "common", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - (len(order.value).bit_length() - 1))
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                size, node, group, tokens, given = [], [], [], [], set()
-                for text in texts:
+                size, whole, group, common, tokens, given = [], [], [], [], [], set()
+                for text, named in zip(texts, part.column("doc_id").is_valid().to_pylist(), strict=True):
                     found = shingle_set(text)
                     size.append(len(found))
-                    node.append(_key(found))
-                    first = prefix(found, order.value) if len(found) else None
-                    key = _key(first, np.array([len(found)])) if len(found) else None
-                    group.append(key)
-                    tokens.append(first.view(np.int64) if key is not None and key not in given else None)
-                    given.add(key)
-                columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "grp", "tokens"])
+                    whole.append(xxhash.xxh3_128_digest(found.tobytes()))
+                    if not len(found) or not named:
+                        group.append(None), common.append(None), tokens.append(None)
+                        continue
+                    common.append(int(16 * order.value[(found >> shift).astype(np.int64)].mean()))
+                    first = prefix(found, order.value)
+                    group.append(_key(first, np.array([len(found)])))
+                    tokens.append(first.view(np.int64) if group[-1] not in given else None)
+                    given.add(group[-1])
+                halves = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
+                long = pa.int64()
+                columns = [pa.array(x, long) for x in (size, halves[:, 0], halves[:, 1], group, common)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *columns, pa.array(tokens, pa.list_(long))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, grp long, tokens array<long>")
+    schema = "doc_id long, text_key long, n long, high long, low long, grp long, common long, tokens array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
 
 
-def _enough(common: str, a: str, b: str, percent: int):
-    """COMMON shared shingles, or the whole overlap that the sizes ask for where that is less."""
-    return F.col(common) >= F.least(F.lit(COMMON), F.ceil(F.greatest(a, b) * percent / 100))
+def _ceil(number: Column, divisor: int) -> Column:
+    return F.floor((number + (divisor - 1)) / divisor)
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.col(a) > 0)
+def needed(n: str, m: str, percent: int = PERCENT) -> Column:
+    """How many shingles the prefixes of similar sets with n and m shingles share at least."""
+    overlap = _ceil((F.col(n) + F.col(m)) * percent, 100 + percent)
+    return F.least(overlap, overlap - _ceil(F.greatest(n, m) * percent, 100) + COMMON)
+
+
+def _sizes_fit(n: str, m: str, percent: int) -> Column:
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.col(n) > 0)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -145,11 +164,11 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, last = None, None
         for batch in batches:
-            b_id = batch.column("b").to_pylist()
             keep = []
-            for i, (ta, tb) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
-                if b_id[i] != seen:  # mostly sorted by b: the set of a star's centre is made once
-                    seen, last = b_id[i], shingle_set(tb.as_py())
+            for ta, tb in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                other = tb.as_py()
+                if other != seen:  # mostly sorted by b: the set of a star's centre is made once
+                    seen, last = other, shingle_set(other)
                 own = shingle_set(ta.as_py())
                 shared = len(np.intersect1d(own, last, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(own) + len(last) - shared))
@@ -161,93 +180,112 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(sketch(docs))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = docs.sparkSession.sparkContext.broadcast(sketch(docs))
     found = staged(prefixes(docs, order), "prefixes")
-    table = found.drop("tokens")
-    member = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("grp").alias("grp"))
-    member = staged(member, "members")
-
-    listed = found.select(F.explode("tokens").alias("token"), "grp", "n")
+    table = found.drop("tokens", "common")
+    some = found.where("n > 0 and doc_id is not null")
+    sets = some.groupBy("high", "low").agg(*[F.min(c).alias(a) for c, a in (("doc_id", "node"), ("n", "n"), ("grp", "grp"), ("common", "common"))])
+    sets = staged(sets, "sets")
+    node = F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")
+    rows = staged(table.join(sets.select("high", "low", "node"), ["high", "low"], "left").select("doc_id", "text_key", "n", node), "rows")
+
+    listed = some.select(F.explode("tokens").alias("token"), "grp", "n", "common")
     often = listed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    shared = staged(listed.join(often, "token").groupBy("token", "grp").agg(F.min("n").alias("n")), "postings")
+    shared = staged(listed.join(often, "token").groupBy("token", "grp").agg(F.min("n").alias("n"), F.min("common").alias("common")), "postings")
 
     # Texts of nodes that can have links: their group shares enough shingles with others, or has several nodes.
-    some = shared.groupBy("grp").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("common")).where(_enough("common", "n", "n", percent))
-    live = some.select("grp").union(member.groupBy("grp").count().where("count > 1").select("grp")).distinct()
-    wanted = member.join(live, "grp", "left_semi").select("doc_id", "node")
-    texts = staged(_texts_of(docs, wanted), "texts")
-
-    label = member.select("node", "grp", "n", F.col("node").alias("component"))
-    # Members of one group, against its smallest node.
-    first = member.groupBy("grp").agg(F.min("node").alias("b")).join(member, "grp").where("node <> b").select(F.col("node").alias("a"), "b")
-    label = _merged(label, verified(first, texts, percent))
+    live = shared.groupBy("grp").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("times")).where(F.col("times") >= F.least(F.lit(COMMON), "n"))
+    live = live.select("grp").union(sets.groupBy("grp").count().where("count > 1").select("grp")).distinct()
+    wanted = sets.join(live, "grp", "left_semi").select("node").distinct()
+    first = rows.where("doc_id = node").join(wanted, "node", "left_semi").select("node", "text_key").distinct()
+    texts = docs.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("text_key"), "text").join(first, ["node", "text_key"])
+    texts = staged(texts.dropDuplicates(["node", "text_key"]).select("node", "text"), "texts")
+
+    label = sets.select("node", "grp", "n", F.col("node").alias("component")).distinct()
+    # One document's nodes are linked; and the members of one group with its smallest node, if similar.
+    low = rows.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")
+    own = rows.join(low, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+    least = label.groupBy("grp").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("grp", "b")
+    label = _merged(label, own.union(verified(least.join(label, "grp").where("node <> b").select(F.col("node").alias("a"), "b"), texts, percent)))
     for turn in range(star_rounds):
-        still_open = _open(shared, label)
-        label = _merged(label, verified(_stars(still_open, label, turn, percent), texts, percent))
+        label = _merged(label, verified(_stars(_open(shared, label), label, turn, percent), texts, percent))
     label = _merged(label, verified(_rest(_open(shared, label), label, percent), texts, percent))
 
-    lowest = label.join(member.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = label.join(lowest, "component").select("node", "component_id")
-    return table.join(of_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.least("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id")
+    of_node = staged(label.select("node", "component").distinct(), "ends")
+    lowest = of_node.groupBy("component").agg(F.min("node").alias("component_id"))
+    ends = of_node.join(lowest, "component").select("node", "component_id")
+    return rows.join(ends, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id")
     )
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text: one text for each wanted (doc_id, node), whatever else shares the id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column("node").to_pylist()
-            mask = pa.array([_key(shingle_set(t.as_py())) == k for k, t in zip(node, batch.column("text"), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("node", "text")], ["node", "text"])
-
-    # Repeated rows go before the partitioning by doc_id is lost, so this needs no shuffle of its own.
-    joined = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"])
-    return joined.select("node", "text").mapInArrow(run, "node long, text string")
-
-
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """label with the components that the links connect made one."""
     links = staged(links, "verified")
-    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    if links.isEmpty():
+        return label
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")).distinct()
     between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
     joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("end"))
     return staged(label.join(joined, "component", "left").select("node", "grp", "n", F.coalesce("end", "component").alias("component")), "labels")
 
 
 def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """token, grp, n, component of the shingles whose groups lie in several components."""
-    of_group = label.select("grp", "component").distinct()
+    """token, grp, n, common, first and last (component of the group's nodes) of the shingles whose groups lie in several components."""
+    of_group = label.groupBy("grp").agg(F.min("component").alias("first"), F.max("component").alias("last"))
     rows = shared.join(of_group, "grp")
-    several = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    several = rows.groupBy("token").agg(F.min("first").alias("low"), F.max("last").alias("high")).where("low < high").select("token")
     return staged(rows.join(several, "token"), "open")
 
 
 def _stars(rows: DataFrame, label: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One pair of nodes for each node: with the centre that its group shares most shingles with."""
-    rank = F.xxhash64(F.lit(turn), "grp") if turn else F.col("grp")
-    rows = rows.withColumn("rank", rank)
-    centre = rows.groupBy("token").agg(F.min(F.struct("rank", "grp", "n", "component")).alias("c")).select(
-        "token", F.col("c.grp").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("centre_component")
-    )
-    near = rows.join(centre, "token").where((F.col("component") != F.col("centre_component")) & _sizes_fit("n", "m", percent))
-    counted = near.groupBy("grp", "centre", "n", "m").agg(F.count(F.lit(1)).alias("common")).where(_enough("common", "n", "m", percent))
-    chosen = counted.groupBy("grp").agg(F.max_by("centre", F.struct("common", "centre")).alias("centre"))
+    """A pair of nodes for each node of a group: with the centre that the group shares most shingles with."""
+    rank = F.xxhash64(F.lit(turn), "grp") if turn else F.col("common")
+    centre = rows.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "grp", "n", "first", "last")).alias("c"))
+    centre = centre.select("token", F.col("c.grp").alias("centre"), F.col("c.n").alias("m"), F.col("c.first").alias("low"), F.col("c.last").alias("high"))
+    apart = (F.col("grp") != F.col("centre")) & ~((F.col("first") == F.col("high")) & (F.col("last") == F.col("low")))
+    near = rows.join(centre, "token").where(apart & _sizes_fit("n", "m", percent))
+    counted = near.groupBy("grp", "centre", "n", "m").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= needed("n", "m", percent))
+    chosen = counted.groupBy("grp").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
     centre_node = label.groupBy("grp").agg(F.min("node").alias("b")).withColumnRenamed("grp", "centre")
     return chosen.join(centre_node, "centre").join(label.select("grp", F.col("node").alias("a")), "grp").select("a", "b")
 
 
+def _classes(rows: DataFrame, percent: int) -> DataFrame:
+    """rows for each class of partner sizes that fit, with own and other (classes) and ``share``, which the prefixes of any such pair share at least."""
+    step, reach = math.log(SIZE_STEP), math.ceil(math.log(100 / percent) / math.log(SIZE_STEP))
+    own = F.floor(F.log("n") / step + 1e-9).cast("int")
+    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+    low = F.greatest(F.exp(F.col("other") * step) * (1 - 1e-6), F.col("n") * percent / 100)
+    high = F.least(F.exp((F.col("other") + 1) * step) * (1 + 1e-6), F.col("n") * 100 / percent)
+    share = lambda m: (F.col("n") + m) * percent / (100 + percent) - F.greatest(F.col("n"), m) * percent / 100 - 1 + COMMON
+    least = F.greatest(F.ceil(F.least(share(low), share(high)) - 1e-6), F.lit(1))
+    return spread.withColumn("share", least).where(low <= high)
+
+
 def _rest(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Every pair of nodes of different components whose groups share a shingle and whose sizes fit."""
-    left = rows.select("token", F.col("grp").alias("grp_a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    right = rows.select("token", F.col("grp").alias("grp_b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    groups = left.join(right, "token").where((F.col("of_a") < F.col("of_b")) & _sizes_fit("n_a", "n_b", percent))
-    groups = groups.groupBy("grp_a", "grp_b", "n_a", "n_b").agg(F.count_distinct("token").alias("common")).where(_enough("common", "n_a", "n_b", percent)).select("grp_a", "grp_b")
-    of = lambda c: label.select(F.col("grp").alias(f"grp_{c}"), F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    across = groups.join(of("a"), "grp_a").join(of("b"), "grp_b").where("of_a <> of_b").select("a", "b")
+    """Every pair of nodes of different components whose groups share enough open shingles and whose sizes fit."""
+    counted = rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")), "token")
+    order, group = Window.partitionBy("grp").orderBy("often", "token"), Window.partitionBy("grp")
+    ranked = counted.withColumns({"nth": F.row_number().over(order), "of": F.count(F.lit(1)).over(group)})
+    posted = _classes(ranked.select("token", "grp", "n", "first", "last", "nth", "of"), percent).where(F.col("nth") <= F.col("of") - F.col("share") + 1)
+    posted = posted.withColumns({"small": F.least("own", "other"), "large": F.greatest("own", "other")})
+    keys = ["token", "small", "large"]
+    posted = staged(posted.select(*keys, "own", "grp", "n", "first", "last"), "posted")
+    several = posted.groupBy(*keys).agg(F.min("first").alias("low"), F.max("last").alias("high")).where("low < high").select(*keys)
+    posted = staged(posted.join(several, keys), "posted")
+    side = lambda c, at: posted.where(F.col("own") == F.col(at)).select(*keys, *[F.col(x).alias(f"{x}_{c}") for x in ("grp", "n", "first", "last")])
+    apart = (F.col("grp_a") != F.col("grp_b")) & ((F.col("small") < F.col("large")) | (F.col("grp_a") < F.col("grp_b")))
+    apart &= ~((F.col("first_a") == F.col("last_b")) & (F.col("last_a") == F.col("first_b"))) & _sizes_fit("n_a", "n_b", percent)
+    groups = side("a", "small").join(side("b", "large"), keys).where(apart).select("grp_a", "n_a", "grp_b", "n_b").distinct()
+    groups = staged(groups, "pairs")
+    some = groups.select(F.col("grp_a").alias("grp")).union(groups.select("grp_b")).distinct()
+    held = rows.join(some, "grp", "left_semi").groupBy("grp").agg(F.collect_list("token").alias("tokens"))  # at most one document's prefix
+    of = lambda c: held.select(F.col("grp").alias(f"grp_{c}"), F.col("tokens").alias(f"tokens_{c}"))
+    both = groups.join(of("a"), "grp_a").join(of("b"), "grp_b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= needed("n_a", "n_b", percent))
+    node = lambda c: label.select(F.col("grp").alias(f"grp_{c}"), F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    across = both.select("grp_a", "grp_b").join(node("a"), "grp_a").join(node("b"), "grp_b").where("of_a <> of_b").select("a", "b")
     within = label.join(label.select("grp", F.col("node").alias("b"), F.col("component").alias("of_b")), "grp")
     within = within.where("component < of_b").select(F.col("node").alias("a"), "b")
     return across.union(within).distinct()

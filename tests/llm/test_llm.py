@@ -271,10 +271,37 @@ def test_near_copies_against_brute_force(docs):
     assert got == brute_components(rows)
 
 
-def test_near_copies_odd_rows(odd):
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in prefix_join.similar_documents(odd).collect()}
-    assert got[1] == (2, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[4][1] == 4 and None not in got
+def test_near_copies_odd_rows(odd, docs):
+    """Every row gives a row; one without an id has a size but no component and links nothing."""
+    rows = prefix_join.similar_documents(odd).collect()
+    assert len(rows) == odd.count() and [tuple(x) for x in rows if x["doc_id"] is None] == [(None, 1, None)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows if x["doc_id"] is not None}
+    assert got == {1: (2, 1), 2: (0, 2), 3: (0, 3), 4: (977, 4), 5: (0, 5)}
     assert prefix_join.similar_documents(odd.limit(0)).count() == 0
+    bridge = [(None, "a b c d e f g h"), (8, "a b c d e f g h"), (9, "a b c d e f g h")]
+    assert {(x["doc_id"], x["component_id"]) for x in prefix_join.similar_documents(docs(bridge)).collect()} == {(None, None), (8, 8), (9, 8)}
+
+
+def test_near_copies_of_repeated_ids(docs):
+    """Texts of one id link what they are similar to."""
+    r = random.Random(3)
+    a, b = " ".join(prose(r, 40)), " ".join(prose(r, 40))
+    got = sorted((x["doc_id"], x["component_id"]) for x in prefix_join.similar_documents(docs([(7, a), (7, b), (3, a), (1, b)])).collect())
+    assert got == [(1, 1), (3, 1), (7, 1), (7, 1)]
+
+
+def test_near_copies_in_one_large_group(docs):
+    """Near copies of one text, of which many are not similar to each other, and many that only share a line."""
+    r = random.Random(8)
+    base, line, rows = prose(r, 120), prose(r, 14), []
+    for i in range(150):
+        copy = [*base]
+        for _ in range(r.randint(0, 8)):
+            copy[r.randrange(len(copy))] = f"e{r.randint(0, 10**6)}"
+        rows.append((i + 1, " ".join(copy)))
+    rows += [(i + 200, " ".join(prose(r, r.randint(5, 40)) + line)) for i in range(80)]
+    got = {x["doc_id"]: x["component_id"] for x in prefix_join.similar_documents(docs(rows)).collect()}
+    assert got == brute_components(rows)
 
 
 def test_components_of_a_long_chain(spark):
