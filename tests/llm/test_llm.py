@@ -210,6 +210,34 @@ def test_every_word_for_word_passage_is_linked(docs):
     assert len({i for i, _ in want}) == 25 and want <= got
 
 
+def test_holders_of_the_same_minima_dont_hide_a_passage(docs):
+    """Smaller documents hold every minimum of a passage, with the words around it, in other prose."""
+    r = random.Random(21)
+    passage = prose(r, 60)
+    decoys = [" ".join(w for at in range(start, 46, 12) for w in [*passage[at : at + 14], *prose(r, 30)]) for start in range(12)]
+    rows = [*enumerate(decoys, 1), (20, " ".join(prose(r, 50) + passage + prose(r, 50))), (21, " ".join(prose(r, 70) + passage))]
+    found = [x for x in compact_windows.repeated_passages(docs(rows)).collect() if x["doc_id"] == 21]
+    assert [(x["other_id"], x["start_word"], x["end_word"]) for x in found] == [(20, 70, 130)]
+
+
+def test_edited_passages_are_found(docs):
+    """Passages of 50 to 150 words with one edited word in every 50 at any place: all are found in full."""
+    r = random.Random(22)
+    rows, where = [], {}
+    for i in range(1, 61):
+        passage = prose(r, r.randint(50, 150))
+        edited = [*passage]
+        for at in range(0, len(passage) - 49, 50):
+            edited[at + r.randint(5, 44)] = f"edit{r.randint(0, 10**6)}"
+        before, after = prose(r, r.randint(0, 80)), prose(r, r.randint(0, 80))
+        rows += [(i, " ".join(prose(r, 40) + passage + prose(r, 30))), (i + 100, " ".join(before + edited + after))]
+        where[i + 100] = (i, len(before), len(before) + len(edited))
+    found = {x["doc_id"]: x for x in compact_windows.repeated_passages(docs(rows)).collect()}
+    assert set(found) == set(where)
+    for i, (other, start, stop) in where.items():
+        assert found[i]["other_id"] == other and abs(found[i]["start_word"] - start) <= 6 and abs(found[i]["end_word"] - stop) <= 6 and found[i]["similarity"] >= 0.8
+
+
 def sequence(words):
     return shingles.shingle_sequence(shingles.word_hashes([w.encode() for w in words]))
 
