@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -28,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .caches import worker_cache
+
 #: Pre-tokens of up to this many characters are remembered; at most CACHE_ENTRIES of them, then the cache starts anew.
 CACHED_LENGTH = 48
 CACHE_ENTRIES = 600_000
@@ -152,10 +153,9 @@ class Gather:
         return self.pool[index].tobytes()
 
 
-@lru_cache(maxsize=2)
 def bpe(rank_file: str, pattern: str) -> ByteBPE:
-    """One per Python worker; workers serve many tasks."""
-    return ByteBPE(rank_file, pattern)
+    """One per Python worker, as long as no other operator uses the worker."""
+    return worker_cache("byte_bpe", (rank_file, pattern), lambda: ByteBPE(rank_file, pattern))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:

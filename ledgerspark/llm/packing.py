@@ -6,75 +6,95 @@ by level. Placing an item of length s on a window at level h changes that sum by
 1 - 2*N[h] if the window is then full, or by 2*N[s] + 1 for a new window; ties go to the fullest window.
 
 Each partition of the input is packed by itself, so nothing is shuffled, state is one level array and the open windows,
-and a task that runs again gives the same windows. The open windows of a task are bounded: beyond ``MOST_OPEN``, and at
-the end of the partition, they are drained: their pieces are laid end to end and cut at window boundaries. So at
+and a task that runs again gives the same windows. At the end of the partition, and whenever more than ``MOST_OPEN`` windows are
+open, windows are closed: the emptiest one is dissolved and its pieces are placed again by the same rule, now with levels
+allowed on which a piece doesn't fit whole. There it is cut, fills the window (a change of 1 - 2*N[h]), and what is left is placed next. So at
 most one window per partition is padded. Documents may be cut freely, and each id lies in exactly one piece.
 
-Defined results: a null or empty text is a document of the end id alone; texts of any length are tokenized whole;
+Ids are those of the tokenizers library without added special tokens; the strings of special tokens inside a text become their ids, as
+in the library. Defined results: a null or empty text is a document of the end id alone; texts of any length are tokenized whole;
 repeated rows are packed as often as they occur; other columns, whatever their names, do not take part.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .byte_bpe import slices
+from .caches import worker_cache
+
 WINDOW = 2048
 END_ID = 1
 #: Open windows per task; each holds less than one window of ids.
 MOST_OPEN = 4096
 BATCH_BYTES = 4 << 20
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 48
+#: Bytes of text that are tokenized together.
+SLICE_BYTES = 2 << 20
 
-SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Texts in this range need no normal form, and all libraries agree on its letters, digits, spaces and lower case.
-_PLAIN = regex.compile(r"[\t\n\v\f\r\x20-\x7E¡-¬®-įĲ-ſ]*")
-#: The pre-token pattern of the vocabulary file.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7E¡-¬®-įĲ-ſ]*")
+#: Strings of special tokens begin so; texts with it go through the library whole.
+_SPECIAL = "<|"
 
 
 class WordTokenizer:
-    """Ids by the tokenizers library, which sees each distinct pre-token once while it is remembered.
+    """Ids by the tokenizers library, which sees each distinct run of non-space characters once while it is remembered.
 
-    The file's pre-tokens are encoded independently, so ids of a text are the ids of its pre-tokens in order. Texts
-    outside the plain range go through the library whole.
+    The file's pre-tokens hold no space and are encoded independently, so the ids of a plain text are those of its runs in order. Other
+    texts go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.int32).tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[word] = ids
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        known = self.cache.get
-        return np.frombuffer(b"".join([known(w) or self._word(w) for w in _WORDS.findall(text.lower())]), np.int32)
+    def _learn(self, runs: list[str]) -> None:
+        """Encodes many runs in one call; a token belongs to the run in which it starts."""
+        found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
+        length = np.fromiter(map(len, runs), np.int64, len(runs))
+        first = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+        ids, edge = np.array(found.ids, np.int32), np.searchsorted(first, np.cumsum(length + 1) - length - 1)
+        for run, a, b in zip(runs, edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
+            self.cache[run] = ids[a:b].tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.lower().split() if _PLAIN.fullmatch(t) and _SPECIAL not in t else None for t in texts]
+        runs = set().union(*(x for x in split if x))
+        new = runs.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_ENTRIES:
+            self.cache.clear()
+            new = runs
+        new = list(new)
+        for at in range(0, len(new), 50_000):
+            self._learn(new[at : at + 50_000])
+        known = self.cache.__getitem__
+        out = [
+            np.frombuffer(b"".join(map(known, x)), np.int32) if x is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
+            for t, x in zip(texts, split, strict=True)
+        ]
+        for run in new:
+            if len(run) > CACHED_LENGTH:
+                del self.cache[run]
+        return out
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """One per Python worker, as long as no other operator uses the worker."""
+    return worker_cache("packing", path, lambda: WordTokenizer(path))
 
 
 class Window:
@@ -92,7 +112,7 @@ class Window:
 
 
 class SumOfSquares:
-    """Online packer; add() and drain() return the windows that are finished."""
+    """Online packer; add() and close() return the windows that are finished."""
 
     def __init__(self, capacity: int = WINDOW, most_open: int = MOST_OPEN) -> None:
         self.capacity, self.most_open = capacity, most_open
@@ -100,14 +120,18 @@ class SumOfSquares:
         self.open: list[list[Window]] = [[] for _ in range(capacity)]
         self.total = 0
 
-    def level_for(self, size: int) -> int:
-        """The level to place an item of this size on; 0 is a new window."""
-        count, room = self.count, self.capacity - size
+    def level_for(self, size: int, cut: bool = False) -> int:
+        """The level to place an item of this size on; 0 is a new window. ``cut``: open levels only, also those where it doesn't fit whole."""
+        count, room, never = self.count, self.capacity - size, np.iinfo(np.int64).max
         change = 2 * (count[size : self.capacity + 1] - count[: room + 1]) + 2
         change[room] -= 1  # a full window leaves the count
         change[0] = 2 * count[size] + 1 if room else 0
-        change[1:][count[1 : room + 1] == 0] = np.iinfo(np.int64).max
-        return room - int(np.argmin(change[::-1]))
+        change[1:][count[1 : room + 1] == 0] = never
+        if cut:
+            change[0] = never
+            filled = np.where(count[room + 1 : self.capacity] > 0, 1 - 2 * count[room + 1 : self.capacity], never)
+            change = np.concatenate([change, filled])
+        return len(change) - 1 - int(np.argmin(change[::-1]))
 
     def add(self, doc_id: int, ids: np.ndarray) -> Iterator[Window]:
         n, cut = len(ids), len(ids) - len(ids) % self.capacity
@@ -117,8 +141,14 @@ class SumOfSquares:
             yield window
         if cut == n:
             return
-        piece = (doc_id, cut, ids[cut:].copy(), n)
-        level = self.level_for(n - cut)
+        window = self._place((doc_id, cut, ids[cut:].copy(), n), self.level_for(n - cut))
+        if window:
+            yield window
+        if self.total > self.most_open:
+            yield from self.close(self.most_open // 2)
+
+    def _place(self, piece: tuple, level: int) -> Window | None:
+        """Adds the piece to a window of this level; the window, if it is then full."""
         if level:
             window = self.open[level].pop()
             self.count[level] -= 1
@@ -128,40 +158,41 @@ class SumOfSquares:
         window.add(piece)
         if window.level == self.capacity:
             self.total -= 1
-            yield window
-            return
+            return window
         self.open[window.level].append(window)
         self.count[window.level] += 1
-        if self.total > self.most_open:
-            yield from self.drain()
-
-    def drain(self) -> Iterator[Window]:
-        """All open windows, their pieces laid end to end and cut at window boundaries."""
-        pieces = [p for level in reversed(self.open) for w in level for p in w.pieces]
-        self.open = [[] for _ in range(self.capacity)]
-        self.count[:] = 0
-        self.total = 0
-        window = Window()
-        for doc_id, start, ids, n in pieces:
-            while len(ids):
-                head = ids[: self.capacity - window.level]
-                window.add((doc_id, start, head, n))
-                start, ids = start + len(head), ids[len(head) :]
-                if window.level == self.capacity:
-                    yield window
-                    window = Window()
-        if window.pieces:
-            yield window
+        return None
+
+    def close(self, most: int = 0) -> Iterator[Window]:
+        """Closes windows until at most ``most`` are open; the last one is given as it is."""
+        while self.total > max(most, 1):
+            at = 1 + int(np.argmax(self.count[1 : self.capacity] > 0))
+            emptiest = self.open[at].pop()
+            self.count[at] -= 1
+            self.total -= 1
+            for doc_id, start, ids, n in emptiest.pieces:
+                while len(ids):
+                    level = self.level_for(len(ids), cut=True) if self.total else 0
+                    head = ids[: self.capacity - level]
+                    window = self._place((doc_id, start, head, n), level)
+                    if window:
+                        yield window
+                    start, ids = start + len(head), ids[len(head) :]
+        if most < 1:
+            for level in self.open:
+                yield from level
+                level.clear()
+            self.count[:] = 0
+            self.total = 0
 
 
 def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids, ids_crc32 (of the little-endian 32-bit ids), doc_tokens, sequence_id, offset."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(tokenizer_path).encode
-        packer = SumOfSquares()
-        first = TaskContext.get().partitionId() << 32
+        encode = word_tokenizer(tokenizer_path).encode_all
+        packer, first = SumOfSquares(), TaskContext.get().partitionId() << 32
         ready: list[tuple] = []
         size = made = 0
 
@@ -176,13 +207,13 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 size += 4 * offset
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "")
-                finish(packer.add(doc_id, np.append(ids, np.int32(END_ID))))
-                if size >= BATCH_BYTES:
-                    yield _table(ready)
-                    ready, size = [], 0
-        finish(packer.drain())
+            for part, texts in slices(batch, "text", SLICE_BYTES):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in texts]), strict=True):
+                    finish(packer.add(doc_id, np.append(ids, np.int32(END_ID))))
+                    if size >= BATCH_BYTES:
+                        yield _table(ready)
+                        ready, size = [], 0
+        finish(packer.close())
         yield _table(ready)
 
     return source.mapInArrow(run, SCHEMA)
@@ -192,29 +223,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     doc_id, start, ids, n, sequence, offset = zip(*rows, strict=True) if rows else ([],) * 6
     ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
     flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
-    long = pa.int64()
-    columns = [
-        pa.array(doc_id, long),
-        pa.array(start, long),
-        pa.array(np.diff(ends), long),
-        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-        pa.array(n, long),
-        pa.array(sequence, long),
-        pa.array(offset, long),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """Replaces ids by ids_crc32, over their little-endian 32-bit form."""
-    kept = [c for c in pieces.columns if c != "ids"]
-    schema = pieces.select(*kept, F.lit(0).cast("long").alias("ids_crc32")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            edge, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(crc, pa.int64())], [*kept, "ids_crc32"])
-
-    return pieces.mapInArrow(run, schema)
+    crc = [zlib.crc32(np.ascontiguousarray(x, "<i4")) for x in ids]
+    columns = [pa.array(x, pa.int64()) for x in (doc_id, start, np.diff(ends), crc, n, sequence, offset)]
+    columns.insert(3, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

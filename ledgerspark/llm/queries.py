@@ -98,9 +98,7 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.with_crc(pieces).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
-    )
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

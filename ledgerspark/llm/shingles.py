@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .caches import worker_cache
+
 WIDTH = 5
 CACHE_ENTRIES = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -18,9 +20,6 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective mix of 64-bit values; different salts give independent orders."""
     x = x ^ np.uint64(salt)
@@ -34,7 +33,7 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(worker_cache("shingles", "words", _Hashes).__getitem__, words), np.uint64, len(words))
 
 
 def shingle_sequence(words: np.ndarray, width: int = WIDTH) -> np.ndarray:

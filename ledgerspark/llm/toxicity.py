@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
+from .caches import worker_cache
 from .common import staged
 
 HELD_OUT = 1
@@ -62,12 +63,9 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     found = _WORD.findall((text or "").lower())
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint32, len(found))
+    return np.fromiter(map(worker_cache("toxicity", "words", _Hashes).__getitem__, found), np.uint32, len(found))
 
 
 def bigram_keys(words: np.ndarray) -> np.ndarray:

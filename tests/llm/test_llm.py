@@ -370,9 +370,11 @@ def test_toxicity_held_out(docs, odd, spark):
 def test_packing_round_trip(docs, odd):
     r = random.Random(8)
     rows = [(i, " ".join(prose(r, r.choice([1, 5, 80, 700, 3000])))) for i in range(60)] + [(60, None), (61, ""), (62, "Ünïcode ΣΑΣ 日本語 ŉ İ")]
+    rows += [(63, "hello <|endoftext|> world"), (64, "it's <|x|> 2² x_y don't\x0bstop " + "é" * 90 + " <|startoftext|>"), (65, "a-b, (c) ½d\u00a0e 12345 I'LL we've")]
     pieces = packing.packed(docs(rows), WORDS).toPandas()
     own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
+    assert own.encode(rows[63][1], add_special_tokens=False).ids == [3306, 49407, 1002]
+    assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in pieces["ids"]] == pieces["ids_crc32"].tolist()
     for i, text in rows:
         part = pieces[pieces["doc_id"] == i].sort_values("start")
         assert np.concatenate(part["ids"].to_numpy()).tolist() == [*own.encode(text or "", add_special_tokens=False).ids, 1]
@@ -380,7 +382,7 @@ def test_packing_round_trip(docs, odd):
     for _, part in pieces.groupby("sequence_id"):
         part = part.sort_values("offset")
         assert part["offset"].tolist() == np.cumsum([0, *part["length"]])[:-1].tolist() and part["length"].sum() <= 2048
-    assert packing.with_crc(packing.packed(odd, WORDS)).groupBy("doc_id").count().count() == 6
+    assert packing.packed(odd, WORDS).groupBy("doc_id").count().count() == 6
     assert packing.packed(odd.limit(0), WORDS).count() == 0
 
 
@@ -402,6 +404,34 @@ def test_sum_of_squares_choice():
             options[level] = int((after[1:20] ** 2).sum())
         assert options[p.level_for(size)] == min(options.values())
         list(p.add(i, np.zeros(size, np.int32)))
+        if not p.total:
+            continue
+        options = {}  # cut: a window that is too small for all of it is filled
+        for level in range(1, 20):
+            if p.count[level]:
+                after = p.count.copy()
+                after[level] -= 1
+                if level + size < 20:
+                    after[level + size] += 1
+                options[level] = int((after[1:20] ** 2).sum())
+        assert options[p.level_for(size, cut=True)] == min(options.values())
+
+
+def test_open_windows_are_closed_by_the_same_rule():
+    """Whatever was open is placed again in full; one window at most is not full, and few pieces are cut."""
+    r = np.random.default_rng(3)
+    p = packing.SumOfSquares(capacity=2048, most_open=300)
+    sizes = r.integers(1, 6000, 2000)
+    windows = [w for i, n in enumerate(sizes) for w in p.add(i, np.arange(n, dtype=np.int32))] + list(p.close())
+    assert sum(w.level < 2048 for w in windows) <= 1 and not p.total and not p.count.any()
+    held = {}
+    for w in windows:
+        for doc, start, ids, _ in w.pieces:
+            assert (ids == np.arange(start, start + len(ids))).all()
+            held.setdefault(doc, []).append((start, len(ids)))
+    for i, n in enumerate(sizes):
+        edges = sorted(held[i])
+        assert [a for a, _ in edges] == np.cumsum([0, *(b for _, b in edges)])[:-1].tolist() and sum(b for _, b in edges) == n
 
 
 # 9: quotations
