@@ -45,7 +45,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence."""
-    return packing.with_crc(packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
