@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,46 +50,65 @@ SCHEMA = "doc_id long, start long, length long, ids array<int>, ids_crc32 long,
 _PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7E¡-¬®-įĲ-ſ]*")
 #: Strings of special tokens begin so; texts with it go through the library whole.
 _SPECIAL = "<|"
+#: The pre-token pattern of the vocabulary file, and the mark of tokens that end a pre-token.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_WORD_END = "</w>"
 
 
 class WordTokenizer:
-    """Ids by the tokenizers library, which sees each distinct run of non-space characters once while it is remembered.
+    """Ids by the tokenizers library, which sees each distinct pre-token once while it is remembered.
 
-    The file's pre-tokens hold no space and are encoded independently, so the ids of a plain text are those of its runs in order. Other
-    texts go through the library whole.
+    The file's pre-tokens hold no space and are encoded independently, so the ids of a plain text are those of its pre-tokens in order;
+    runs of non-space characters are remembered too, so that most of a text needs no pattern. Other texts go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, runs: list[str]) -> None:
-        """Encodes many runs in one call; a token belongs to the run in which it starts."""
-        found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
-        length = np.fromiter(map(len, runs), np.int64, len(runs))
-        first = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
-        ids, edge = np.array(found.ids, np.int32), np.searchsorted(first, np.cumsum(length + 1) - length - 1)
-        for run, a, b in zip(runs, edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
-            self.cache[run] = ids[a:b].tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes many pre-tokens in one call; the last token of each says that it is."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
+        edge, flat = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+        for word, a, b in zip(words, [0, *edge], edge, strict=False):
+            self.words[word] = flat[a:b]
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        split = list(map(_WORDS.findall, runs))
+        words = set().union(*split)
+        new = list(words.difference(self.words))
+        if len(self.words) + len(new) > CACHE_ENTRIES:
+            self.words.clear()
+            new = list(words)
+        for at in range(0, len(new), 50_000):
+            self._learn(new[at : at + 50_000])
+        known = self.words.__getitem__
+        for run, parts in zip(runs, split, strict=True):
+            self.runs[run] = b"".join(map(known, parts))
+        for word in new:
+            if len(word) > CACHED_LENGTH:
+                del self.words[word]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.lower().split() if _PLAIN.fullmatch(t) and _SPECIAL not in t else None for t in texts]
         runs = set().union(*(x for x in split if x))
-        new = runs.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-            new = runs
-        new = list(new)
-        for at in range(0, len(new), 50_000):
-            self._learn(new[at : at + 50_000])
-        known = self.cache.__getitem__
+        new = list(runs.difference(self.runs))
+        if len(self.runs) + len(new) > CACHE_ENTRIES:
+            self.runs.clear()
+            new = list(runs)
+        self._learn_runs(new)
+        known = self.runs.__getitem__
         out = [
             np.frombuffer(b"".join(map(known, x)), np.int32) if x is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
             for t, x in zip(texts, split, strict=True)
         ]
         for run in new:
             if len(run) > CACHED_LENGTH:
-                del self.cache[run]
+                del self.runs[run]
         return out
 
 
