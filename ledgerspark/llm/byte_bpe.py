@@ -168,17 +168,21 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
         yield batch.slice(a, b - a), values.slice(a, b - a).to_pylist()
 
 
+def with_field(batch: pa.RecordBatch, column: str, at: int, name: str) -> pa.RecordBatch:
+    """The batch, and one field of its struct column as another column; so that no text is sent to Python twice."""
+    return pa.RecordBatch.from_arrays([*batch.columns, batch.column(column).field(at)], [*batch.schema.names, name])
+
+
 def encoded(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text") -> DataFrame:
     """row (the input as a struct) and ids (array of int)."""
-    source = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text")
-    )
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text_col)
     schema = T.StructType([source.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(rank_file, pattern)
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(with_field(batch, "row", at, "text"), "text"):
                 ids = [model.encode(t or "") for t in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)

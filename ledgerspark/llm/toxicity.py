@@ -36,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import slices
+from .byte_bpe import slices, with_field
 from .caches import worker_cache
 from .common import staged
 
@@ -296,12 +296,13 @@ def logistic(rows, steps: int = 50, ridge: float = 1e-2):
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (the input as a struct) and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = source.select("row", F.lit(0.0).alias("score")).schema
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(with_field(batch, "row", at, "text"), "text"):
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(shared.value.scores(texts))], ["row", "score"])
 
     return source.mapInArrow(run, schema)
