@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,24 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark then deletes an execution's shuffle files when it ends; what was made of them is in the table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back.
 
-    Cuts the lineage at a point that outlives any executor. Afterwards the shuffle files of the finished
-    job are released, so that peak disk use is that of one step, not of all of them.
+    Cuts the lineage at a point that outlives any executor. The shuffle files of the finished job are deleted with it, so
+    that peak disk use is that of one step, not of all of them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    began = time.time()
-    df.write.parquet(path)
-    long = time.time() - began > 8
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    if long:
-        time.sleep(1)  # the cleaner works beside us; what follows a long step may need its disk
-    table = spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table.staged_path = path
     return table
 

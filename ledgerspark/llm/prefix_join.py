@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
-from .common import staged
+from .common import discard, staged
 from .components import components
 from .shingles import shingle_sequence, shingle_set, split_words, word_hashes
 
@@ -193,6 +194,7 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, star_rounds: int
     listed = some.select(F.explode("tokens").alias("token"), "grp", "n", "common")
     often = listed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
     shared = staged(listed.join(often, "token").groupBy("token", "grp").agg(F.min("n").alias("n"), F.min("common").alias("common")), "postings")
+    discard(found)
 
     # Texts of nodes that can have links: their group shares enough shingles with others, or has several nodes.
     live = shared.groupBy("grp").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("times")).where(F.col("times") >= F.least(F.lit(COMMON), "n"))
@@ -208,11 +210,14 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, star_rounds: int
     own = rows.join(low, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
     least = label.groupBy("grp").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("grp", "b")
     label = _merged(label, own.union(verified(least.join(label, "grp").where("node <> b").select(F.col("node").alias("a"), "b"), texts, percent)))
-    for turn in range(star_rounds):
-        label = _merged(label, verified(_stars(_open(shared, label), label, turn, percent), texts, percent))
-    label = _merged(label, verified(_rest(_open(shared, label), label, percent), texts, percent))
+    for pairs in [*[partial(_stars, turn=turn) for turn in range(star_rounds)], _rest]:
+        still_open = _open(shared, label)
+        label = _merged(label, verified(pairs(still_open, label, percent=percent), texts, percent))
+        discard(still_open)
 
     of_node = staged(label.select("node", "component").distinct(), "ends")
+    for done in (sets, shared, texts):
+        discard(done)
     lowest = of_node.groupBy("component").agg(F.min("node").alias("component_id"))
     ends = of_node.join(lowest, "component").select("node", "component_id")
     return rows.join(ends, "node", "left").select(
@@ -272,12 +277,13 @@ def _rest(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     posted = _classes(ranked.select("token", "grp", "n", "first", "last", "nth", "of"), percent).where(F.col("nth") <= F.col("of") - F.col("share") + 1)
     posted = posted.withColumns({"small": F.least("own", "other"), "large": F.greatest("own", "other")})
     keys = ["token", "small", "large"]
-    posted = staged(posted.select(*keys, "own", "grp", "n", "first", "last"), "posted")
+    posted = staged(posted.select(*keys, "own", "grp", "n", "first", "last", (F.col("of") - F.col("nth") + 1).alias("left")), "posted")
     several = posted.groupBy(*keys).agg(F.min("first").alias("low"), F.max("last").alias("high")).where("low < high").select(*keys)
     posted = staged(posted.join(several, keys), "posted")
-    side = lambda c, at: posted.where(F.col("own") == F.col(at)).select(*keys, *[F.col(x).alias(f"{x}_{c}") for x in ("grp", "n", "first", "last")])
+    side = lambda c, at: posted.where(F.col("own") == F.col(at)).select(*keys, *[F.col(x).alias(f"{x}_{c}") for x in ("grp", "n", "first", "last", "left")])
     apart = (F.col("grp_a") != F.col("grp_b")) & ((F.col("small") < F.col("large")) | (F.col("grp_a") < F.col("grp_b")))
     apart &= ~((F.col("first_a") == F.col("last_b")) & (F.col("last_a") == F.col("first_b"))) & _sizes_fit("n_a", "n_b", percent)
+    apart &= F.least("left_a", "left_b") >= needed("n_a", "n_b", percent)  # holds for the first shingle that a pair shares
     groups = side("a", "small").join(side("b", "large"), keys).where(apart).select("grp_a", "n_a", "grp_b", "n_b").distinct()
     groups = staged(groups, "pairs")
     some = groups.select(F.col("grp_a").alias("grp")).union(groups.select("grp_b")).distinct()
