@@ -57,10 +57,17 @@ def undirected(pairs: DataFrame) -> DataFrame:
 
 
 def two_hop(pairs: DataFrame, cap: int = 200) -> DataFrame:
-    """node, reach: distinct nodes two hops out, itself not counted; at most cap is reported."""
-    a, b = pairs.alias("a"), pairs.alias("b")
+    """node, reach: distinct nodes two hops out, itself not counted; at most cap is reported.
+
+    A neighbour with more than cap successors settles the answer by itself, so only the others are joined: at most cap rows for each pair.
+    """
+    out = pairs.groupBy("src").agg(F.count_distinct("dst").alias("out"))
+    first = pairs.join(out.withColumnRenamed("src", "dst"), "dst").select("src", "dst", "out")
+    wide = first.where(F.col("out") > cap).select(F.col("src").alias("node"), F.lit(cap).cast("long").alias("reach")).distinct()
+    a, b = first.where(F.col("out") <= cap).alias("a"), pairs.alias("b")
     hops = a.join(b, F.expr("a.dst = b.src")).where("b.dst <> a.src").select(F.col("a.src").alias("node"), F.col("b.dst").alias("far")).distinct()
-    return hops.groupBy("node").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("reach"))
+    near = hops.groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
+    return near.unionByName(wide).groupBy("node").agg(F.least(F.max("reach"), F.lit(cap).cast("long")).alias("reach"))
 
 
 def cycle_nodes(pairs: DataFrame) -> DataFrame:
@@ -107,6 +114,58 @@ def cycles(pairs: DataFrame, length: int) -> DataFrame:
     return path.join(close, [f"n{length - 1}", "n0"], "left_semi").select(*[f"n{i}" for i in range(length)])
 
 
+def timed_cycles(edges: DataFrame, longest: int = 5, span_us: int = 72 * HOUR_US) -> DataFrame:
+    """nodes (array, from the first payer on), n, times, first_us: simple cycles of 2 to ``longest`` accounts whose payments follow each
+    other within the span. Only accounts that are also paid start a path."""
+    step = edges.select("src", "dst", "us")
+    path = step.where("src <> dst").join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    path = path.select(F.array("src", "dst").alias("nodes"), F.col("dst").alias("at"), F.col("us").alias("t0"), F.col("us").alias("t1"))
+    found = None
+    for n in range(2, longest + 1):
+        then = path.join(step.withColumnRenamed("src", "at"), "at").where((F.col("us") > F.col("t1")) & (F.col("us") - F.col("t0") <= span_us))
+        closed = then.where(F.col("dst") == F.col("nodes")[0]).select("nodes", F.lit(n).alias("n"), "t0")
+        found = closed if found is None else found.unionByName(closed)
+        path = then.where(~F.array_contains("nodes", F.col("dst"))).select(F.concat("nodes", F.array("dst")).alias("nodes"), F.col("dst").alias("at"), "t0", F.col("us").alias("t1"))
+    return found.groupBy("nodes", "n").agg(F.count(F.lit(1)).alias("times"), F.min("t0").alias("first_us"))
+
+
+def without_hubs(edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Edges that touch no hub (column node): what the patterns look at."""
+    return edges.join(hubs.select(F.col("node").alias("src")), "src", "left_anti").join(hubs.select(F.col("node").alias("dst")), "dst", "left_anti")
+
+
+def flows(edges: DataFrame) -> DataFrame:
+    """node, i and o: what it got and paid, in cents."""
+    zero = F.lit(0).cast("long")
+    ends = F.array(F.struct(F.col("src").alias("node"), zero.alias("i"), F.col("cents").alias("o")), F.struct(F.col("dst").alias("node"), F.col("cents").alias("i"), zero.alias("o")))
+    return edges.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
+
+
+def mule_chains(edges: DataFrame, gap_us: int = 24 * HOUR_US, share: float = 0.8) -> DataFrame:
+    """n0, chains, longest, first_us, score: chains of three to five accounts with at most gap_us between payments, whose second account
+    passes on what it gets (the lesser of both flows is at least ``share`` of the greater)."""
+    through = flows(edges).where((F.col("i") > 0) & (F.col("o") > 0) & (F.least("i", "o") / F.greatest("i", "o") >= share)).select(F.col("node").alias("n1"))
+    found = None
+    for hops in (2, 3, 4):
+        part = paths(edges, hops, gap_us).join(through, "n1", "left_semi").select("n0", F.lit(hops + 1).alias("n"), "t0")
+        found = part if found is None else found.unionByName(part)
+    agg = found.groupBy("n0").agg(F.count(F.lit(1)).alias("chains"), F.max("n").alias("longest"), F.min("t0").alias("first_us"))
+    return agg.withColumn("score", F.least(F.lit(100), 50 + 15 * F.col("chains")) / 100.0)
+
+
+def rapid_layers(edges: DataFrame, hops: int = 3, span_us: int = 72 * HOUR_US) -> DataFrame:
+    """n0..n_hops, times, first_us, retention, score: payments through different accounts within the span; retention is the part of
+    the first middle account's income that the last middle account doesn't pay out."""
+    nodes = [f"n{i}" for i in range(hops + 1)]
+    agg = paths(edges, hops, span_us, span_us).groupBy(*nodes).agg(F.count(F.lit(1)).alias("times"), F.min("t0").alias("first_us"))
+    flow = flows(edges)
+    got, paid = flow.select(F.col("node").alias("n1"), "i"), flow.select(F.col("node").alias(f"n{hops - 1}"), "o")
+    kept = F.greatest(F.lit(0.0), (F.col("i") - F.col("o")) / F.col("i"))
+    both = agg.join(got, "n1").join(paid, f"n{hops - 1}").withColumn("retention", kept)
+    score = F.least(F.lit(100), 50 + 10 * F.col("times") + F.when(F.col("retention") < 0.3, 20).otherwise(0)) / 100.0
+    return both.select(*nodes, "times", "first_us", "retention", score.alias("score"))
+
+
 def fan(edges: DataFrame, centre: str, other: str) -> DataFrame:
     """node, n (distinct others), share of the largest, score of at most 1; five others at least."""
     per = edges.where("src <> dst").groupBy(F.col(centre).alias("node"), other).agg(F.sum("cents").alias("cents"))
@@ -126,13 +185,12 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     n = nodes.count()
     sinks = nodes.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
+    for _ in range(rounds):
         lost = rank.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
         flow = links.join(rank, F.expr("src = node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         new = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)
         rank = nodes.join(flow.withColumnRenamed("dst", "node"), "node", "left").join(F.broadcast(lost)).select("node", new.alias("rank"))
-        if i % 3 == 2:
-            rank = written(rank, "rank")
+        rank = written(rank, "rank")
     return rank
 
 

@@ -45,10 +45,11 @@ def velocity_lookup(txn: DataFrame) -> DataFrame:
 
 
 def shared_identity_pairs(identity: DataFrame) -> DataFrame:
-    """Ordered pairs of accounts that share a value of a kind, with the kinds."""
-    a, b = identity.alias("a"), identity.alias("b")
-    same = F.expr("a.kind = b.kind and a.value = b.value and a.account_id <> b.account_id")
-    return a.join(b, same).groupBy(F.col("a.account_id").alias("account_id"), F.col("b.account_id").alias("other")).agg(F.array_sort(F.collect_set("a.kind")).alias("kinds"))
+    """kind, value, account_id, representative (the value's smallest account), members: accounts that share a value of a kind. Rows
+    grow with the accounts of a value, not with their pairs; two accounts share it if both have a row."""
+    once = identity.distinct()
+    groups = once.groupBy("kind", "value").agg(F.min("account_id").alias("representative"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return once.join(groups, ["kind", "value"])
 
 
 def tag_overlap(cases: DataFrame, provisions: DataFrame, jurisdiction: str = "IN") -> DataFrame:

@@ -1,21 +1,24 @@
-"""Queries of payment networks, with their SQL. Path patterns, and the other queries whose SQL does,
-look at larger amounts, in query and SQL alike; queries without SQL look at all edges."""
+"""Queries of payment networks, with their SQL. All edges are read; the patterns leave out edges that touch a hub."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, mask_id
 from ..operators import graph, joins
 from ..sources import tables as t
+from ..sources.durable import written
 from . import oracle_views as v
 from .aggregate_queries import DEGREES, EDGES
-from .ingest_queries import IDENTITY
+from .ingest_queries import IDENTITY, SHARED
 
 QUERIES, ORACLE = {}, {}
-LARGE = 100
-PAIRS = EDGES + ", big AS (SELECT * FROM e WHERE abs_amount > 100), bp AS (SELECT DISTINCT src, dst FROM big)"
+HUB = "cut AS (SELECT quantile_cont(in_degree + out_degree, 0.99) AS p99 FROM deg), hub AS (SELECT node FROM deg, cut WHERE in_degree + out_degree >= 500 OR in_degree + out_degree >= p99)"
+#: Edges without hubs.
+CALM = EDGES + f", {DEGREES}, {HUB}, q AS (SELECT * FROM e WHERE src NOT IN (SELECT node FROM hub) AND dst NOT IN (SELECT node FROM hub))"
 
 
 def query(sql: str | None = None):
@@ -36,19 +39,16 @@ def pairs(spark, sf_dir) -> DataFrame:
     return edges(spark, sf_dir).select("src", "dst").distinct()
 
 
-def large(spark, sf_dir) -> DataFrame:
-    return edges(spark, sf_dir).where(F.col("abs_amount") > LARGE)
-
-
-def large_pairs(spark, sf_dir) -> DataFrame:
-    return large(spark, sf_dir).select("src", "dst").distinct()
-
-
 def hubs(spark, sf_dir) -> DataFrame:
     d = graph.degrees(pairs(spark, sf_dir)).select("node", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
     return graph.supernodes(d)
 
 
+def calm(spark, sf_dir) -> DataFrame:
+    """Edges that touch no hub."""
+    return graph.without_hubs(edges(spark, sf_dir), hubs(spark, sf_dir).where("is_hub"))
+
+
 def _rank_sql(rounds: int) -> str:
     """PageRank as chained table expressions."""
     out = f"WITH {EDGES}, w AS (SELECT src, dst, sum(cents) / 100.0 AS weight FROM e GROUP BY ALL), l AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM w), nodes AS (SELECT src AS node FROM w UNION SELECT dst FROM w), k AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), sinks AS (SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM w)), r0 AS (SELECT node, 1.0 / n AS rank FROM nodes, k)"
@@ -78,9 +78,9 @@ def two_hop_reach(spark, sf_dir):
     return graph.two_hop(pairs(spark, sf_dir))
 
 
-@query(f"WITH {PAIRS} SELECT DISTINCT a.src AS node FROM bp a JOIN bp b ON a.src = b.dst AND a.dst = b.src")
+@query(f"WITH {EDGES} SELECT DISTINCT a.src AS node FROM pairs a JOIN pairs b ON a.src = b.dst AND a.dst = b.src")
 def cycle_flag(spark, sf_dir):
-    return graph.cycle_nodes(large_pairs(spark, sf_dir))
+    return graph.cycle_nodes(pairs(spark, sf_dir))
 
 
 @query()
@@ -90,12 +90,15 @@ def communities(spark, sf_dir):
     return label.join(size, "community").select("node", "community", "size")
 
 
-@query(f"WITH RECURSIVE {PAIRS}, reach AS (SELECT src AS a, dst AS b FROM bp UNION SELECT reach.a, bp.dst FROM reach JOIN bp ON reach.b = bp.src), n AS (SELECT src AS node FROM bp UNION SELECT dst FROM bp), mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) SELECT node, least(node, coalesce(min(b), node)) AS component FROM n LEFT JOIN mutual ON a = node GROUP BY node")
+_SCC = f"{EDGES}, reach AS (SELECT src AS a, dst AS b FROM pairs UNION SELECT reach.a, pairs.dst FROM reach JOIN pairs ON reach.b = pairs.src), n AS (SELECT src AS node FROM pairs UNION SELECT dst FROM pairs), mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a), comp AS (SELECT node, least(node, coalesce(min(b), node)) AS component FROM n LEFT JOIN mutual ON a = node GROUP BY node)"
+
+
+@query(f"WITH RECURSIVE {_SCC} SELECT * FROM comp")
 def scc(spark, sf_dir):
-    return graph.strong_components(large_pairs(spark, sf_dir))
+    return graph.strong_components(pairs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SCC} SELECT size, count(*) AS components FROM (SELECT count(*) AS size FROM comp GROUP BY component) GROUP BY size")
 def size_distribution(spark, sf_dir):
     """How many components have each size."""
     size = graph.strong_components(pairs(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -129,115 +132,163 @@ def case_subgraph(spark, sf_dir):
     return inside.join(hub, "dst", "left").select("case_id", "src", "dst", F.coalesce("hub_edge", F.lit(False)).alias("hub_edge"))
 
 
-_UND = "und AS (SELECT src, dst FROM bp WHERE src <> dst UNION SELECT dst, src FROM bp WHERE src <> dst)"
+_UND = "und AS (SELECT src, dst FROM pairs WHERE src <> dst UNION SELECT dst, src FROM pairs WHERE src <> dst)"
+_NEAR = f"{_UND}, one AS (SELECT src AS node, count(*) AS n FROM und GROUP BY 1), two AS (SELECT a.src AS node, count(DISTINCT b.dst) AS n FROM und a JOIN und b ON a.dst = b.src WHERE b.dst <> a.src GROUP BY 1)"
 
 
-@query(f"WITH {PAIRS}, {_UND}, one AS (SELECT src AS node, count(*) AS n FROM und GROUP BY 1), two AS (SELECT a.src AS node, count(DISTINCT b.dst) AS n FROM und a JOIN und b ON a.dst = b.src WHERE b.dst <> a.src GROUP BY 1) SELECT one.node, least(one.n, 50) AS one_hop, least(coalesce(two.n, 0), 500) AS two_hop FROM one LEFT JOIN two USING (node)")
+@query(f"WITH {EDGES}, {_NEAR} SELECT one.node, least(one.n, 50) AS one_hop, least(coalesce(two.n, 0), 500) AS two_hop FROM one LEFT JOIN two USING (node)")
 def candidate_subgraphs(spark, sf_dir):
-    both = graph.undirected(large_pairs(spark, sf_dir))
+    both = graph.undirected(pairs(spark, sf_dir))
     one = both.groupBy(F.col("src").alias("node")).agg(F.least(F.count(F.lit(1)), F.lit(50)).alias("one_hop"))
     two = graph.two_hop(both, 500).withColumnRenamed("reach", "two_hop")
     return one.join(two, "node", "left").fillna(0, ["two_hop"])
 
 
-@query()
+def _central_sql() -> str:
+    rank = _rank_sql(6).rpartition(" SELECT ")[0]
+    mask = "substr(node, 1, 8) || '***' AS node"
+    degree = "SELECT node, in_degree + out_degree AS degree FROM deg ORDER BY degree DESC, node LIMIT 10"
+    top = "SELECT node, rank FROM r6 ORDER BY rank DESC, node LIMIT 10"
+    return f"{rank}, {DEGREES} SELECT 'pagerank' AS metric, {mask}, round(rank, 9) AS value FROM ({top}) UNION ALL SELECT 'degree', {mask}, CAST(degree AS DOUBLE) FROM ({degree})"
+
+
+@query(_central_sql())
 def centrality_topk(spark, sf_dir):
     """The ten nodes of largest rank and of largest degree, masked."""
-    rank = graph.pagerank(graph.edge_weights(edges(spark, sf_dir)), rounds=6).orderBy(F.desc("rank"), "node").limit(10).select(F.lit("pagerank").alias("metric"), mask_id(F.col("node")).alias("node"), F.col("rank").alias("value"))
+    rank = graph.pagerank(graph.edge_weights(edges(spark, sf_dir)), rounds=6).orderBy(F.desc("rank"), "node").limit(10).select(F.lit("pagerank").alias("metric"), mask_id(F.col("node")).alias("node"), F.round("rank", 9).alias("value"))
     degree = hubs(spark, sf_dir).orderBy(F.desc("degree"), "node").limit(10).select(F.lit("degree").alias("metric"), mask_id(F.col("node")).alias("node"), F.col("degree").cast("double").alias("value"))
     return rank.unionByName(degree)
 
 
 _DAY, _SPAN = 86_400_000_000, 72 * 3_600_000_000
-_MULE = "mule AS (SELECT node FROM (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 0 AS i, cents AS o FROM big UNION ALL SELECT dst, cents, 0 FROM big) GROUP BY node) WHERE i > 0 AND o > 0 AND CAST(least(i, o) AS DOUBLE) / greatest(i, o) >= 0.8)"
-_P3 = f"p3 AS (SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.dst AS n3, a.us AS t0, c.us AS t1, a.cents AS c0, c.cents AS c1 FROM big a JOIN big b ON b.src = a.dst AND b.us > a.us AND b.us - a.us <= {{gap}} JOIN big c ON c.src = b.dst AND c.us > b.us AND c.us - b.us <= {{gap}} AND c.us - a.us <= {_SPAN} WHERE a.src <> a.dst AND b.dst NOT IN (a.src, a.dst) AND c.dst NOT IN (a.src, a.dst, b.dst))"
 
 
-@query(f"WITH {PAIRS}, {_MULE}, {_P3.format(gap=_DAY)} SELECT n0, count(*) AS chains, min(t0) AS first_us, 0.5 + 0.15 * 4 AS score FROM p3 WHERE n1 IN (SELECT node FROM mule) GROUP BY n0")
+def _path_sql(hops: int, gap: int, span: int | None, closed: bool = False) -> str:
+    """FROM and WHERE of paths of ``hops`` edges a0.. in ascending time; the last edge returns to the first account if closed."""
+    out = "q a0"
+    for h in range(1, hops):
+        out += f" JOIN q a{h} ON a{h}.src = a{h - 1}.dst AND a{h}.us > a{h - 1}.us AND a{h}.us - a{h - 1}.us <= {gap}" + (f" AND a{h}.us - a0.us <= {span}" if span else "")
+    inner = hops - closed
+    fresh = [f"a{h}.dst NOT IN ({', '.join(['a0.src', *(f'a{i}.dst' for i in range(h))])})" for h in range(inner)] + [f"a{hops - 1}.dst = a0.src"] * closed
+    return f"{out} WHERE {' AND '.join(fresh)}"
+
+
+_FLOW = "flow AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 0 AS i, cents AS o FROM q UNION ALL SELECT dst, cents, 0 FROM q) GROUP BY node)"
+_MULES = f"{_FLOW}, mule AS (SELECT node FROM flow WHERE i > 0 AND o > 0 AND CAST(least(i, o) AS DOUBLE) / greatest(i, o) >= 0.8), mules AS (SELECT n0, count(*) AS chains, max(n) AS longest, min(t0) AS first_us, least(100, 50 + 15 * count(*)) / 100.0 AS score FROM (" + " UNION ALL ".join(
+    f"SELECT a0.src AS n0, {h + 1} AS n, a0.us AS t0 FROM {_path_sql(h, _DAY, None)} AND a0.dst IN (SELECT node FROM mule)" for h in (2, 3, 4)
+) + ") GROUP BY n0)"
+
+
+@query(f"WITH {CALM}, {_MULES} SELECT * FROM mules")
 def mule_chain(spark, sf_dir):
-    """Chains of four nodes through a node that passes on what it gets, hops within a day."""
-    big = large(spark, sf_dir)
-    flow = big.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).cast("long").alias("i"), F.col("cents").alias("o")), F.struct(F.col("dst").alias("node"), F.col("cents").alias("i"), F.lit(0).cast("long").alias("o")))).alias("x"))
-    flow = flow.groupBy("x.node").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o")).where("i > 0 and o > 0 and least(i, o) / greatest(i, o) >= 0.8")
-    chains = graph.paths(big, 3, _DAY, _SPAN).join(flow.select(F.col("node").alias("n1")), "n1", "left_semi")
-    return chains.groupBy("n0").agg(F.count(F.lit(1)).alias("chains"), F.min("t0").alias("first_us")).withColumn("score", F.lit(0.5 + 0.15 * 4))
+    """Chains of three to five accounts through one that passes on what it gets, payments at most a day apart."""
+    return graph.mule_chains(calm(spark, sf_dir))
 
 
-def _fan_sql(centre: str, other: str) -> str:
-    return f"WITH {PAIRS}, p AS (SELECT {centre} AS node, {other}, sum(cents) AS cents FROM big WHERE src <> dst GROUP BY ALL), g AS (SELECT node, count(*) AS n, CAST(max(cents) AS DOUBLE) / sum(cents) AS top_share FROM p GROUP BY node) SELECT node, n, round(top_share, 9) AS top_share, round(least(1.0, 0.07 * n + 0.3 * top_share), 9) AS score FROM g WHERE n >= 5"
+def _fan_sql(name: str, centre: str, other: str) -> str:
+    per = f"SELECT {centre} AS node, {other}, sum(cents) AS cents FROM q WHERE src <> dst GROUP BY ALL"
+    agg = f"SELECT node, count(*) AS n, CAST(max(cents) AS DOUBLE) / sum(cents) AS top_share FROM ({per}) GROUP BY node"
+    return f"{name} AS (SELECT node, n, round(top_share, 9) AS top_share, round(least(1.0, 0.07 * n + 0.3 * top_share), 9) AS score FROM ({agg}) WHERE n >= 5)"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select("node", "n", F.round("top_share", 9).alias("top_share"), F.round("score", 9).alias("score"))
 
 
-@query(_fan_sql("dst", "src"))
+@query(f"WITH {CALM}, {_fan_sql('f', 'dst', 'src')} SELECT * FROM f")
 def fan_in_pattern(spark, sf_dir):
-    return _rounded(graph.fan(large(spark, sf_dir), "dst", "src"))
+    return _rounded(graph.fan(calm(spark, sf_dir), "dst", "src"))
 
 
-@query(_fan_sql("src", "dst"))
+@query(f"WITH {CALM}, {_fan_sql('f', 'src', 'dst')} SELECT * FROM f")
 def fan_out_pattern(spark, sf_dir):
-    return _rounded(graph.fan(large(spark, sf_dir), "src", "dst"))
+    return _rounded(graph.fan(calm(spark, sf_dir), "src", "dst"))
 
 
-@query(f"WITH {PAIRS} SELECT concat_ws('>', a.src, a.dst) AS cycle, 2 AS n FROM bp a JOIN bp b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT concat_ws('>', a.src, a.dst, b.dst), 3 FROM bp a JOIN bp b ON b.src = a.dst JOIN bp c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
+_CYCLES = "cyc AS (" + " UNION ALL ".join(
+    f"SELECT [{', '.join(['a0.src', *(f'a{i}.dst' for i in range(k - 1))])}] AS nodes, {k} AS n, count(*) AS times, min(a0.us) AS first_us FROM {_path_sql(k, _SPAN, _SPAN, True)} GROUP BY ALL" for k in (2, 3, 4, 5)
+) + ")"
+
+
+@query(f"WITH {CALM}, {_CYCLES} SELECT array_to_string(nodes, '>') AS cycle, n, times, first_us FROM cyc")
 def circular_flow(spark, sf_dir):
-    """Cycles of two and three accounts."""
-    p = large_pairs(spark, sf_dir)
-    found = [graph.cycles(p, k).select(F.concat_ws(">", *[f"n{i}" for i in range(k)]).alias("cycle"), F.lit(k).alias("n")) for k in (2, 3)]
-    return found[0].unionByName(found[1])
+    """Cycles of two to five accounts, from the first payer on, whose payments follow each other within 72 hours."""
+    return graph.timed_cycles(calm(spark, sf_dir)).select(F.concat_ws(">", "nodes").alias("cycle"), "n", "times", "first_us")
+
 
+_LAYERS = f"lay AS (SELECT p.*, CASE WHEN x.i > y.o THEN CAST(x.i - y.o AS DOUBLE) / x.i ELSE 0.0 END AS retention FROM (SELECT a0.src AS n0, a0.dst AS n1, a1.dst AS n2, a2.dst AS n3, count(*) AS times, min(a0.us) AS first_us FROM {_path_sql(3, _SPAN, _SPAN)} GROUP BY ALL) p JOIN flow x ON x.node = n1 JOIN flow y ON y.node = n2), layers AS (SELECT *, least(100, 50 + 10 * times + CASE WHEN retention < 0.3 THEN 20 ELSE 0 END) / 100.0 AS score FROM lay)"
 
-@query(f"WITH {PAIRS}, {_P3.format(gap=_SPAN)} SELECT n0, n1, n2, n3, t0, CAST(c1 AS DOUBLE) / c0 AS retention, 0.5 + 0.1 * 3 + CASE WHEN CAST(c1 AS DOUBLE) / c0 < 0.3 THEN 0.2 ELSE 0.0 END AS score FROM p3")
+
+@query(f"WITH {CALM}, {_FLOW}, {_LAYERS} SELECT * REPLACE (round(retention, 9) AS retention) FROM layers")
 def rapid_layering(spark, sf_dir):
-    p = graph.paths(large(spark, sf_dir), 3, _SPAN, _SPAN).withColumn("retention", F.col("c1") / F.col("c0"))
-    return p.select("n0", "n1", "n2", "n3", "t0", "retention", (F.lit(0.5 + 0.1 * 3) + F.when(F.col("retention") < 0.3, 0.2).otherwise(0.0)).alias("score"))
+    """Payments through four accounts within 72 hours."""
+    return graph.rapid_layers(calm(spark, sf_dir)).withColumn("retention", F.round("retention", 9))
+
 
+_SAME = "same AS (SELECT account_id, sum(members) - count(*) AS others, least(95, sum(DISTINCT CASE kind WHEN 'device' THEN 30 WHEN 'phone' THEN 40 WHEN 'ip' THEN 15 ELSE 20 END)) / 100.0 AS score FROM sh WHERE members > 1 GROUP BY account_id)"
 
-@query(f"WITH {IDENTITY} SELECT account_id, other, least(0.95, sum(w)) AS score FROM (SELECT DISTINCT a.account_id, b.account_id AS other, a.kind, CASE a.kind WHEN 'device' THEN 0.3 WHEN 'phone' THEN 0.4 WHEN 'ip' THEN 0.15 ELSE 0.2 END AS w FROM ident a JOIN ident b ON a.kind = b.kind AND a.value = b.value AND a.account_id <> b.account_id) GROUP BY ALL")
+
+@query(f"WITH {IDENTITY}, {SHARED}, {_SAME} SELECT * FROM same")
 def shared_identity(spark, sf_dir):
-    """Weights of the kinds that two accounts share."""
-    p = joins.shared_identity_pairs(t.identity(spark, sf_dir))
-    hundredths = sum((F.when(F.array_contains("kinds", k), w).otherwise(0) for k, w in (("device", 30), ("phone", 40), ("ip", 15), ("email", 20))), F.lit(0))
-    return p.select("account_id", "other", (F.least(F.lit(95), hundredths) / 100.0).alias("score"))
+    """How many times others hold an account's values, and the weights of the kinds that it shares."""
+    shared = joins.shared_identity_pairs(t.identity(spark, sf_dir))
+    weight = F.when(F.col("kind") == "device", 30).when(F.col("kind") == "phone", 40).when(F.col("kind") == "ip", 15).otherwise(20)
+    by_kind = shared.groupBy("account_id", "kind").agg(F.sum(F.col("members") - 1).alias("others")).withColumn("weight", weight)
+    return by_kind.groupBy("account_id").agg(F.sum("others").alias("others"), (F.least(F.lit(95), F.sum("weight")) / 100.0).alias("score"))
+
+
+#: Weights of the six patterns: fixed values.
+WEIGHTS = {"mule_chain": 0.25, "fan_in": 0.15, "fan_out": 0.15, "circular_flow": 0.20, "rapid_layering": 0.15, "shared_identity": 0.10}
+
 
+def pattern_scores(spark, sf_dir) -> DataFrame:
+    """node, pattern, score, hits: for each node that a pattern is found at (chains and layers at their first account). Accounts of the
+    network and of the identity table are the same by number."""
+    e = written(calm(spark, sf_dir), "calm")
+    cycle = graph.timed_cycles(e).select(F.explode("nodes").alias("node"), F.lit(1).alias("one")).groupBy("node").agg(F.count("one").alias("n"))
+    per = {
+        "mule_chain": graph.mule_chains(e).select(F.col("n0").alias("node"), "score", F.col("chains").alias("hits")),
+        "fan_in": graph.fan(e, "dst", "src").select("node", "score", F.col("n").alias("hits")),
+        "fan_out": graph.fan(e, "src", "dst").select("node", "score", F.col("n").alias("hits")),
+        "circular_flow": cycle.select("node", (F.least(F.lit(100), 55 + 10 * F.col("n")) / 100.0).alias("score"), F.col("n").alias("hits")),
+        "rapid_layering": graph.rapid_layers(e).groupBy(F.col("n0").alias("node")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("hits")),
+        "shared_identity": shared_identity(spark, sf_dir).select(F.regexp_replace("account_id", "^C", "A").alias("node"), "score", F.col("others").alias("hits")),
+    }
+    parts = [df.select("node", F.lit(k).alias("pattern"), F.col("score").cast("double").alias("score"), F.col("hits").cast("long").alias("hits")) for k, df in per.items()]
+    return reduce(DataFrame.unionByName, parts)
 
-@query(f"WITH {PAIRS} SELECT 'fan_in' AS pattern, count(*) AS n FROM (SELECT dst FROM bp WHERE src <> dst GROUP BY 1 HAVING count(*) >= 5) UNION ALL SELECT 'fan_out', count(*) FROM (SELECT src FROM bp WHERE src <> dst GROUP BY 1 HAVING count(*) >= 5) UNION ALL SELECT 'circular_flow', count(*) FROM bp a JOIN bp b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst")
+
+_SCORES = f"{CALM}, {IDENTITY}, {SHARED}, {_SAME}, {_MULES}, {_fan_sql('fi', 'dst', 'src')}, {_fan_sql('fo', 'src', 'dst')}, {_CYCLES}, {_LAYERS}, ps AS (SELECT n0 AS node, 'mule_chain' AS pattern, CAST(score AS DOUBLE) AS score, chains AS hits FROM mules UNION ALL SELECT node, 'fan_in', score, n FROM fi UNION ALL SELECT node, 'fan_out', score, n FROM fo UNION ALL SELECT node, 'circular_flow', least(100, 55 + 10 * count(*)) / 100.0, count(*) FROM (SELECT unnest(nodes) AS node FROM cyc) GROUP BY node UNION ALL SELECT n0, 'rapid_layering', max(score), count(*) FROM layers GROUP BY n0 UNION ALL SELECT 'A' || substr(account_id, 2), 'shared_identity', score, others FROM same)"
+
+
+@query(f"WITH {_SCORES} SELECT pattern, count(*) AS n, CAST(sum(hits) AS BIGINT) AS hits FROM ps GROUP BY pattern")
 def run_patterns(spark, sf_dir):
-    """How often each pattern occurs."""
-    big, p = large(spark, sf_dir), large_pairs(spark, sf_dir)
-    found = {"fan_in": graph.fan(big, "dst", "src"), "fan_out": graph.fan(big, "src", "dst"), "circular_flow": graph.cycles(p, 2)}
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("pattern"), "n") for k, df in found.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """At how many nodes each of the six patterns is found, and how often."""
+    return pattern_scores(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"))
 
 
-_NODE_SCORES = f"{PAIRS}, fi AS (SELECT dst AS node, least(1.0, 0.07 * count(*)) AS s FROM bp WHERE src <> dst GROUP BY 1 HAVING count(*) >= 5), fo AS (SELECT src AS node, least(1.0, 0.07 * count(*)) AS s FROM bp WHERE src <> dst GROUP BY 1 HAVING count(*) >= 5), cy AS (SELECT DISTINCT a.src AS node, 0.75 AS s FROM bp a JOIN bp b ON a.src = b.dst AND a.dst = b.src), n AS (SELECT src AS node FROM bp UNION SELECT dst FROM bp), r AS (SELECT node, (CASE WHEN fi.s IS NULL THEN 0 ELSE 0.15 * fi.s END + CASE WHEN fo.s IS NULL THEN 0 ELSE 0.15 * fo.s END + CASE WHEN cy.s IS NULL THEN 0 ELSE 0.20 * cy.s END) AS got, (CASE WHEN fi.s IS NULL THEN 0 ELSE 0.15 END + CASE WHEN fo.s IS NULL THEN 0 ELSE 0.15 END + CASE WHEN cy.s IS NULL THEN 0 ELSE 0.20 END) AS w FROM n LEFT JOIN fi USING (node) LEFT JOIN fo USING (node) LEFT JOIN cy USING (node)), g AS (SELECT node, round(CASE WHEN w > 0 THEN CAST(got AS DOUBLE) / CAST(w AS DOUBLE) * 100 ELSE 0.0 END, 6) AS risk FROM r)"
+_WEIGHT = "CASE pattern " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS.items()) + " END"
+_RISK = f"{_SCORES}, g AS (SELECT node, round(coalesce(sum(score * {_WEIGHT}), 0) * 100, 6) AS risk FROM deg LEFT JOIN ps USING (node) GROUP BY node)"
 
 
 def node_risk(spark, sf_dir) -> DataFrame:
-    """Pattern scores of each node and their mean by weight; patterns that a node lacks leave the denominator."""
-    p = large_pairs(spark, sf_dir).where("src <> dst")
-    fan = lambda at: p.groupBy(F.col(at).alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("node", F.least(F.lit(1.0), 0.07 * F.col("n")).alias(f"fan_{at}"))
-    cycle = graph.cycle_nodes(large_pairs(spark, sf_dir)).withColumn("cycle", F.lit(0.75))
-    nodes = large_pairs(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    df = nodes.join(fan("dst"), "node", "left").join(fan("src"), "node", "left").join(cycle, "node", "left")
-    risk = graph.weighted_risk({"fan_in": F.col("fan_dst"), "fan_out": F.col("fan_src"), "circular_flow": F.col("cycle")}, {"fan_in": 0.15, "fan_out": 0.15, "circular_flow": 0.20})
-    return df.withColumn("risk", F.round(risk, 6))
+    """node, risk (0 to 100): pattern scores by weight. A pattern that was looked for and not found counts as 0."""
+    nodes = pairs(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("pattern")]
+    got = nodes.join(pattern_scores(spark, sf_dir), "node", "left").groupBy("node").agg(F.sum(F.col("score") * weight).alias("got"))
+    return got.select("node", F.round(F.coalesce("got", F.lit(0.0)) * 100, 6).alias("risk"))
 
 
-@query(f"WITH {_NODE_SCORES} SELECT node, risk, CASE WHEN risk < 30 THEN 'LOW' WHEN risk < 60 THEN 'MEDIUM' WHEN risk < 80 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM g")
+@query(f"WITH {_RISK} SELECT node, risk, CASE WHEN risk < 30 THEN 'LOW' WHEN risk < 60 THEN 'MEDIUM' WHEN risk < 80 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM g")
 def graph_risk(spark, sf_dir):
     return node_risk(spark, sf_dir).select("node", "risk", band(F.col("risk"), [30, 60, 80], ["LOW", "MEDIUM", "HIGH", "CRITICAL"]).alias("level"))
 
 
-@query(f"WITH {PAIRS}, f AS (SELECT node, us, i, o FROM (SELECT src AS node, us, 0 AS i, cents AS o FROM big UNION ALL SELECT dst, us, cents, 0 FROM big)), g AS (SELECT *, us - lag(us) OVER (PARTITION BY node ORDER BY us, i, o) AS gap FROM f) SELECT node, sum(i) / 100.0 AS in_flow, sum(o) / 100.0 AS out_flow, CASE WHEN greatest(sum(i), sum(o)) > 0 THEN CAST(least(sum(i), sum(o)) AS DOUBLE) / greatest(sum(i), sum(o)) END AS pass_through, sum(gap) / CAST(count(gap) AS DOUBLE) / 3600000000.0 AS gap_hours FROM g GROUP BY node")
+@query(f"WITH {EDGES}, f AS (SELECT node, us, i, o FROM (SELECT src AS node, us, 0 AS i, cents AS o FROM e UNION ALL SELECT dst, us, cents, 0 FROM e)), g AS (SELECT *, us - lag(us) OVER (PARTITION BY node ORDER BY us, i, o) AS gap FROM f) SELECT node, sum(i) / 100.0 AS in_flow, sum(o) / 100.0 AS out_flow, CASE WHEN greatest(sum(i), sum(o)) > 0 THEN CAST(least(sum(i), sum(o)) AS DOUBLE) / greatest(sum(i), sum(o)) END AS pass_through, sum(gap) / CAST(count(gap) AS DOUBLE) / 3600000000.0 AS gap_hours FROM g GROUP BY node")
 def money_flow(spark, sf_dir):
-    from pyspark.sql import Window
-
     zero = F.lit(0).cast("long")
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), "us", zero.alias("i"), F.col("cents").alias("o")), F.struct(F.col("dst").alias("node"), "us", F.col("cents").alias("i"), zero.alias("o"))))
-    flow = large(spark, sf_dir).select(ends.alias("x")).select("x.*")
+    flow = edges(spark, sf_dir).select(ends.alias("x")).select("x.*")
     flow = flow.withColumn("gap", F.col("us") - F.lag("us").over(Window.partitionBy("node").orderBy("us", "i", "o")))
     i, o = F.sum("i"), F.sum("o")
     return flow.groupBy("node").agg(
@@ -245,7 +296,18 @@ def money_flow(spark, sf_dir):
     )
 
 
-@query(f"WITH {_NODE_SCORES}, {DEGREES}, p AS (SELECT quantile_cont(in_degree + out_degree, 0.99) AS p99 FROM deg) SELECT g.node, CASE WHEN in_degree + out_degree >= 500 OR in_degree + out_degree >= p99 THEN 'HUB_AWARE' ELSE 'FULL' END AS mode, risk >= 60 AS review FROM g JOIN deg ON deg.node = g.node, p")
+#: Beyond so many nodes two hops away a neighbourhood is only looked at in aggregates.
+MOST_NEAR = 2000
+
+
+def graph_modes(pairs: DataFrame, hubs: DataFrame, most: int = MOST_NEAR) -> DataFrame:
+    """node, mode: SIZE_FALLBACK where the neighbourhood is too large, else HUB_AWARE at hubs, else FULL."""
+    reach = graph.two_hop(graph.undirected(pairs), most + 1)
+    mode = F.when(F.coalesce("reach", F.lit(0)) > most, "SIZE_FALLBACK").when(F.col("is_hub"), "HUB_AWARE").otherwise("FULL")
+    return hubs.select("node", "is_hub").join(reach, "node", "left").select("node", mode.alias("mode"))
+
+
+@query(f"WITH {_RISK}, {_NEAR} SELECT g.node, CASE WHEN two.n > {MOST_NEAR} THEN 'SIZE_FALLBACK' WHEN g.node IN (SELECT node FROM hub) THEN 'HUB_AWARE' ELSE 'FULL' END AS mode, risk >= 60 AS review FROM g LEFT JOIN two USING (node)")
 def graph_status(spark, sf_dir):
-    hub = hubs(spark, sf_dir).select("node", "is_hub")
-    return node_risk(spark, sf_dir).join(hub, "node").select("node", F.when(F.col("is_hub"), "HUB_AWARE").otherwise("FULL").alias("mode"), (F.col("risk") >= 60).alias("review"))
+    modes = graph_modes(pairs(spark, sf_dir), hubs(spark, sf_dir))
+    return node_risk(spark, sf_dir).join(modes, "node").select("node", "mode", (F.col("risk") >= 60).alias("review"))

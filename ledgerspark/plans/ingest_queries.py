@@ -329,9 +329,12 @@ def prior_cases(spark, sf_dir):
     return bad.select("transaction_id", F.count(F.lit(1)).over(earlier).alias("prior"), F.coalesce(F.max(risk).over(earlier), F.lit(0.0)).alias("top"))
 
 
-@query(f"WITH {IDENTITY} SELECT a.account_id, b.account_id AS other, string_agg(DISTINCT a.kind, ',' ORDER BY a.kind) AS kinds FROM ident a JOIN ident b ON a.kind = b.kind AND a.value = b.value AND a.account_id <> b.account_id GROUP BY ALL")
+SHARED = "sh AS (SELECT kind, value, account_id, min(account_id) OVER w AS representative, count(*) OVER w AS members FROM (SELECT DISTINCT * FROM ident) WINDOW w AS (PARTITION BY kind, value))"
+
+
+@query(f"WITH {IDENTITY}, {SHARED} SELECT * FROM sh WHERE members > 1")
 def shared_identity_pairs(spark, sf_dir):
-    return joins.shared_identity_pairs(t.identity(spark, sf_dir)).withColumn("kinds", F.array_join("kinds", ","))
+    return joins.shared_identity_pairs(t.identity(spark, sf_dir))
 
 
 @query(f"WITH {v.TXN}, e AS (SELECT DISTINCT account_id AS src, counterparty AS dst FROM txn), r AS (SELECT account_id, CAST(sum(is_suspicious) AS DOUBLE) / count(*) AS rate FROM txn GROUP BY 1) SELECT src, round(avg(rate), 9) AS neighbour_risk FROM e JOIN r ON dst = account_id GROUP BY 1")
