@@ -41,9 +41,20 @@ def has_word(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def parsed_time(text: Column) -> Column:
-    """The first format that fits, ISO with a zone first."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", *TIME_FORMATS)
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])
+    """The first format that fits, ISO with a zone first. Where the separators name the format only that one is tried, as a failed
+    attempt costs an exception; other texts go through all of them."""
+    t = F.trim(text)
+    parse = lambda f: F.try_to_timestamp(t, F.lit(f))
+    shape = lambda n, *at: (F.length(t) == n) & reduce(lambda x, y: x & y, [F.substring(t, i, 1) == c for i, c in at])
+    day = ((5, "-"), (8, "-"))
+    named = {
+        "yyyy-MM-dd HH:mm:ss": shape(19, *day, (11, " ")), "yyyy-MM-dd": shape(10, *day), "yyyy-MM-dd'T'HH:mm:ss": shape(19, *day, (11, "T")),
+        "yyyy-MM-dd HH:mm": shape(16, *day, (11, " ")), "yyyy/MM/dd": shape(10, (5, "/")),
+        "dd-MM-yyyy": shape(10, (3, "-")), "dd-MM-yyyy HH:mm:ss": shape(19, (3, "-")),
+    }
+    found = reduce(lambda w, kv: w.when(kv[1], parse(kv[0])), named.items(), F.when(shape(10, (3, "/")), F.coalesce(parse("dd/MM/yyyy"), parse("MM/dd/yyyy"))))
+    digits = t.rlike(r"^\d")
+    return F.when(digits, found.otherwise(F.coalesce(*[parse(f) for f in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", *TIME_FORMATS)])))
 
 
 def fingerprint(source: Column, target: Column, amount: Column, ts: Column, kind: Column) -> Column:

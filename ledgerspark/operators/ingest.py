@@ -34,6 +34,13 @@ def fields(message: Column) -> Column:
     return F.from_json(message, "map<string,string>")
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once per row, however often they are used: the optimizer copies expressions into what
+    uses them, but not through a generator."""
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("made")
+    return df.select("*", made).select(*df.columns, "made.*")
+
+
 def first_of(values: Column, names: tuple[str, ...]) -> Column:
     """The first value that is neither null nor empty."""
     return F.coalesce(*[F.nullif(F.trim(values[n]), F.lit("")) for n in names])
@@ -44,40 +51,42 @@ def any_of(values: Column, names: tuple[str, ...]) -> Column:
 
 
 def validated(messages: DataFrame) -> DataFrame:
-    """messages (column message) with fields and errors: all errors of a row, none repaired; empty means valid."""
-    df = messages.withColumn("fields", fields(F.col("message")))
+    """messages (column message) with fields, time (the parsed timestamp of ``fields``) and errors: all errors of a row, none repaired; empty
+    means valid. A message is parsed once, and its time once."""
     v = F.col("fields")
+    df = once(messages, {"fields": fields(F.col("message"))})
+    checked, named = first_of(v, CHECKED["timestamp"]), first_of(v, ALIASES["timestamp"])
+    df = once(df, {"checked": checked, "named": named})
+    df = once(df, {"valid_time": parsed_time(F.col("checked")), "other_time": F.when(~F.col("named").eqNullSafe(F.col("checked")), parsed_time(F.col("named")))})
     checks = []
-    amount = first_of(v, CHECKED["amount"])
-    number = amount.try_cast("double")
     for name, bad, text in (
-        ("amount", F.coalesce(number, F.lit(0.0)) <= 0, "invalid amount"),
-        ("timestamp", parsed_time(first_of(v, CHECKED["timestamp"])).isNull(), "invalid timestamp"),
+        ("amount", F.coalesce(first_of(v, CHECKED["amount"]).try_cast("double"), F.lit(0.0)) <= 0, "invalid amount"),
+        ("timestamp", F.col("valid_time").isNull(), "invalid timestamp"),
         ("type", first_of(v, CHECKED["type"]).isNull(), "invalid transaction_type"),
         ("source", first_of(v, CHECKED["source"]).isNull(), "invalid source account"),
         ("destination", first_of(v, CHECKED["destination"]).isNull(), "invalid destination account"),
     ):
         there = any_of(v, CHECKED[name])
         checks.append(F.when(~there, text.replace("invalid", "missing")).when(bad, text))
-    return df.withColumn("errors", F.array_compact(F.array(*checks)))
+    time = F.when(F.col("named").eqNullSafe(F.col("checked")), F.col("valid_time")).otherwise(F.col("other_time"))
+    return df.withColumns({"time": time, "errors": F.array_compact(F.array(*checks))}).drop("checked", "named", "valid_time", "other_time")
 
 
 def normalised(valid: DataFrame) -> DataFrame:
     """The canonical columns of messages whose errors are empty."""
     of = lambda k: first_of(F.col("fields"), ALIASES[k])
     upper = lambda k, default: F.coalesce(F.upper(of(k)), F.lit(default))
-    return valid.withColumns(
-        {
-            "source_account": of("source_account"),
-            "destination_account": of("destination_account"),
-            "amount": F.abs(of("amount").try_cast("double")),
-            "currency": upper("currency", "INR"),
-            "transaction_type": upper("transaction_type", "TRANSFER"),
-            "timestamp": parsed_time(of("timestamp")),
-            "country": upper("country", "IN"),
-            "tms_alert": F.coalesce(F.lower(of("tms_alert")).isin("true", "1", "yes"), F.lit(False)),
-        }
-    ).drop("fields", "errors", "message")
+    columns = {
+        "source_account": of("source_account"),
+        "destination_account": of("destination_account"),
+        "amount": F.abs(of("amount").try_cast("double")),
+        "currency": upper("currency", "INR"),
+        "transaction_type": upper("transaction_type", "TRANSFER"),
+        "timestamp": F.col("time"),
+        "country": upper("country", "IN"),
+        "tms_alert": F.coalesce(F.lower(of("tms_alert")).isin("true", "1", "yes"), F.lit(False)),
+    }
+    return once(valid, columns).drop("fields", "time", "errors", "message")
 
 
 def identified(canonical: DataFrame) -> DataFrame:
