@@ -1,20 +1,23 @@
 """Approximate nearest neighbours (largest inner product) with a hierarchical k-means tree.
 
 Fit: k-means splits a sample of at most ``SAMPLE`` vectors recursively; the tree is the only thing that is broadcast, and
-its size is bounded by the sample. Index: every vector descends to its leaf. Search: each query walks the tree best bin
-first: a priority queue holds nodes by the inner product of query and centroid, inner nodes are replaced by their
-children, leaves are visited in the order in which they leave the queue. How many leaves: up to ``CALIBRATION``
-vectors are searched exactly (in blocks, over all rows), and visits widen until that share of their true neighbours lies in
-visited leaves that reaches ``RECALL``.
-
-Shuffle: leaves are grouped into blocks (runs of leaves, so near leaves share one). A block with many vectors or many
-queries is cut into a grid of chunks of at most ``CHUNK`` rows each, so a hot leaf is spread over tasks; a query is sent
-once per block and chunk that it visits, never per leaf. Each task returns its best k, and the best of those are kept.
-Scores are inner products in double precision, summed in component order from the original vectors, so equal vectors tie exactly.
+its size is bounded by the sample. Every node has a direction (its centroid's), the largest angle from it to the directions of
+the leaves below, and the largest norm of its sample. Index: every vector descends to its leaf. Search: each query walks the
+tree best bin first: a priority queue holds nodes by the largest inner product that the cone of a node allows, inner nodes are
+replaced by their children, leaves are visited in the order in which they leave the queue. How many leaves: up to ``CALIBRATION``
+vectors that are not in the sample are searched exactly (in blocks, over all rows), and visits widen until that share of their true
+neighbours lies in visited leaves that reaches ``RECALL``. A query whose leaves hold fewer than k candidates visits more.
+
+Shuffle: leaves are grouped into blocks (runs of leaves, so near leaves share one), more of them where there are more vectors. A block with many
+vectors or many queries is cut into a grid of chunks of at most ``CHUNK`` rows each, so a hot leaf is spread over tasks; a query is
+sent once per block and chunk that it visits. A task multiplies queries with the rows of visited leaves only, leaf by leaf, and
+returns its best k; the best of those are kept. Scores are inner products in double precision, summed in component order from the
+original vectors, so equal vectors tie exactly.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do vectors of
 another length than the most frequent one; a query has all other candidates if there are fewer than k; rows that
-repeat an id are each candidates; ties go to the smaller id; an empty table gives an empty result.
+repeat an id are each candidates; ties go to the smaller id; other columns, whatever their names, are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 SAMPLE = 16_384
 BRANCH = 8
-LEAF_SAMPLE = 16
+LEAF_SAMPLE = 4
 CALIBRATION = 256
 RECALL = 0.97
 CHUNK = 20_000
-BLOCKS = 64
+#: Blocks at least; more if there are over CHUNK vectors for each of these.
+BLOCKS = 16
 
 
 class Tree:
@@ -45,16 +51,28 @@ class Tree:
         self.centroid: list[np.ndarray] = []
         self.children: list[list[int]] = []
         self.leaf: list[int] = []
+        self.norms: list[float] = []
         self.leaves = 0
         self._node(sample, sample.mean(axis=0) if len(sample) else np.zeros(0), branch, leaf_sample)
         self.matrix = np.array(self.centroid)
         del self.random
+        length = np.linalg.norm(self.matrix, axis=1, keepdims=True)
+        self.direction = self.matrix / np.where(length > 0, length, 1)
+        self.angle, self.norm = np.zeros(len(self.matrix)), np.array(self.norms)
+        below: list[list[int]] = [[] for _ in self.leaf]
+        for node in range(len(self.leaf) - 1, -1, -1):  # children have larger numbers
+            below[node] = [node] if self.leaf[node] >= 0 else [x for c in self.children[node] for x in below[c]]
+            if self.children[node]:
+                cosine = self.direction[below[node]] @ self.direction[node]
+                self.angle[node] = np.arccos(np.clip(cosine, -1, 1)).max()
+                self.norm[node] = self.norm[self.children[node]].max()
 
     def _node(self, rows: np.ndarray, centroid: np.ndarray, branch: int, leaf_sample: int) -> int:
         node = len(self.centroid)
         self.centroid.append(centroid)
         self.children.append([])
         self.leaf.append(-1)
+        self.norms.append(float(np.linalg.norm(rows, axis=1).max(initial=0.0)))
         parts = self._split(rows, branch) if len(rows) > leaf_sample else []
         if len(parts) < 2:
             self.leaf[node] = self.leaves
@@ -85,17 +103,20 @@ class Tree:
                 at, below = node == x, np.array(self.children[x])
                 node[at] = below[_nearest(rows[at], self.matrix[below])]
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
-        score = self.matrix @ query
-        queue, found = [(-score[0], 0)], []
-        while queue and len(found) < most:
+    def visits(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: ``most`` of them, and more until they hold ``least`` rows (sizes: rows by leaf)."""
+        length = np.linalg.norm(query)
+        angle = np.arccos(np.clip(self.direction @ (query / length), -1, 1))
+        score = self.norm * np.cos(np.maximum(angle - self.angle, 0))
+        queue, found, rows = [(-score[0], 0)], [], 0
+        while queue and (len(found) < most or rows < least):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for x in self.children[node]:
                     heapq.heappush(queue, (-score[x], x))
             else:
                 found.append(self.leaf[node])
+                rows += int(sizes[self.leaf[node]]) if sizes is not None else 0
         return found
 
 
@@ -116,14 +137,22 @@ def inner_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, allowed=None) -> Iterator[tuple]:
-    """For each query: its number, and row numbers and scores of its k best rows, best first."""
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, groups=None) -> Iterator[tuple]:
+    """For each query: its number, and row numbers and scores of its k best rows, best first.
+
+    groups: (slice of rows, mask of the queries that look at them); all rows for all queries without it.
+    """
     for at in range(0, len(queries), 256):
         part = slice(at, at + 256)
-        scores = queries[part] @ rows.T
+        if groups is None:
+            scores = queries[part] @ rows.T
+        else:
+            scores = np.full((len(queries[part]), len(rows)), -np.inf)
+            for some, mask in groups:
+                who = np.flatnonzero(mask[part])
+                if len(who):
+                    scores[who, some] = queries[part][who] @ rows[some].T
         scores[query_ids[part, None] == ids[None, :]] = -np.inf
-        if allowed is not None:
-            scores[~allowed(part)] = -np.inf
         for i, s in enumerate(scores):
             edge = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
             near = np.flatnonzero((s >= edge - 1e-9 * max(1.0, abs(edge))) & (s > -np.inf)) if edge > -np.inf else np.flatnonzero(s > -np.inf)
@@ -157,34 +186,39 @@ def nearest_neighbours(
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == length["n"])
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toPandas()
-    tree = Tree(_matrix(picked["v"]))
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample + CALIBRATION).select("id", "v").toPandas()
+    asked = min(CALIBRATION, len(picked) // 8)  # the last ones in hash order; the tree doesn't see them
+    tree = Tree(_matrix(picked["v"].head(len(picked) - asked)))
     shared = spark.sparkContext.broadcast(tree)
-    per_block = -(-tree.leaves // BLOCKS)
 
     def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             leaf = shared.value.assign(_matrix(pdf["v"])) if len(pdf) else np.zeros(0, np.int64)
             yield pdf.assign(leaf=leaf)
 
-    indexed = rows.mapInPandas(assigned, "id long, v array<double>, asked boolean, leaf long")
-    most = _calibrated(indexed, picked.head(CALIBRATION), tree, k, recall)
+    indexed = staged(rows.mapInPandas(assigned, "id long, v array<double>, asked boolean, leaf long"), "indexed")
+    most = _calibrated(indexed, picked.tail(asked), tree, k, recall)
+    sizes = np.zeros(tree.leaves, np.int64)  # one row per leaf: bounded by the sample
+    for r in indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+    per_block = -(-tree.leaves // min(tree.leaves, max(BLOCKS, -(-int(sizes.sum()) // chunk))))
     indexed = indexed.withColumn("block", F.floor(F.col("leaf") / per_block).cast("long"))
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, v in zip(pdf["id"], pdf["v"], strict=True):
-                leaves = np.sort(np.array(shared.value.visits(np.asarray(v), most), np.int64))
+                leaves = np.sort(np.array(shared.value.visits(np.asarray(v), most, sizes, k + 1), np.int64))
+                leaves = leaves[sizes[leaves] > 0]
                 edges = np.flatnonzero(np.diff(leaves // per_block)) + 1
                 out += [(i, v, int(part[0]) // per_block, part) for part in np.split(leaves, edges)]
             yield pd.DataFrame(out, columns=["id", "v", "block", "leaves"])
 
-    queries = rows.where("asked").select("id", "v").mapInPandas(routed, "id long, v array<double>, block long, leaves array<long>")
-    # At most BLOCKS + 1 rows: into how many chunks the vectors and the queries of a block are cut.
-    sizes = indexed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    queries = indexed.where("asked").select("id", "v").mapInPandas(routed, "id long, v array<double>, block long, leaves array<long>")
+    # At most one row per leaf: into how many chunks the vectors and the queries of a block are cut.
+    held = indexed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     asked = queries.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
-    grid = {r["block"]: (-(-r["n"] // chunk), -(-r["m"] // chunk)) for r in sizes.join(asked, "block").collect()}
+    grid = {r["block"]: (-(-r["n"] // chunk), -(-r["m"] // chunk)) for r in held.join(asked, "block").collect()}
     cuts = F.create_map(*[x for b, (n, m) in grid.items() for x in (F.lit(b), F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")))]) if grid else None
     if cuts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -201,16 +235,16 @@ def nearest_neighbours(
     def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(there):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        there = there.sort_values("leaf", kind="stable")
         ids, query_ids = there["id"].to_numpy(), asked["id"].to_numpy()
         leaf, first = there["leaf"].to_numpy(), int(there["leaf"].min())
         open_leaf = np.zeros((len(asked), int(leaf.max()) - first + 1), bool)
         for i, leaves in enumerate(asked["leaves"]):
             inside = np.asarray(leaves) - first
             open_leaf[i, inside[(inside >= 0) & (inside < open_leaf.shape[1])]] = True
-        out = [
-            (np.full(len(near), query_ids[i]), ids[near], score)
-            for i, near, score in best(_matrix(asked["v"]), query_ids, _matrix(there["v"]), ids, k, lambda p: open_leaf[p][:, leaf - first])
-        ]
+        edges = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
+        groups = [(slice(a, b), open_leaf[:, leaf[a] - first]) for a, b in zip(edges, edges[1:], strict=False)]
+        out = [(np.full(len(near), query_ids[i]), ids[near], score) for i, near, score in best(_matrix(asked["v"]), query_ids, _matrix(there["v"]), ids, k, groups)]
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
@@ -221,6 +255,8 @@ def nearest_neighbours(
 
 def _calibrated(indexed: DataFrame, queries: pd.DataFrame, tree: Tree, k: int, recall: float) -> int:
     """The fewest leaf visits with which the calibration queries reach the recall; queries and their true neighbours are few."""
+    if queries.empty:
+        return tree.leaves
     q, ids = _matrix(queries["v"]), queries["id"].to_numpy()
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
