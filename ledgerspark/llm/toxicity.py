@@ -15,9 +15,9 @@ most telling distinct words. A logistic regression turns these three into a scor
 Training rows are those whose crc32(doc_id as text) mod 3 is not ``HELD_OUT``, at most ``TRAIN_ROWS`` of them in hash order (a
 bounded sample, so that it can be broadcast to the documents and no text is shuffled). The regression is fitted on those of
 remainder 2, compared by models of remainder 0 that have not seen them; the models used for scoring are then counted
-over all training rows. Shared counts cover all documents and are summed by Spark. The model that is broadcast holds at
-most ``MODEL_ENTRIES`` words, contexts and bigrams each, those seen in most toxic contexts; other n-grams use the shared
-backoff. Words are hashed to 32 bits.
+over all training rows. Shared counts cover all documents and are summed by Spark. The model that is broadcast holds every
+word and context of the training rows and the bigrams that a class has ``LEAST`` times, so the sample bounds it; nothing else is cut.
+Words are hashed to 32 bits.
 
 Defined results: null and empty texts get the score of a text without evidence; without rows of both classes in
 remainder 0 (and in 2) every score is 0.0; conflicting labels of one id count as toxic; repeated rows are scored each; other columns are
@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import slices, with_field
 from .caches import worker_cache
-from .common import staged
+from .common import discard, staged
 
 HELD_OUT = 1
 THRESHOLD = 0.7
 TRAIN_ROWS = 40_000
-MODEL_ENTRIES = 1 << 18
+#: A class has an opinion of words that it saw after so many different words, and of bigrams that it saw so often; of others it only
+#: has the shared counts. The same for both classes.
+LEAST = 2
 WINDOW = 16
 #: Distinct words in the last feature.
 TOP = 2
@@ -97,11 +99,15 @@ def _discount(once: float, twice: float) -> float:
 
 
 class Model:
-    """Log-likelihood ratios: of words (backed off), of contexts (ratio of backoff weights), and of bigrams."""
+    """Log-likelihood ratios: of words (backed off), of contexts (ratio of backoff weights), and of bigrams.
 
-    def __init__(self, words, contexts, bigrams, default: float, weights=None) -> None:
-        self.words, self.contexts, self.bigrams = (self._sorted(*x) for x in (words, contexts, bigrams))
-        self.default, self.weights = default, weights
+    telling: the words that toxic texts hold after at least LEAST different words, with the same ratios; all others count
+    there by the mass that the classes leave to them together (``others``).
+    """
+
+    def __init__(self, words, contexts, bigrams, default: float, telling, others: float, weights=None) -> None:
+        self.words, self.contexts, self.bigrams, self.telling = (self._sorted(*x) for x in (words, contexts, bigrams, telling))
+        self.default, self.others, self.weights = default, others, weights
 
     @staticmethod
     def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +130,10 @@ class Model:
         if not len(end) or not end[-1]:
             return out
         flat = np.concatenate(words)
-        alone = self._find(self.words, flat.astype(np.int64), self.default)
-        ratio = alone.copy()
-        backed = alone[1:] + self._find(self.contexts, flat[:-1].astype(np.int64), 0.0)
+        ratio = self._find(self.words, flat.astype(np.int64), self.default)
+        alone = self._find(self.telling, flat.astype(np.int64), self.others)
+        single = ratio.copy()
+        backed = ratio[1:] + self._find(self.contexts, flat[:-1].astype(np.int64), 0.0)
         ratio[1:] = self._find(self.bigrams, bigram_keys(flat), backed)
         total = np.concatenate([[0.0], np.cumsum(alone)])
         for i, w in enumerate(words):
@@ -134,7 +141,7 @@ class Model:
             if not n:
                 continue
             stop, start = int(end[i]), int(end[i]) - n
-            ratio[start] = alone[start]  # no word before it
+            ratio[start] = single[start]  # no word before it
             width = min(WINDOW, n)
             window = (total[start + width : stop + 1] - total[start : stop - width + 1]).max() / WINDOW
             own, top = alone[start:stop], 0.0
@@ -178,14 +185,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("text", "toxic", fold("doc_id").alias("fold"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, entries: int = MODEL_ENTRIES, train_rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Held-out rows are never read for labels."""
-    rows = training_rows(docs, labels, train_rows)
+    rows = staged(training_rows(docs, labels, train_rows), "training")  # bounded; read several times
     corpus = staged(word_counts(docs), "words")
-    half = language_models(rows.where("fold = 0"), corpus, entries)
+    half = language_models(rows.where("fold = 0"), corpus)
     if half is None:
-        return Model(*[(np.zeros(0, np.int64), np.zeros(0))] * 3, 0.0)
-    model = language_models(rows, corpus, entries)
+        return Model(*[(np.zeros(0, np.int64), np.zeros(0))] * 3, 0.0, (np.zeros(0, np.int64), np.zeros(0)), 0.0)
+    model = language_models(rows, corpus)
     shared = docs.sparkSession.sparkContext.broadcast(half)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,82 +203,68 @@ def fit(docs: DataFrame, labels: DataFrame, entries: int = MODEL_ENTRIES, train_
 
     fitted = rows.where("fold <> 0").select("text", "toxic").mapInArrow(run, "a double, b double, c double, toxic long")
     model.weights = logistic(fitted.toPandas())  # at most train_rows rows of four numbers
+    for done in (rows, corpus):
+        discard(done)
     return model
 
 
-def language_models(rows: DataFrame, corpus: DataFrame, entries: int) -> Model | None:
-    """Both models' ratios from text and toxic, and the corpus' word counts; None without words of both classes."""
-    counts = bigram_counts(rows.select("text", "toxic"))
-    word, before = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
-    seen = lambda c, n=None: F.sum((F.col(c) > 0 if n is None else F.col(c) == n).cast("long"))
-    of = lambda name, key, *more: counts.groupBy(key.alias("key")).agg(
-        seen("toxic").alias("t"), seen("ordinary").alias("o"), F.count(F.lit(1)).alias("both"),
-        F.sum("toxic").alias("t_sum"), F.sum("ordinary").alias("o_sum"),
-    ).withColumn("kind", F.lit(name))
-    by_word = of("word", word)
-    by_context = of("context", before)
-    bigrams = counts.select("key", (F.col("toxic") > 0).cast("long").alias("t"), (F.col("ordinary") > 0).cast("long").alias("o"),
-                            F.lit(1).cast("long").alias("both"), F.col("toxic").alias("t_sum"), F.col("ordinary").alias("o_sum"), F.lit("bigram").alias("kind"))
-    # One pass over the counts: n-grams that a class model may list, and totals of everything.
-    listed = (F.col("kind") != "bigram") & (F.col("t") >= 2) | (F.col("kind") == "bigram") & (F.col("t_sum") >= 3)
-    all_rows = by_word.union(by_context.select(by_word.columns)).union(bigrams.select(by_word.columns))
-    kept = F.when(listed, F.col("key"))
-    tallies = [F.sum(c) for c in ("t", "o", "both", "t_sum", "o_sum")]
-    marks = [F.sum((F.col(c) == n).cast("long")) for c in ("t", "o", "t_sum", "o_sum") for n in (1, 2)]
-    summed = all_rows.groupBy("kind", kept.alias("key")).agg(
-        *[x.alias(f"s{i}") for i, x in enumerate(tallies)], *[x.alias(f"m{i}") for i, x in enumerate(marks)], F.count(F.lit(1)).alias("n")
-    )
-    table = staged(summed, "ngrams")
-    totals = {r["kind"]: r for r in table.groupBy("kind").agg(*[F.sum(c).alias(c) for c in table.columns[2:]]).collect()}
-    if "word" not in totals or not totals["word"]["s0"] or not totals["word"]["s1"]:
+def language_models(rows: DataFrame, corpus: DataFrame) -> Model | None:
+    """Both models' ratios from text and toxic, and the corpus' word counts; None without words of both classes.
+
+    All n-grams of the training rows are counted and smoothed on Spark; what is collected, a key and a ratio for each word and context
+    and for each bigram that one class has ``LEAST`` times, is bounded by the training rows.
+    """
+    counts = staged(bigram_counts(rows.select("text", "toxic")), "bigrams")
+    word, before = F.shiftright("key", 32).bitwiseAND(F.lit(0xFFFFFFFF)), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    several = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    words = staged(counts.groupBy(word.alias("word")).agg(several("toxic").alias("t"), several("ordinary").alias("o")), "word-counts")
+    marks = lambda df, columns: df.agg(*[F.sum(c).alias(c) for c in columns], *[F.sum((F.col(c) == n).cast("long")).alias(f"{c}{n}") for c in columns for n in (1, 2)]).first()
+    w, g = marks(words, ("t", "o")), marks(counts, ("toxic", "ordinary"))  # one row each
+    if not w["t"] or not w["o"]:
         return None
-    top = {k: table.where((F.col("kind") == k) & F.col("key").isNotNull()).orderBy(F.desc("s0"), F.desc("s3"), "key").limit(entries).toPandas() for k in ("word", "context", "bigram")}
-    w, g = totals["word"], totals["bigram"]
-    d_word = [_discount(w["m0"], w["m1"]), _discount(w["m2"], w["m3"])]
-    d_pair = [_discount(g["m4"], g["m5"]), _discount(g["m6"], g["m7"])]
+    d_word = [_discount(w[f"{c}1"], w[f"{c}2"]) for c in ("t", "o")]
+    d_pair = [_discount(g[f"{c}1"], g[f"{c}2"]) for c in ("toxic", "ordinary")]
 
-    words = top["word"]
-    words["key"] &= 0xFFFFFFFF
+    # Words: discounted continuation counts, and the shared counts of all documents by what the discounts leave.
     everything = corpus.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    listed = rows.sparkSession.createDataFrame(words[["key"]].rename(columns={"key": "word"}))  # at most ``entries`` rows
-    known = corpus.join(F.broadcast(listed), "word").toPandas().set_index("word")["n"]
-    shared = (known.reindex(words["key"]).fillna(0).to_numpy() + 1) / (everything["n"] + everything["v"])
-    p, backoff = [], []
-    for c, (own, total) in enumerate((("s0", w["s0"]), ("s1", w["s1"]))):
-        direct = np.maximum(words[own] - d_word[c], 0) / total
-        backoff.append(max(1 - direct.sum(), 1e-9))
-        p.append(direct)
-    # Words that are not listed share what is left, in proportion to the shared counts.
-    unlisted = max(1 - shared.sum(), 1e-9)
-    spare = [b * (1 - F_SHARED) for b in backoff]
-    p = [(direct + b * F_SHARED * shared) for direct, b in zip(p, backoff, strict=True)]
-    default = float(np.log((spare[0] / unlisted + backoff[0] * F_SHARED) / (spare[1] / unlisted + backoff[1] * F_SHARED)))
-    ratio = np.log(p[0]) - np.log(p[1])
-    word_p = dict(zip(words["key"].tolist(), zip(p[0], p[1], strict=True), strict=True))
-
-    contexts = top["context"]
-    b_t = np.clip(d_pair[0] * contexts["s0"] / contexts["s3"].clip(lower=1), 1e-3, 1)
-    b_o = np.where(contexts["s4"] > 0, np.clip(d_pair[1] * contexts["s1"] / contexts["s4"].clip(lower=1), 1e-3, 1), 1.0)
-    context_of = {k: x for k, *x in zip(contexts["key"].tolist(), contexts["s3"], contexts["s4"], b_t, b_o, strict=True)}
-
-    pairs = [
-        (k, t, o, *context_of[k & 0xFFFFFFFF], *word_p[k >> 32 & 0xFFFFFFFF])
-        for k, t, o in zip(top["bigram"]["key"].tolist(), top["bigram"]["s3"], top["bigram"]["s4"], strict=True)
-        if k & 0xFFFFFFFF in context_of and k >> 32 & 0xFFFFFFFF in word_p
-    ]
-    k, t, o, n_t, n_o, bt, bo, pt, po = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else [np.zeros(0)] * 9
-    p_t = np.maximum(t - d_pair[0], 0) / np.maximum(n_t, 1) + bt * pt
-    p_o = np.maximum(o - d_pair[1], 0) / np.maximum(n_o, 1) + bo * po
-    return Model(
-        (words["key"].to_numpy(np.int64), ratio.to_numpy()),
-        (contexts["key"].to_numpy(np.int64), np.log(b_t) - np.log(b_o)),
-        (k.astype(np.int64), np.log(p_t) - np.log(p_o) if len(k) else np.zeros(0)),
-        default,
+    direct = lambda c, d, total: F.greatest(F.col(c) - d, F.lit(0.0)) / total
+    rest = words.agg(*[F.sum(direct(c, d_word[i], w[c])).alias(c) for i, c in enumerate(("t", "o"))]).first()
+    spare = [max(1 - rest[c], 1e-9) for c in ("t", "o")]
+    common = (F.coalesce("n", F.lit(0)) + 1) / float(everything["n"] + everything["v"])
+    p = [direct(c, d_word[i], w[c]) + spare[i] * common for i, c in enumerate(("t", "o"))]
+    smooth = staged(words.join(corpus, "word", "left").select("word", "t", p[0].alias("p_t"), p[1].alias("p_o")), "smoothed")
+
+    # Contexts: what the listed bigrams of a context leave; bigrams that both classes have less than LEAST times back off.
+    listed = (F.col("toxic") >= LEAST) | (F.col("ordinary") >= LEAST)
+    kept = lambda c, d: F.sum(F.when(listed, F.greatest(F.col(c) - d, F.lit(0.0))).otherwise(0.0))
+    contexts = counts.groupBy(before.alias("context")).agg(
+        F.sum("toxic").alias("n_t"), F.sum("ordinary").alias("n_o"), kept("toxic", d_pair[0]).alias("k_t"), kept("ordinary", d_pair[1]).alias("k_o")
     )
-
-
-#: Share of a class model's backoff weight that goes to the shared counts of all words; the rest goes to unlisted words.
-F_SHARED = 0.5
+    back = lambda n, k: F.when(F.col(n) > 0, F.greatest(1 - F.col(k) / F.col(n), F.lit(1e-3))).otherwise(1.0)
+    contexts = staged(contexts.select("context", "n_t", "n_o", back("n_t", "k_t").alias("b_t"), back("n_o", "k_o").alias("b_o")), "contexts")
+    pairs = counts.where(listed).select(word.alias("word"), before.alias("context"), "key", "toxic", "ordinary").join(smooth, "word").join(contexts, "context")
+    of = lambda c, d, n, b, q: F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(F.col(n), F.lit(1)) + F.col(b) * F.col(q)
+    ratio = F.log(of("toxic", d_pair[0], "n_t", "b_t", "p_t")) - F.log(of("ordinary", d_pair[1], "n_o", "b_o", "p_o"))
+
+    def collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = df.toArrow()
+        return table.column(0).to_numpy(), table.column(1).to_numpy()
+
+    float_ratio = lambda x: x.cast("float").alias("ratio")
+    telling = smooth.where(F.col("t") >= LEAST)
+    told = telling.agg(F.sum("p_t").alias("t"), F.sum("p_o").alias("o")).first()
+    others = [max(1 - (told[c] or 0.0), 1e-9) for c in ("t", "o")]
+    model = Model(
+        collected(smooth.select("word", float_ratio(F.log("p_t") - F.log("p_o")))),
+        collected(contexts.where("b_t <> b_o").select("context", float_ratio(F.log("b_t") - F.log("b_o")))),
+        collected(pairs.select("key", float_ratio(ratio))),
+        float(np.log(spare[0]) - np.log(spare[1])),
+        collected(telling.select("word", float_ratio(F.log("p_t") - F.log("p_o")))),
+        float(np.log(others[0]) - np.log(others[1])),
+    )
+    for done in (counts, words, smooth, contexts):
+        discard(done)
+    return model
 
 
 def logistic(rows, steps: int = 50, ridge: float = 1e-2):

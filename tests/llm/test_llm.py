@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -364,6 +365,42 @@ def test_toxicity_held_out(docs, odd, spark):
     assert {x["score"] for x in toxicity.scored(docs(rows[:20]), empty).collect()} == {0.0}
 
 
+def test_language_models_against_brute_force(spark):
+    """Ratios of words, contexts and bigrams, recomputed by dictionaries from the texts."""
+    r = random.Random(13)
+    rows = [(" ".join(f"w{min(int(r.expovariate(0.2)), 30 + 5 * t)}" for _ in range(60)), t) for t in [0, 1] * 20]
+    other = [" ".join(f"w{r.randint(0, 40)}" for _ in range(50)) for _ in range(10)]
+    df = spark.createDataFrame(rows, "text string, toxic long")
+    corpus = toxicity.word_counts(spark.createDataFrame([(t,) for t, _ in rows] + [(t,) for t in other], "text string"))
+    model = toxicity.language_models(df, corpus)
+    whole = Counter(w for t in [*[t for t, _ in rows], *other] for w in t.split())
+    pairs = [Counter((a, b) for t, label in rows if label == c for a, b in zip(t.split(), t.split()[1:])) for c in (1, 0)]
+    listed = {k for k in {*pairs[0], *pairs[1]} if max(p[k] for p in pairs) >= toxicity.LEAST}
+    p, chain, back, spare = [], [], [], []
+    for c in (0, 1):
+        before = Counter(b for _, b in pairs[c])
+        d = toxicity._discount(sum(n == 1 for n in before.values()), sum(n == 2 for n in before.values()))
+        left = 1 - sum(n - d for n in before.values()) / sum(before.values())
+        p.append({w: max(before[w] - d, 0) / sum(before.values()) + left * (whole[w] + 1) / (sum(whole.values()) + len(whole)) for w in whole})
+        e = toxicity._discount(sum(n == 1 for n in pairs[c].values()), sum(n == 2 for n in pairs[c].values()))
+        first = Counter()
+        for (a, _), n in pairs[c].items():
+            first[a] += n
+        back.append({a: max(1 - sum(max(pairs[c][k] - e, 0) for k in listed if k[0] == a) / first[a], 1e-3) if first[a] else 1.0 for a in whole})
+        chain.append({(a, b): max(pairs[c][a, b] - e, 0) / max(first[a], 1) + back[c][a] * p[c][b] for a, b in listed})
+        spare.append(left)
+    key = lambda w: int(toxicity.word_hashes(w)[0])
+    seen = {b for q in pairs for _, b in q}
+    found = dict(zip(model.words[0].tolist(), model.words[1].tolist()))
+    assert set(found) == {key(w) for w in seen} and all(abs(found[key(w)] - np.log(p[0][w] / p[1][w])) < 1e-5 for w in seen)
+    found = dict(zip(model.bigrams[0].tolist(), model.bigrams[1].tolist()))
+    want = {int(toxicity.bigram_keys(toxicity.word_hashes(f"{a} {b}"))[0]): np.log(chain[0][a, b] / chain[1][a, b]) for a, b in listed}
+    assert set(found) == set(want) and all(abs(found[k] - v) < 1e-5 for k, v in want.items())
+    found = dict(zip(model.contexts[0].tolist(), model.contexts[1].tolist()))
+    assert all(abs(found.get(key(a), 0.0) - np.log(back[0][a] / back[1][a])) < 1e-5 for a in {a for q in pairs for a, _ in q})
+    assert abs(model.default - np.log(spare[0] / spare[1])) < 1e-6
+
+
 # 8: packing
 
 
