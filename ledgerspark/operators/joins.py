@@ -31,10 +31,21 @@ def history(txn: DataFrame, n: int, value: Column, name: str) -> DataFrame:
 
 
 def asof_history(asked: DataFrame, past: DataFrame, n: int) -> DataFrame:
-    """For each asked (account_id, asked_id, asked_ts) the account's n newest rows before asked_ts, place 1 the newest."""
-    near = past.join(asked, "account_id").where("ts < asked_ts")
-    place = Window.partitionBy("asked_id").orderBy(F.desc("ts"), F.desc("transaction_id"))
-    return near.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
+    """For each asked (account_id, asked_id, asked_ts) the account's n newest rows (ts, transaction_id) before asked_ts, place 1 the newest.
+
+    One pass over each account in time order: rows carry the n newest up to themselves (a row frame), questions take what the last row
+    before them carries. Work grows with the rows times n, not with the square of an account.
+    """
+    newest = Window.partitionBy("account_id").orderBy("ts", "transaction_id").rowsBetween(1 - n, 0)
+    rows = past.select("account_id", "ts", "transaction_id").withColumn("held", F.collect_list(F.struct("ts", "transaction_id")).over(newest))
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    questions = asked.select("account_id", F.col("asked_ts").alias("ts"), none("transaction_id", rows), none("held", rows), "asked_id", F.lit(0).alias("kind"))
+    both = rows.select("account_id", "ts", "transaction_id", "held", none("asked_id", questions), F.lit(1).alias("kind")).unionByName(questions)
+    before = Window.partitionBy("account_id").orderBy("ts", "kind", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("known", F.last("held", True).over(before)).where("kind = 0")
+    return found.select("account_id", "asked_id", F.col("ts").alias("asked_ts"), F.posexplode(F.reverse("known")).alias("place", "row")).select(
+        "account_id", "asked_id", "asked_ts", "row.*", (F.col("place") + 1).alias("place")
+    )
 
 
 def velocity_lookup(txn: DataFrame) -> DataFrame:
@@ -52,19 +63,20 @@ def shared_identity_pairs(identity: DataFrame) -> DataFrame:
     return once.join(groups, ["kind", "value"])
 
 
-def tag_overlap(cases: DataFrame, provisions: DataFrame, jurisdiction: str = "IN") -> DataFrame:
-    """case tags against a small table of provisions: matched tags, + 2 for the jurisdiction, + 1 for GLOBAL. Joined by tag and
-    by jurisdiction, so that only provisions with a score travel."""
-    by_tag = cases.select("case_id", F.explode("tags").alias("tag")).join(
-        F.broadcast(provisions.select(F.col("id"), F.explode("tags").alias("tag"))), "tag"
-    )
-    matched = by_tag.groupBy("case_id", "id").agg(F.array_sort(F.collect_set("tag")).alias("matched"))
+def tag_overlap(cases: DataFrame, provisions: DataFrame, jurisdiction: str = "IN", most: int | None = None) -> DataFrame:
+    """case tags against provisions (a fixed table, which travels as one array): matched tags, + 2 for the jurisdiction, + 1 for GLOBAL. Rows
+    with a score, place by score and id; at most ``most`` for each case."""
     bonus = F.when(F.col("jurisdiction") == jurisdiction, 2).when(F.col("jurisdiction") == "GLOBAL", 1).otherwise(0)
-    ground = provisions.select("id", "title", "summary", bonus.alias("bonus"))
-    listed = F.lit(True)
-    everyone = cases.select("case_id").withColumn("all", listed).join(F.broadcast(ground.withColumn("all", listed)), "all").drop("all")
-    scored = everyone.join(matched, ["case_id", "id"], "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
-    return scored.withColumn("score", F.size("matched") + F.col("bonus")).where("score > 0")
+    one = provisions.agg(F.collect_list(F.struct("id", "title", "summary", "tags", bonus.alias("bonus"))).alias("provisions"))  # one row
+
+    def judged(p):
+        matched = F.array_sort(F.array_intersect("tags", p["tags"]))
+        return F.struct(p["id"].alias("id"), p["title"].alias("title"), p["summary"].alias("summary"), matched.alias("matched"), (F.size(matched) + p["bonus"]).alias("score"))
+
+    order = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    ranked = F.array_sort(F.filter(F.transform("provisions", judged), lambda p: p["score"] > 0), order)
+    ranked = F.slice(ranked, 1, most) if most else ranked
+    return cases.join(F.broadcast(one)).select("case_id", F.posexplode(ranked).alias("place", "p")).select("case_id", "p.*", (F.col("place") + 1).alias("place"))
 
 
 def neighbour_risk(edges: DataFrame, risk: DataFrame) -> DataFrame:
@@ -73,15 +85,21 @@ def neighbour_risk(edges: DataFrame, risk: DataFrame) -> DataFrame:
 
 
 def similar_cases(cases: DataFrame, vector: list[str], candidates: int = 500, k: int = 5) -> DataFrame:
-    """The k cases nearest by cosine among the newest candidates (at most ``candidates`` rows are broadcast)."""
+    """The k cases nearest by cosine among the newest candidates (at most ``candidates``, which travel as one array)."""
     norm = F.sqrt(sum((F.col(c) * F.col(c) for c in vector), F.lit(0.0)))
     known = cases.withColumn("norm", norm)
-    newest = known.orderBy(F.desc("updated"), "case_id").limit(candidates).select(*[F.col(c).alias(f"{c}_b") for c in ("case_id", *vector, "norm")])
-    dot = sum((F.col(c) * F.col(f"{c}_b") for c in vector), F.lit(0.0))
-    pairs = known.withColumn("one", F.lit(1)).join(F.broadcast(newest.withColumn("one_b", F.lit(1))), F.expr("one = one_b and case_id <> case_id_b"))
-    scored = pairs.withColumn("cosine", F.when((F.col("norm") > 0) & (F.col("norm_b") > 0), F.round(dot / (F.col("norm") * F.col("norm_b")), 6)).otherwise(0.0))
-    place = Window.partitionBy("case_id").orderBy(F.desc("cosine"), "case_id_b")
-    return scored.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("case_id", F.col("case_id_b").alias("other"), "place", "cosine")
+    newest = known.orderBy(F.desc("updated"), "case_id").limit(candidates)
+    one = newest.agg(F.collect_list(F.struct("case_id", *vector, "norm")).alias("newest"))  # one row
+
+    def near(c):
+        dot = sum((F.col(x) * c[x] for x in vector), F.lit(0.0))
+        cosine = F.when((F.col("norm") > 0) & (c["norm"] > 0), F.round(dot / (F.col("norm") * c["norm"]), 6)).otherwise(0.0)
+        return F.struct((-cosine).alias("far"), c["case_id"].alias("other"), cosine.alias("cosine"))
+
+    others = F.filter("newest", lambda c: c["case_id"] != F.col("case_id"))
+    ranked = F.slice(F.array_sort(F.transform(others, near)), 1, k)
+    found = known.join(F.broadcast(one)).select("case_id", F.posexplode(ranked).alias("place", "c"))
+    return found.select("case_id", "c.other", (F.col("place") + 1).alias("place"), "c.cosine")
 
 
 def endpoints_known(edges: DataFrame, nodes: DataFrame) -> DataFrame:

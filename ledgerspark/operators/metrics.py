@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import written
 
 
 def behaviour_evidence(history: DataFrame) -> DataFrame:
@@ -15,15 +16,27 @@ def behaviour_evidence(history: DataFrame) -> DataFrame:
     return g.select("transaction_id", "n", "mean", "median", "top", ((F.col("amount") / F.col("mean") >= 2.5) | (F.col("amount") / F.col("median") >= 2.5)).alias("deviation"))
 
 
-def beneficiary_evidence(history: DataFrame) -> DataFrame:
-    same = F.expr("counterparty = dest")
-    return history.groupBy("transaction_id").agg(
-        F.count_if(same).alias("matches"), (F.coalesce(F.sum(F.when(same, F.col("cents"))), F.lit(0)) / 100.0).alias("total"), F.min(F.when(same, F.col("ts"))).alias("first_seen"), (F.count_if(same) == 0).alias("is_new")
+def _earlier(*keys: str):
+    """The rows of the keys before a row's moment: a frame, not a join."""
+    return Window.partitionBy(*keys).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+
+
+def beneficiary_evidence(txn: DataFrame, asked: Column) -> DataFrame:
+    """For asked rows with earlier rows of their account: payments to the same counterparty before."""
+    same = _earlier("account_id", "counterparty")
+    df = txn.withColumns({"n": F.count(F.lit(1)).over(_earlier("account_id")), "matches": F.count(F.lit(1)).over(same), "cents_before": F.sum("cents").over(same), "first_seen": F.min("ts").over(same)})
+    return df.where(asked & (F.col("n") > 0)).select(
+        "transaction_id", "matches", (F.coalesce("cents_before", F.lit(0)) / 100.0).alias("total"), "first_seen", (F.col("matches") == 0).alias("is_new")
     )
 
 
-def velocity_evidence(history: DataFrame) -> DataFrame:
-    g = history.groupBy("transaction_id").agg(F.count_if(F.expr("dn = day")).alias("day_count"), (F.count(F.lit(1)) / F.countDistinct("dn")).alias("daily_avg"))
+def velocity_evidence(txn: DataFrame, asked: Column) -> DataFrame:
+    """For asked rows with earlier rows of their account: rows earlier on the day against the mean of days with rows."""
+    first = F.row_number().over(Window.partitionBy("account_id", "dn").orderBy("us", "transaction_id")) == 1
+    df = txn.withColumn("new_day", first.cast("int"))
+    account = _earlier("account_id")
+    df = df.withColumns({"n": F.count(F.lit(1)).over(account), "days": F.sum("new_day").over(account), "day_count": F.count(F.lit(1)).over(_earlier("account_id", "dn"))})
+    g = df.where(asked & (F.col("n") > 0)).select("transaction_id", "day_count", (F.col("n") / F.col("days")).alias("daily_avg"))
     return g.withColumn("high", (F.col("day_count") >= 5) | (F.col("day_count") > 2 * F.col("daily_avg")))
 
 
@@ -71,24 +84,33 @@ def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"))
 
 
+def running(df: DataFrame, order: Column, sums: dict[str, Column]) -> DataFrame:
+    """df with running sums over a global order. Ranges of the order are summed by their own tasks, and each takes what the ranges
+    before it hold (one row per range), so no task sees all rows. Rows equal in the order must be one row."""
+    ranged = written(df.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("range").agg(*[F.sum(c).alias(f"{k}_range") for k, c in sums.items()])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carried = totals.select("range", *[F.coalesce(F.sum(f"{k}_range").over(before), F.lit(0)).alias(f"{k}_before") for k in sums])
+    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = ranged.join(F.broadcast(carried), "range").withColumns({k: F.sum(c).over(inside) + F.col(f"{k}_before") for k, c in sums.items()})
+    return df.drop("range", *[f"{k}_before" for k in sums])
+
+
 def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """score, precision, recall, f1 at each distinct score."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct score
-    g = by_score(df, score, label)
-    all_p = F.sum("p").over(Window.partitionBy())
-    c = g.select("score", (F.sum("p").over(down) / F.sum("n").over(down)).alias("precision"), (F.sum("p").over(down) / all_p).alias("recall"))
+    g = running(by_score(df, score, label), F.desc("score"), {"cn": F.col("n"), "cp": F.col("p")})
+    total = df.agg(F.sum(label).alias("all_p"))  # one row
+    c = g.join(F.broadcast(total)).select("score", (F.col("cp") / F.col("cn")).alias("precision"), (F.col("cp") / F.col("all_p")).alias("recall"))
     both = F.col("precision") + F.col("recall")
     return c.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """roc_auc (ties count half) and average_precision."""
-    g = by_score(df, score, label)
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.select("n", "p", F.coalesce(F.sum(F.col("n") - F.col("p")).over(up), F.lit(0)).alias("below"), F.sum("n").over(down).alias("cn"), F.sum("p").over(down).alias("cp"))
-    total = g.agg(F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))  # one row
-    area = F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2.0)) / F.first("pos") / F.first("neg")
+    c = running(by_score(df, score, label), F.desc("score"), {"cn": F.col("n"), "cp": F.col("p")})
+    total = df.agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))  # one row
+    below = F.col("neg") - (F.col("cn") - F.col("cp"))  # negatives with a smaller score
+    area = F.sum(F.col("p") * (below + (F.col("n") - F.col("p")) / 2.0)) / F.first("pos") / F.first("neg")
     return c.join(F.broadcast(total)).agg(F.round(area, 9).alias("roc_auc"), F.round(F.sum(F.col("p") / F.col("pos") * F.col("cp") / F.col("cn")), 9).alias("average_precision"))
 
 

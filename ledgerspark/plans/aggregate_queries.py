@@ -85,12 +85,12 @@ def behavior_evidence(spark, sf_dir):
 
 @query(f"WITH {HISTORY} SELECT transaction_id, CAST(count(*) FILTER (counterparty = dest) AS BIGINT) AS matches, coalesce(sum(cents) FILTER (counterparty = dest), 0) / 100.0 AS total, min(ts) FILTER (counterparty = dest) AS first_seen, count(*) FILTER (counterparty = dest) = 0 AS is_new FROM h GROUP BY 1")
 def beneficiary_evidence(spark, sf_dir):
-    return metrics.beneficiary_evidence(history(spark, sf_dir))
+    return metrics.beneficiary_evidence(t.txn_events(spark, sf_dir), F.col("is_suspicious") == 1)
 
 
 @query(f"WITH {HISTORY}, g AS (SELECT transaction_id, count(*) FILTER (dn = day) AS day_count, CAST(count(*) AS DOUBLE) / count(DISTINCT dn) AS daily_avg FROM h GROUP BY 1) SELECT *, day_count >= 5 OR day_count > 2 * daily_avg AS high FROM g")
 def velocity_evidence(spark, sf_dir):
-    return metrics.velocity_evidence(history(spark, sf_dir))
+    return metrics.velocity_evidence(t.txn_events(spark, sf_dir), F.col("is_suspicious") == 1)
 
 
 @query("SELECT 'C' || c_custkey AS account_id, c_acctbal / 5000.0 >= 1.5 AS ratio_high, c_mktsegment IN ('BUILDING', 'MACHINERY') AS risky, c_acctbal / 5000.0 >= 1.5 OR c_mktsegment IN ('BUILDING', 'MACHINERY') AS inconsistent FROM customer")

@@ -211,8 +211,7 @@ def tag_overlap(spark, sf_dir):
 @query(scored_sql(f"{_MATCH}, rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) AS place FROM mt) SELECT case_id, id, place, title[1:240] AS excerpt FROM rk WHERE place <= 5"))
 def regulatory_match(spark, sf_dir):
     cases = tagged(spark, sf_dir).select(F.col("transaction_id").alias("case_id"), "tags")
-    place = Window.partitionBy("case_id").orderBy(F.desc("score"), "id")
-    found = joins.tag_overlap(cases, provisions(spark)).withColumn("place", F.row_number().over(place)).where("place <= 5")
+    found = joins.tag_overlap(cases, provisions(spark), most=5)
     return found.select("case_id", "id", "place", F.left("title", F.lit(240)).alias("excerpt"))
 
 

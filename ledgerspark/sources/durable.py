@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir``; a temporary folder where it is unset and all runs on this machine, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='ledgerspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

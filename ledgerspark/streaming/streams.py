@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,32 +44,33 @@ def windowed(txn: DataFrame, length: str, slide: str | None = None, delay: str =
 
 
 class Velocity(StatefulProcessor):
-    """Per account: times of the last day (expiring), and the counterparties seen."""
+    """Per account: times of the last day (expiring), and a map of the counterparties seen, of which a batch reads only its own."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        one = StructType([StructField("us", LongType())])
-        self.times = handle.getListState("times", one)
-        self.seen = handle.getListState("seen", StructType([StructField("counterparty", StringType())]))
+        self.times = handle.getListState("times", StructType([StructField("us", LongType())]))
+        self.seen = handle.getMapState("seen", StructType([StructField("counterparty", StringType())]), StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
         day = 86_400_000_000
         pdf = pd.concat(list(rows)).sort_values(["us", "transaction_id"])
-        times = [x[0] for x in self.times.get()] if self.times.exists() else []
-        seen = {x[0] for x in self.seen.get()} if self.seen.exists() else set()
-        counts, known, new = [], [], []
-        for us, other in zip(pdf["us"], pdf["counterparty"], strict=True):
-            times = [t for t in times if t >= us - day]
-            counts.append(len([t for t in times if t < us]))
-            known.append(other in seen)
-            if other not in seen:
-                seen.add(other)
-                new.append((other,))
-            times.append(int(us))
-        self.times.put([(t,) for t in times])
-        if new:
-            self.seen.appendList(new)
+        times = sorted(x[0] for x in self.times.get()) if self.times.exists() else []
+        first = equal = 0  # times[first:] are of the last day, times[equal:] are not before this row
+        counts, known = [], []
+        for us, other in zip(pdf["us"].tolist(), pdf["counterparty"], strict=True):
+            while first < len(times) and times[first] < us - day:
+                first += 1
+            equal = max(equal, first)
+            while equal < len(times) and times[equal] < us:
+                equal += 1
+            counts.append(equal - first)
+            seen = self.seen.containsKey((other,))
+            known.append(seen)
+            if not seen:
+                self.seen.updateValue((other,), (us,))
+            insort(times, us)
+        self.times.put([(t,) for t in times[first:]])
         yield pd.DataFrame({"transaction_id": pdf["transaction_id"], "account_id": key[0], "count_24h": counts, "known": known})
 
     def close(self) -> None:

@@ -114,3 +114,40 @@ def test_asof_and_identity(spark):
 
 def test_rule_table_is_complete(spark):
     assert set(rules.conditions()) == set(rules.RULES)
+
+
+def test_leaking_average_is_found(spark):
+    from ledgerspark.operators import features
+
+    rows = [(str(i), "A", float(i), i * 100, i * 10) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "transaction_id string, account_id string, ts double, us long, cents long")
+    right = {1: features.POPULATION_MEDIAN, 2: 0.1, 3: 0.15, 4: 0.2, 5: 0.25}
+    own = F.element_at(F.create_map(*[F.lit(x) for kv in right.items() for x in kv]), F.col("transaction_id").cast("int"))
+    assert features.leakage(df.withColumn("customer_avg_amount", own)).isEmpty()
+    leaking = F.when(F.col("transaction_id") == "3", 0.2).otherwise(own)  # the mean of three rows, its own among them
+    assert [x["transaction_id"] for x in features.leakage(df.withColumn("customer_avg_amount", leaking)).collect()] == ["3"]
+
+
+def test_window_parties_against_brute_force(spark):
+    import random
+
+    from ledgerspark.operators import features
+
+    r = random.Random(4)
+    rows = [(i, r.choice("ab"), r.choice(["CREDIT", "DEBIT"]), r.choice(["x", "y", "z", None]), r.randint(0, 60)) for i in range(200)]
+    df = spark.createDataFrame(rows, "transaction_id long, account_id string, type string, counterparty string, us long")
+    seen = lambda row, kind: len({c for _, a, k, c, us in rows if a == row[1] and k == kind and c and row[4] - 7 <= us < row[4]})
+    got = {x["transaction_id"]: (x["fan_in_7d"], x["fan_out_7d"]) for x in features.window_parties(df, 7).collect()}
+    assert got == {row[0]: (seen(row, "CREDIT"), seen(row, "DEBIT")) for row in rows}
+
+
+def test_timed_cycles_and_sizes(spark):
+    e = edges(spark, [("A", "B", 1, 0), ("B", "C", 1, 1), ("C", "D", 1, 2), ("D", "E", 1, 3), ("E", "A", 1, 4), ("C", "A", 1, 5), ("B", "A", 1, 200)])
+    found = {tuple(x["nodes"]): x["n"] for x in graph.timed_cycles(e).collect()}
+    assert found == {tuple("ABCDE"): 5, tuple("ABC"): 3}
+    from ledgerspark.plans.graph_queries import graph_modes
+
+    star = spark.createDataFrame([("h", f"n{i}") for i in range(6)], "src string, dst string")
+    hub = spark.createDataFrame([("h", True)] + [(f"n{i}", False) for i in range(6)], "node string, is_hub boolean")
+    assert {x["node"]: x["mode"] for x in graph_modes(star, hub, most=4).collect()} == {"h": "HUB_AWARE"} | {f"n{i}": "SIZE_FALLBACK" for i in range(6)}
+    assert {x["mode"] for x in graph_modes(star, hub, most=10).collect()} == {"HUB_AWARE", "FULL"}
