@@ -12,7 +12,8 @@
 
 Defined results: a null text counts as empty; rows that repeat (conversation, turn) are kept, share links, and are
 ordered by role and text; quotes that match nothing are removed but link nothing; a message never links to itself or
-to a later one; rows with a null conversation or turn are kept without links; empty tables give empty results;
+to a later one; rows with a null conversation or turn are kept without links,
+those without a conversation at position 1 of one of their own; empty tables give empty results;
 other columns are ignored.
 """
 
@@ -97,12 +98,11 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", "turn", "role", "text")
     links = threads(reply_links(rows))
     order = Window.partitionBy("conv_id").orderBy("thread", "turn", "role", "text")
-    return (
-        rows.select("conv_id", "turn", "role", own_text(F.col("text")).alias("text"))
-        .join(links, ["conv_id", "turn"], "left")
-        .withColumn("thread", F.coalesce("thread", "turn"))
-        .select("conv_id", F.row_number().over(order).cast("long").alias("position"), "turn", "role", "reply_to", "thread", "text")
-    )
+    own = rows.select("conv_id", "turn", "role", own_text(F.col("text")).alias("text"))
+    linked = own.where("conv_id is not null").join(links, ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
+    names = ["conv_id", "position", "turn", "role", "reply_to", "thread", "text"]
+    alone = own.where("conv_id is null").withColumns({"position": F.lit(1).cast("long"), "reply_to": F.lit(None).cast(linked.schema["reply_to"].dataType), "thread": F.col("turn")})
+    return linked.withColumn("position", F.row_number().over(order).cast("long")).select(*names).union(alone.select(*names))
 
 
 ORACLE_SQL = r"""
@@ -136,7 +136,7 @@ WITH RECURSIVE m AS (
     UNION ALL
     SELECT up.conv_id, up.turn, link.reply_to FROM up JOIN link ON up.conv_id = link.conv_id AND up.thread = link.turn
 ), root AS (SELECT conv_id, turn, min(thread) AS thread FROM up GROUP BY ALL)
-SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(root.thread, m.turn), m.turn, role, own) AS position,
+SELECT m.conv_id, CASE WHEN m.conv_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(root.thread, m.turn), m.turn, role, own) END AS position,
        m.turn, role, reply_to, coalesce(root.thread, m.turn) AS thread, own AS text
 FROM (SELECT *, array_to_string(list_filter(string_split(body, chr(10)), lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)) AS own FROM m) m
 LEFT JOIN link ON link.conv_id = m.conv_id AND link.turn = m.turn

@@ -74,6 +74,20 @@ def test_neighbours_recall_and_order(spark):
     assert hit / len(got) >= 0.9
 
 
+def test_neighbours_with_few_rows_and_other_columns(spark):
+    """A query in a small leaf still gets k rows, or all there are; columns with names that the operator uses don't matter."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(300, 8))
+    v[:4] += 40  # far from all others
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    df = df.withColumns({"leaf": F.lit("l"), "block": F.lit("b"), "id": F.lit(-1), "asked": F.lit(None).cast("boolean"), "v": F.lit("v")})
+    got = kmeans_tree.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=20).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == 15
+    few = kmeans_tree.nearest_neighbours(df.where("vec_id < 10"), F.col("vec_id") == 0, k=20).toPandas()
+    exact = v[:10] @ v[0]
+    assert few["vec_id"].tolist() == [i for i in np.argsort(-exact) if i] and np.allclose(few["score"], exact[few["vec_id"]])
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [0.5, 0.5]), (5, [0.5, 0.5]), (6, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -98,6 +112,16 @@ def test_shuffle_is_whole_even_and_repeats(spark, odd):
     assert external_shuffle.external_shuffle(odd.limit(0)).count() == 0
 
 
+def test_shuffle_contract(spark):
+    """Sizes, checksums, law, shares and slots of the query, by Python over all rows."""
+    got = queries.op2_external_shuffle(spark, SMALL).collect()
+    text = {x["doc_id"]: (x["text"] or "").encode() for x in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert sorted(x["doc_id"] for x in got) == sorted(text)
+    assert all((x["size"], x["text_crc32"], x["law"], x["grown_shard"]) == (len(text[x["doc_id"]]) + 1, zlib.crc32(text[x["doc_id"]]), "rows", None) for x in got)
+    shards = {i: sorted(x["slot"] for x in got if x["shard"] == i) for i in range(16)}
+    assert all(v == list(range(len(v))) for v in shards.values()) and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+
+
 def test_shards_are_written(spark, docs, tmp_path):
     df = docs([(i, "x" * (i % 7)) for i in range(200)])
     external_shuffle.write_shards(external_shuffle.external_shuffle(df, shards=8, bucket_bytes=64), f"file://{tmp_path}/out")
@@ -489,6 +513,11 @@ def test_quotes_are_linked(spark):
     assert [k[1] for k in sorted((k for k in got if k[0] == 1), key=lambda k: got[k]["position"])] == [0, 2, 3, 1, 4]
     assert got[1, 2]["text"] == "Thanks, solved." and got[1, 4]["text"] == "ok" and got[1, 3]["thread"] == 0
     assert len(got) == 8 and quote_linking.linked_conversations(df.limit(0)).count() == 0
+    lone = spark.createDataFrame([(None, 0, "user", "x"), (None, 0, "user", "x"), (None, None, None, None), (7, None, "user", "y")], df.schema)
+    wide = lone.withColumns({"position": F.lit("p"), "thread": F.lit("t"), "reply_to": F.lit(None).cast("string")})
+    assert sorted((x["conv_id"] or 0, x["position"]) for x in quote_linking.linked_conversations(wide).collect()) == [(0, 1)] * 3 + [(7, 1)]
+    long = spark.createDataFrame([(1, 0, "user", "a line\n" * 20_000), (1, 1, "user", "> a line\nyes")], df.schema)
+    assert {x["turn"]: x["reply_to"] for x in quote_linking.linked_conversations(long).collect()} == {0: None, 1: 0}
 
 
 # 10: byte-level BPE
@@ -531,3 +560,22 @@ def test_pipeline_stages(spark):
         docs = out
     assert docs.count() < before
     assert c.STAGES[-1][1](spark, docs, SMALL).groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_pipeline_stages_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns, an empty table: columns stay, clean rows stay."""
+    import corpus_pipeline as c
+
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "text without an id", "en", "s", 18), (4, long, "en", "s", len(long)), (5, " \t\n", "en", None, 3)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({x: F.lit("x") for x in ("row", "id", "score", "kept", "spans", "text_key", "cut", "component_id", "n", "ids")})
+    for frame in (docs, docs.limit(0)):
+        for name, stage in c.STAGES[:-1]:
+            out = stage(spark, frame, SMALL)
+            assert out.columns == docs.columns
+            found = out.collect()
+            assert {x["doc_id"] for x in found} >= ({None, 1, 4} if frame is docs else set()), name
+            assert all(x["row"] == "x" and x["ids"] == "x" and x["cut"] == "x" for x in found)
+            assert [x["n_chars"] for x in found if x["doc_id"] == 4] == [len(long)] * (frame is docs)
+        pieces = c.STAGES[-1][1](spark, frame, SMALL)
+        assert {x["doc_id"] for x in pieces.collect()} == ({None, 1, 2, 3, 4, 5} if frame is docs else set())
