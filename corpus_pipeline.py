@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, exact dedup, near-duplicate documents, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. Stages but the last return the
-columns of documents.
+columns of documents. In every stage: a null text counts as empty; rows without an id are judged by their text where a stage
+looks at texts alone (toxicity, exact dedup, packing) and otherwise left as they are; texts are read whole, whatever their length;
+other columns are carried, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,24 +19,28 @@ from ledgerspark.llm.common import staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold go."""
+    """Documents whose score reaches the threshold go. Repeated rows are scored each; a score equal to the threshold goes; without
+    labels of both classes all stay."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+    """Of texts that are equal without white space one row stays: the longest text, then the smallest id. Rows alike in id and text
+    are one row's repeats and stay together."""
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
+    """Of each group of linked documents the one with the smallest id stays; empty texts, and rows without an id, stay. All rows of an id
+    share its fate."""
     found = prefix_join.similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(staged(found, "near-copies"), "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut; n_chars follows; a document of which nothing is left goes."""
+    """Passages that a document with a smaller id holds are cut; n_chars follows; a document of which nothing is left goes. Uncut rows, rows
+    without an id among them, stay as they are, null texts included; rows that repeat an id are cut each by its own text."""
     rows = compact_windows.without_repeats(docs)
     own = [c for c in docs.columns if c not in ("text", "n_chars")]
     text = F.when(F.col("cut"), F.col("text")).otherwise(F.col("row.text"))
@@ -44,7 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
+    """One row per piece of a document in a sequence. An empty or null text is its end id alone; repeated rows are packed as often."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
