@@ -140,6 +140,18 @@ def test_licenses(docs):
     assert got >= {(1, "line", "MIT line"), (2, "block", "MIT"), (6, "line", "MIT")} and {i for i, _, _ in got} == {1, 2, 6}
 
 
+def test_license_files_and_odd_rows(docs, odd):
+    """A whole licence file of several paragraphs is found by its text; odd rows match nothing, repeated rows repeat."""
+    body = licenses.TEMPLATES["BSD-3-Clause text"]
+    file = "Copyright (c) 2020, Somebody. All rights reserved.\n\n" + body.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ").replace(" THIS SOFTWARE", "\n\nTHIS SOFTWARE", 1)
+    rows = [(1, file), (1, file), (2, "prose " * 50_000 + "\n\n" + licenses.TEMPLATES["Zlib text"]), (3, None), (4, "")]
+    found = licenses.license_matches(docs(rows)).collect()
+    names = lambda i: [x for x in found if x["doc_id"] == i]
+    texts = {v for x in found for v in x.asDict().values() if isinstance(v, str)}
+    assert {"BSD-3-Clause text", "Zlib text"} <= texts and len(names(1)) % 2 == 0 and names(2) and not names(3) and not names(4)
+    assert licenses.license_matches(odd.select("doc_id", "text", "row", "kept")).isEmpty() and licenses.license_matches(odd.limit(0)).isEmpty()
+
+
 def test_telling_words_lose_nothing(docs):
     """Any unit with a Dice coefficient at the threshold holds a telling word."""
     r = random.Random(2)
