@@ -215,6 +215,7 @@ def nearest_neighbours(
             yield pd.DataFrame(out, columns=["id", "v", "block", "leaves"])
 
     queries = indexed.where("asked").select("id", "v").mapInPandas(routed, "id long, v array<double>, block long, leaves array<long>")
+    queries = staged(queries, "routed")  # read for the grid and for the search
     # At most one row per leaf: into how many chunks the vectors and the queries of a block are cut.
     held = indexed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     asked = queries.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
