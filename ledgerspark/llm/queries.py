@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compact_windows, exact_dedup, external_shuffle, kmeans_tree, licenses, packing, prefix_join, quote_linking, toxicity
+from . import byte_bpe, compact_windows, drift_kmeans, exact_dedup, external_shuffle, host_rules, kmeans_tree, licenses, packing, prefix_join, quote_linking, spelling_variants, toxicity
 from .common import table, text_or_empty
 
 
@@ -117,6 +117,47 @@ def op10_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_drift_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids, _ = drift_kmeans.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    per = centroids.select(
+        "cluster",
+        "cluster_inertia",
+        F.sum("cluster_inertia").over(Window.partitionBy()).alias("inertia"),
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"),
+    )
+    return assigned.join(F.broadcast(per), "cluster").select(  # 16 rows
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _op11_sql() -> str:
+    parts = """WITH kept AS (
+    SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64
+), c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM (SELECT * FROM kept ORDER BY sha256('1:' || vec_id), v LIMIT 16))"""
+    for i in range(4):
+        parts += f""", d{i} AS (SELECT vec_id, v, j, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v, c)]) AS d FROM kept, c{i}),
+a{i} AS (SELECT vec_id, v, CAST(arg_min(j, d * 1000 + j) AS INTEGER) AS j, CAST(min(d) AS BIGINT) AS d FROM d{i} GROUP BY vec_id, v)"""
+        if i < 3:
+            parts += f""", m{i} AS (SELECT j, list(f ORDER BY pos) AS c FROM (SELECT j, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS f FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY j, pos) GROUP BY j),
+c{i + 1} AS (SELECT c{i}.j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (j))"""
+    return parts + """
+SELECT a3.vec_id, a3.j AS "cluster", d AS distance, CAST(sum(d) OVER (PARTITION BY a3.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.j = a3.j"""
+
+
+def op12_sorted_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.vocabulary(table(spark, sf_dir, "documents"), noise=97)
+    return spelling_variants.grouped(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judged(table(spark, sf_dir, "documents"), host="source").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES = {
     "op1_kmeans_tree": op1_kmeans_tree,
     "op2_external_shuffle": op2_external_shuffle,
@@ -128,6 +169,9 @@ QUERIES = {
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_quote_linking": op9_quote_linking,
     "op10_bitmap_bpe": op10_bitmap_bpe,
+    "op11_drift_kmeans": op11_drift_kmeans,
+    "op12_sorted_spelling": op12_sorted_spelling,
+    "op13_host_rules": op13_host_rules,
 }
 
 ORACLE = {
@@ -135,4 +179,7 @@ ORACLE = {
     "op4_exact_dedup": OP4_SQL,
     "op6_grouped_prefix_join": OP6_SQL,
     "op9_quote_linking": quote_linking.ORACLE_SQL,
+    "op11_drift_kmeans": _op11_sql(),
+    "op12_sorted_spelling": spelling_variants.oracle_sql(),
+    "op13_host_rules": host_rules.oracle_sql(),
 }
