@@ -87,20 +87,7 @@ def supernodes(degree: DataFrame, whitelist: list[str] = [], absolute: int = 500
     return df.select("node", "degree", kind.alias("node_class"), (kind == "SUPER_NODE").alias("is_hub"), (F.col("at_most") / F.col("nodes") * 100).alias("degree_rank"))
 
 
-# Patterns: paths of a fixed length as equi-joins on the shared node, pruned by time before each next hop.
-
-
-def paths(edges: DataFrame, hops: int, gap_us: int, span_us: int | None = None) -> DataFrame:
-    """Simple paths with ascending times: nodes n0..n_hops, first and last time, first and last cents."""
-    path = edges.select(F.col("src").alias("n0"), F.col("dst").alias("n1"), F.col("us").alias("t0"), F.col("us").alias("t1"), F.col("cents").alias("c0"), F.col("cents").alias("c1")).where("n0 <> n1")
-    for h in range(2, hops + 1):
-        step = edges.select(F.col("src").alias(f"n{h - 1}"), F.col("dst").alias(f"n{h}"), F.col("us").alias("t"), F.col("cents").alias("c"))
-        fresh = reduce(lambda a, b: a & b, [F.col(f"n{h}") != F.col(f"n{i}") for i in range(h)])
-        in_time = (F.col("t") > F.col("t1")) & (F.col("t") - F.col("t1") <= gap_us)
-        if span_us is not None:
-            in_time &= F.col("t") - F.col("t0") <= span_us
-        path = path.join(step, f"n{h - 1}").where(fresh & in_time).withColumns({"t1": F.col("t"), "c1": F.col("c")}).drop("t", "c")
-    return path.select(*[f"n{i}" for i in range(hops + 1)], "t0", "t1", "c0", "c1")
+# Patterns. Those of payments that follow each other are in ``flows``.
 
 
 def cycles(pairs: DataFrame, length: int) -> DataFrame:
@@ -114,58 +101,6 @@ def cycles(pairs: DataFrame, length: int) -> DataFrame:
     return path.join(close, [f"n{length - 1}", "n0"], "left_semi").select(*[f"n{i}" for i in range(length)])
 
 
-def timed_cycles(edges: DataFrame, longest: int = 5, span_us: int = 72 * HOUR_US) -> DataFrame:
-    """nodes (array, from the first payer on), n, times, first_us: simple cycles of 2 to ``longest`` accounts whose payments follow each
-    other within the span. Only accounts that are also paid start a path."""
-    step = edges.select("src", "dst", "us")
-    path = step.where("src <> dst").join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-    path = path.select(F.array("src", "dst").alias("nodes"), F.col("dst").alias("at"), F.col("us").alias("t0"), F.col("us").alias("t1"))
-    found = None
-    for n in range(2, longest + 1):
-        then = path.join(step.withColumnRenamed("src", "at"), "at").where((F.col("us") > F.col("t1")) & (F.col("us") - F.col("t0") <= span_us))
-        closed = then.where(F.col("dst") == F.col("nodes")[0]).select("nodes", F.lit(n).alias("n"), "t0")
-        found = closed if found is None else found.unionByName(closed)
-        path = then.where(~F.array_contains("nodes", F.col("dst"))).select(F.concat("nodes", F.array("dst")).alias("nodes"), F.col("dst").alias("at"), "t0", F.col("us").alias("t1"))
-    return found.groupBy("nodes", "n").agg(F.count(F.lit(1)).alias("times"), F.min("t0").alias("first_us"))
-
-
-def without_hubs(edges: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Edges that touch no hub (column node): what the patterns look at."""
-    return edges.join(hubs.select(F.col("node").alias("src")), "src", "left_anti").join(hubs.select(F.col("node").alias("dst")), "dst", "left_anti")
-
-
-def flows(edges: DataFrame) -> DataFrame:
-    """node, i and o: what it got and paid, in cents."""
-    zero = F.lit(0).cast("long")
-    ends = F.array(F.struct(F.col("src").alias("node"), zero.alias("i"), F.col("cents").alias("o")), F.struct(F.col("dst").alias("node"), F.col("cents").alias("i"), zero.alias("o")))
-    return edges.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
-
-
-def mule_chains(edges: DataFrame, gap_us: int = 24 * HOUR_US, share: float = 0.8) -> DataFrame:
-    """n0, chains, longest, first_us, score: chains of three to five accounts with at most gap_us between payments, whose second account
-    passes on what it gets (the lesser of both flows is at least ``share`` of the greater)."""
-    through = flows(edges).where((F.col("i") > 0) & (F.col("o") > 0) & (F.least("i", "o") / F.greatest("i", "o") >= share)).select(F.col("node").alias("n1"))
-    found = None
-    for hops in (2, 3, 4):
-        part = paths(edges, hops, gap_us).join(through, "n1", "left_semi").select("n0", F.lit(hops + 1).alias("n"), "t0")
-        found = part if found is None else found.unionByName(part)
-    agg = found.groupBy("n0").agg(F.count(F.lit(1)).alias("chains"), F.max("n").alias("longest"), F.min("t0").alias("first_us"))
-    return agg.withColumn("score", F.least(F.lit(100), 50 + 15 * F.col("chains")) / 100.0)
-
-
-def rapid_layers(edges: DataFrame, hops: int = 3, span_us: int = 72 * HOUR_US) -> DataFrame:
-    """n0..n_hops, times, first_us, retention, score: payments through different accounts within the span; retention is the part of
-    the first middle account's income that the last middle account doesn't pay out."""
-    nodes = [f"n{i}" for i in range(hops + 1)]
-    agg = paths(edges, hops, span_us, span_us).groupBy(*nodes).agg(F.count(F.lit(1)).alias("times"), F.min("t0").alias("first_us"))
-    flow = flows(edges)
-    got, paid = flow.select(F.col("node").alias("n1"), "i"), flow.select(F.col("node").alias(f"n{hops - 1}"), "o")
-    kept = F.greatest(F.lit(0.0), (F.col("i") - F.col("o")) / F.col("i"))
-    both = agg.join(got, "n1").join(paid, f"n{hops - 1}").withColumn("retention", kept)
-    score = F.least(F.lit(100), 50 + 10 * F.col("times") + F.when(F.col("retention") < 0.3, 20).otherwise(0)) / 100.0
-    return both.select(*nodes, "times", "first_us", "retention", score.alias("score"))
-
-
 def fan(edges: DataFrame, centre: str, other: str) -> DataFrame:
     """node, n (distinct others), share of the largest, score of at most 1; five others at least."""
     per = edges.where("src <> dst").groupBy(F.col(centre).alias("node"), other).agg(F.sum("cents").alias("cents"))
@@ -276,26 +211,6 @@ def strong_components(pairs: DataFrame) -> DataFrame:
     return out
 
 
-def bounded_traversal(edges: DataFrame, seeds: DataFrame, hubs: DataFrame, hops: int = 4, most: int = 2000, window_us: int = 72 * HOUR_US) -> DataFrame:
-    """case_id, node, level, truncated. Undirected levels from each seed (case_id, node, at_us) over edges within the time window; hubs
-    are entered but not left, the seed excepted; beyond ``most`` nodes a case keeps the first by (level, node) and is truncated."""
-    both = written(edges.select("src", "dst", "us").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "us")).where("src <> dst"), "both")
-    when = seeds.select("case_id", "at_us")
-    seen = written(seeds.select("case_id", "node", F.lit(0).alias("level")), "seen")
-    front = seen
-    for level in range(1, hops + 1):
-        ready = front if level == 1 else front.join(hubs, "node", "left_anti")
-        near = ready.join(when, "case_id").join(both, F.expr("node = src and us between at_us - {0} and at_us + {0}".format(window_us)))
-        fresh = near.select("case_id", F.col("dst").alias("node")).distinct().join(seen, ["case_id", "node"], "left_anti").withColumn("level", F.lit(level))
-        front = written(fresh, "front")
-        if front.isEmpty():
-            break
-        seen = written(seen.unionByName(front), "seen")
-    place = Window.partitionBy("case_id").orderBy("level", "node")
-    size = F.count(F.lit(1)).over(Window.partitionBy("case_id"))
-    return seen.withColumns({"place": F.row_number().over(place), "truncated": size > most}).where(F.col("place") <= most).drop("place")
-
-
 def weighted_risk(scores: dict[str, Column], weights: dict[str, float]) -> Column:
     """The mean of the scores that are there (not null), by weight, times 100."""
     total = sum((F.when(s.isNotNull(), F.lit(weights[k])).otherwise(0.0) for k, s in scores.items()), F.lit(0.0))

@@ -1,4 +1,4 @@
-"""Queries of payment networks, with their SQL. All edges are read; the patterns leave out edges that touch a hub."""
+"""Queries of payment networks, with their SQL. All edges are read; the patterns leave out edges that touch a hub of their period."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, mask_id
-from ..operators import graph, joins
+from ..operators import flows, graph, joins, traversal
 from ..sources import tables as t
 from ..sources.durable import written
 from . import oracle_views as v
@@ -17,8 +17,12 @@ from .ingest_queries import IDENTITY, SHARED
 
 QUERIES, ORACLE = {}, {}
 HUB = "cut AS (SELECT quantile_cont(in_degree + out_degree, 0.99) AS p99 FROM deg), hub AS (SELECT node FROM deg, cut WHERE in_degree + out_degree >= 500 OR in_degree + out_degree >= p99)"
-#: Edges without hubs.
-CALM = EDGES + f", {DEGREES}, {HUB}, q AS (SELECT * FROM e WHERE src NOT IN (SELECT node FROM hub) AND dst NOT IN (SELECT node FROM hub))"
+#: Edges between different accounts neither of which is a hub in the edge's period.
+CALM = EDGES + f""", per AS (SELECT *, us // {flows.PERIOD_US} AS period FROM e WHERE src <> dst),
+hd AS (SELECT node, period, count(DISTINCT other) AS degree FROM (SELECT src AS node, dst AS other, period FROM per UNION ALL SELECT dst, src, period FROM per) GROUP BY ALL),
+hp AS (SELECT min(degree) FILTER (100 * at_most >= 99 * nodes) AS cut FROM (SELECT degree, count(*) OVER (ORDER BY degree) AS at_most, count(*) OVER () AS nodes FROM hd)),
+ph AS (SELECT node, period FROM hd, hp WHERE degree >= 500 OR degree > cut),
+q AS (SELECT * FROM per WHERE (src, period) NOT IN (SELECT (node, period) FROM ph) AND (dst, period) NOT IN (SELECT (node, period) FROM ph))"""
 
 
 def query(sql: str | None = None):
@@ -45,8 +49,9 @@ def hubs(spark, sf_dir) -> DataFrame:
 
 
 def calm(spark, sf_dir) -> DataFrame:
-    """Edges that touch no hub."""
-    return graph.without_hubs(edges(spark, sf_dir), hubs(spark, sf_dir).where("is_hub"))
+    """Edges that touch no hub of their period."""
+    e = written(edges(spark, sf_dir), "edges")
+    return flows.calm_edges(e, written(flows.period_hubs(e), "hubs"))
 
 
 def _rank_sql(rounds: int) -> str:
@@ -116,20 +121,34 @@ def seeds(spark, sf_dir) -> DataFrame:
     return bad.select(F.col("transaction_id").alias("case_id"), F.col("account_id").alias("node"), F.col("us").alias("at_us"))
 
 
-@query()
-def bounded_traversal(spark, sf_dir):
+def traversed(spark, sf_dir) -> traversal.Traversal:
     hub = hubs(spark, sf_dir).where("is_hub").select("node")
-    return graph.bounded_traversal(edges(spark, sf_dir), seeds(spark, sf_dir), hub)
+    return traversal.bounded_traversal(edges(spark, sf_dir), seeds(spark, sf_dir), hub)
 
 
-@query()
+def _traversal_sql() -> str:
+    """Four levels: who is reached (n), with the fewest hubs passed on the way (h), and who of them is left (l)."""
+    w = traversal.WINDOW_US
+    out = f"WITH {EDGES}, {DEGREES}, {HUB}, both_ways AS (SELECT src, dst, us FROM e WHERE src <> dst UNION ALL SELECT dst, src, us FROM e WHERE src <> dst), at AS (SELECT transaction_id AS case_id, account_id AS node, us AS at_us FROM txn WHERE is_suspicious = 1), n0 AS (SELECT case_id, at_us, node, 0 AS level, 0 AS h FROM at)".replace(" at AS (", " cases AS (").replace("FROM at)", "FROM cases)")
+    for i in range(4):
+        out += f", l{i} AS (SELECT *, node IN (SELECT node FROM hub) AS is_hub FROM n{i} WHERE level = {i} AND (level = 0 OR h = 0 OR node NOT IN (SELECT node FROM hub)))"
+        out += f", x{i} AS (SELECT l.case_id, l.at_us, b.dst AS node, {i + 1} AS level, min(l.h + CAST(is_hub AS INTEGER)) AS h FROM l{i} l JOIN both_ways b ON b.src = l.node AND b.us BETWEEN l.at_us - {w} AND l.at_us + {w} WHERE (l.case_id, b.dst) NOT IN (SELECT (case_id, node) FROM n{i}) GROUP BY ALL)"
+        out += f", n{i + 1} AS (SELECT * FROM n{i} UNION ALL SELECT case_id, at_us, node, level, h FROM x{i})"
+    left = " UNION ALL ".join(f"SELECT case_id, at_us, node FROM l{i}" for i in range(4))
+    return out + f", lefts AS ({left}), tied AS (SELECT DISTINCT case_id, transaction_id, src, dst FROM lefts JOIN e ON e.us BETWEEN at_us - {w} AND at_us + {w} AND (src = node OR dst = node) AND src <> dst), marked AS (SELECT *, src IN (SELECT node FROM hub) OR dst IN (SELECT node FROM hub) AS hub_edge FROM tied), modes AS (SELECT case_id, CASE WHEN bool_or(hub_edge) THEN 'HUB_AWARE' ELSE 'FULL' END AS mode FROM marked GROUP BY case_id)"
+
+
+@query(_traversal_sql() + " SELECT case_id, node, level, coalesce(mode, 'FULL') AS mode FROM n4 LEFT JOIN modes USING (case_id)")
+def bounded_traversal(spark, sf_dir):
+    """Accounts within four steps of each suspicious payment's account, in its window, and how the case was looked at."""
+    found = traversed(spark, sf_dir)
+    return found.nodes.join(found.cases, "case_id").select("case_id", "node", "level", "mode")
+
+
+@query(_traversal_sql() + " SELECT * FROM marked")
 def case_subgraph(spark, sf_dir):
-    """Edges of each case between nodes that the traversal reached, with hub marks."""
-    hub = hubs(spark, sf_dir).where("is_hub").select(F.col("node").alias("dst"), F.lit(True).alias("hub_edge"))
-    found = graph.bounded_traversal(edges(spark, sf_dir), seeds(spark, sf_dir), hub.select(F.col("dst").alias("node")), hops=2)
-    a, b = found.select("case_id", F.col("node").alias("src")), found.select("case_id", F.col("node").alias("dst"))
-    inside = a.join(pairs(spark, sf_dir), "src").join(b, ["case_id", "dst"])
-    return inside.join(hub, "dst", "left").select("case_id", "src", "dst", F.coalesce("hub_edge", F.lit(False)).alias("hub_edge"))
+    """Payments of each case's window that the traversal went along, with hub marks."""
+    return traversed(spark, sf_dir).edges.select("case_id", "transaction_id", "src", "dst", "hub_edge")
 
 
 _UND = "und AS (SELECT src, dst FROM pairs WHERE src <> dst UNION SELECT dst, src FROM pairs WHERE src <> dst)"
@@ -182,7 +201,7 @@ _MULES = f"{_FLOW}, mule AS (SELECT node FROM flow WHERE i > 0 AND o > 0 AND CAS
 @query(f"WITH {CALM}, {_MULES} SELECT * FROM mules")
 def mule_chain(spark, sf_dir):
     """Chains of three to five accounts through one that passes on what it gets, payments at most a day apart."""
-    return graph.mule_chains(calm(spark, sf_dir))
+    return flows.mule_chains(written(calm(spark, sf_dir), "calm"))
 
 
 def _fan_sql(name: str, centre: str, other: str) -> str:
@@ -213,16 +232,16 @@ _CYCLES = "cyc AS (" + " UNION ALL ".join(
 @query(f"WITH {CALM}, {_CYCLES} SELECT array_to_string(nodes, '>') AS cycle, n, times, first_us FROM cyc")
 def circular_flow(spark, sf_dir):
     """Cycles of two to five accounts, from the first payer on, whose payments follow each other within 72 hours."""
-    return graph.timed_cycles(calm(spark, sf_dir)).select(F.concat_ws(">", "nodes").alias("cycle"), "n", "times", "first_us")
+    return flows.circular_flows(written(calm(spark, sf_dir), "calm")).select(F.concat_ws(">", "nodes").alias("cycle"), "n", "times", "first_us")
 
 
-_LAYERS = f"lay AS (SELECT p.*, CASE WHEN x.i > y.o THEN CAST(x.i - y.o AS DOUBLE) / x.i ELSE 0.0 END AS retention FROM (SELECT a0.src AS n0, a0.dst AS n1, a1.dst AS n2, a2.dst AS n3, count(*) AS times, min(a0.us) AS first_us FROM {_path_sql(3, _SPAN, _SPAN)} GROUP BY ALL) p JOIN flow x ON x.node = n1 JOIN flow y ON y.node = n2), layers AS (SELECT *, least(100, 50 + 10 * times + CASE WHEN retention < 0.3 THEN 20 ELSE 0 END) / 100.0 AS score FROM lay)"
+_LAYERS = f"lay AS (SELECT p.*, CASE WHEN x.i > y.o THEN CAST(x.i - y.o AS DOUBLE) / x.i ELSE 0.0 END AS retention FROM (SELECT a0.dst AS n1, a1.dst AS n2, count(*) AS times, min(a1.us) AS first_us FROM {_path_sql(3, _SPAN, _SPAN)} GROUP BY ALL) p JOIN flow x ON x.node = n1 JOIN flow y ON y.node = n2), layers AS (SELECT *, least(100, 50 + 10 * times + CASE WHEN retention < 0.3 THEN 20 ELSE 0 END) / 100.0 AS score FROM lay)"
 
 
 @query(f"WITH {CALM}, {_FLOW}, {_LAYERS} SELECT * REPLACE (round(retention, 9) AS retention) FROM layers")
 def rapid_layering(spark, sf_dir):
-    """Payments through four accounts within 72 hours."""
-    return graph.rapid_layers(calm(spark, sf_dir)).withColumn("retention", F.round("retention", 9))
+    """Pairs of accounts in the middle of payments through four accounts within 72 hours."""
+    return flows.rapid_layers(written(calm(spark, sf_dir), "calm")).withColumn("retention", F.round("retention", 9))
 
 
 _SAME = "same AS (SELECT account_id, sum(members) - count(*) AS others, least(95, sum(DISTINCT CASE kind WHEN 'device' THEN 30 WHEN 'phone' THEN 40 WHEN 'ip' THEN 15 ELSE 20 END)) / 100.0 AS score FROM sh WHERE members > 1 GROUP BY account_id)"
@@ -242,29 +261,40 @@ WEIGHTS = {"mule_chain": 0.25, "fan_in": 0.15, "fan_out": 0.15, "circular_flow":
 
 
 def pattern_scores(spark, sf_dir) -> DataFrame:
-    """node, pattern, score, hits: for each node that a pattern is found at (chains and layers at their first account). Accounts of the
-    network and of the identity table are the same by number."""
+    """node, pattern, score, hits, confidence: for each node that a pattern is found at (chains at their first account, layers at the first middle
+    one). Accounts of the network and of the identity table are the same by number."""
     e = written(calm(spark, sf_dir), "calm")
-    cycle = graph.timed_cycles(e).select(F.explode("nodes").alias("node"), F.lit(1).alias("one")).groupBy("node").agg(F.count("one").alias("n"))
+    cycle = flows.circular_flows(e).select(F.explode("nodes").alias("node"), F.lit(1).alias("one")).groupBy("node").agg(F.count("one").alias("n"))
     per = {
-        "mule_chain": graph.mule_chains(e).select(F.col("n0").alias("node"), "score", F.col("chains").alias("hits")),
+        "mule_chain": flows.mule_chains(e).select(F.col("n0").alias("node"), "score", F.col("chains").alias("hits")),
         "fan_in": graph.fan(e, "dst", "src").select("node", "score", F.col("n").alias("hits")),
         "fan_out": graph.fan(e, "src", "dst").select("node", "score", F.col("n").alias("hits")),
         "circular_flow": cycle.select("node", (F.least(F.lit(100), 55 + 10 * F.col("n")) / 100.0).alias("score"), F.col("n").alias("hits")),
-        "rapid_layering": graph.rapid_layers(e).groupBy(F.col("n0").alias("node")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("hits")),
+        "rapid_layering": flows.rapid_layers(e).groupBy(F.col("n1").alias("node")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("hits")),
         "shared_identity": shared_identity(spark, sf_dir).select(F.regexp_replace("account_id", "^C", "A").alias("node"), "score", F.col("others").alias("hits")),
     }
-    parts = [df.select("node", F.lit(k).alias("pattern"), F.col("score").cast("double").alias("score"), F.col("hits").cast("long").alias("hits")) for k, df in per.items()]
+    sure = {"mule_chain": F.col("hits") >= 3, "fan_in": F.col("score") >= 0.6, "fan_out": F.col("score") >= 0.6, "shared_identity": F.col("score") >= 0.5}
+    parts = [
+        df.select("node", F.lit(k).alias("pattern"), F.col("score").cast("double").alias("score"), F.col("hits").cast("long").alias("hits"))
+        .withColumn("confidence", F.when(sure.get(k, F.lit(False)), "HIGH").otherwise("MEDIUM"))
+        for k, df in per.items()
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
-_SCORES = f"{CALM}, {IDENTITY}, {SHARED}, {_SAME}, {_MULES}, {_fan_sql('fi', 'dst', 'src')}, {_fan_sql('fo', 'src', 'dst')}, {_CYCLES}, {_LAYERS}, ps AS (SELECT n0 AS node, 'mule_chain' AS pattern, CAST(score AS DOUBLE) AS score, chains AS hits FROM mules UNION ALL SELECT node, 'fan_in', score, n FROM fi UNION ALL SELECT node, 'fan_out', score, n FROM fo UNION ALL SELECT node, 'circular_flow', least(100, 55 + 10 * count(*)) / 100.0, count(*) FROM (SELECT unnest(nodes) AS node FROM cyc) GROUP BY node UNION ALL SELECT n0, 'rapid_layering', max(score), count(*) FROM layers GROUP BY n0 UNION ALL SELECT 'A' || substr(account_id, 2), 'shared_identity', score, others FROM same)"
+_SCORES = f"{CALM}, {DEGREES}, {HUB}, {IDENTITY}, {SHARED}, {_SAME}, {_MULES}, {_fan_sql('fi', 'dst', 'src')}, {_fan_sql('fo', 'src', 'dst')}, {_CYCLES}, {_LAYERS}, ps AS (SELECT n0 AS node, 'mule_chain' AS pattern, CAST(score AS DOUBLE) AS score, chains AS hits, chains >= 3 AS sure FROM mules UNION ALL SELECT node, 'fan_in', score, n, score >= 0.6 FROM fi UNION ALL SELECT node, 'fan_out', score, n, score >= 0.6 FROM fo UNION ALL SELECT node, 'circular_flow', least(100, 55 + 10 * count(*)) / 100.0, count(*), false FROM (SELECT unnest(nodes) AS node FROM cyc) GROUP BY node UNION ALL SELECT n1, 'rapid_layering', max(score), count(*), false FROM layers GROUP BY n1 UNION ALL SELECT 'A' || substr(account_id, 2), 'shared_identity', score, others, score >= 0.5 FROM same)"
+#: Beyond so many nodes two hops away a neighbourhood is only looked at in aggregates.
+MOST_NEAR = 2000
 
 
-@query(f"WITH {_SCORES} SELECT pattern, count(*) AS n, CAST(sum(hits) AS BIGINT) AS hits FROM ps GROUP BY pattern")
+@query(f"WITH {_SCORES}, {_NEAR} SELECT pattern, CASE WHEN two.n > {MOST_NEAR} THEN 'SIZE_FALLBACK' ELSE 'AVAILABLE' END AS status, CASE WHEN sure THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, count(*) AS n, CAST(sum(hits) AS BIGINT) AS hits FROM ps LEFT JOIN two USING (node) GROUP BY ALL")
 def run_patterns(spark, sf_dir):
-    """At how many nodes each of the six patterns is found, and how often."""
-    return pattern_scores(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"))
+    """At how many nodes each of the six patterns is found, and how often, by status and confidence. Nodes whose neighbourhood is too large for
+    a closer look have the status SIZE_FALLBACK."""
+    reach = graph.two_hop(graph.undirected(pairs(spark, sf_dir)), MOST_NEAR + 1)
+    status = F.when(F.coalesce("reach", F.lit(0)) > MOST_NEAR, "SIZE_FALLBACK").otherwise("AVAILABLE").alias("status")
+    found = pattern_scores(spark, sf_dir).join(reach, "node", "left")
+    return found.groupBy("pattern", status, "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"))
 
 
 _WEIGHT = "CASE pattern " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS.items()) + " END"
@@ -296,10 +326,6 @@ def money_flow(spark, sf_dir):
     )
 
 
-#: Beyond so many nodes two hops away a neighbourhood is only looked at in aggregates.
-MOST_NEAR = 2000
-
-
 def graph_modes(pairs: DataFrame, hubs: DataFrame, most: int = MOST_NEAR) -> DataFrame:
     """node, mode: SIZE_FALLBACK where the neighbourhood is too large, else HUB_AWARE at hubs, else FULL."""
     reach = graph.two_hop(graph.undirected(pairs), most + 1)

@@ -6,16 +6,16 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import features, graph, ingest, joins, metrics, rules, scoring
+from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, rules, scoring, traversal
 from ledgerspark.sources.tables import with_amounts
 
 TXN = "transaction_id string, account_id string, counterparty string, ts timestamp, amount double, type string, category string"
 T0 = datetime(2024, 1, 1, 9)
-EDGE = "src string, dst string, us long, cents long"
+EDGE = "src string, dst string, us long, cents long, transaction_id string"
 
 
 def edges(spark, rows):
-    return spark.createDataFrame([(a, b, int(h * 3600e6), int(m * 100)) for a, b, m, h in rows], EDGE)
+    return spark.createDataFrame([(a, b, int(h * 3600e6), int(m * 100), f"t{i}") for i, (a, b, m, h) in enumerate(rows)], EDGE)
 
 
 def test_features_against_loops(spark):
@@ -54,8 +54,59 @@ def test_behaviour_evidence(spark):
 
 def test_mule_chain(spark):
     e = edges(spark, [("X0", "M1", 50000, 9), ("M1", "M2", 50000, 10), ("M2", "M3", 49500, 12), ("M3", "M4", 49000, 14)])
-    found = graph.paths(e, 3, 24 * graph.HOUR_US, 72 * graph.HOUR_US).collect()
-    assert {(x["n0"], x["n3"]) for x in found} == {("X0", "M3"), ("M1", "M4")}
+    found = {x["n0"]: (x["chains"], x["longest"]) for x in flows.mule_chains(e).collect()}
+    assert found == {"X0": (3, 5), "M1": (2, 4), "M2": (1, 3)}
+
+
+def brute_paths(rows, hops, gap, span=None):
+    """Paths of payments (src, dst, us) through different accounts."""
+    out = [[r] for r in rows if r[0] != r[1]]
+    for _ in range(hops - 1):
+        out = [p + [r] for p in out for r in rows if r[0] == p[-1][1] and 0 < r[2] - p[-1][2] <= gap and (span is None or r[2] - p[0][2] <= span) and r[1] not in {p[0][0], *(x[1] for x in p)}]
+    return out
+
+
+@pytest.mark.parametrize("accounts,payments", [(4, 60), (9, 90), (40, 150)])
+def test_counts_are_those_of_listed_paths(spark, accounts, payments):
+    r = random.Random(accounts)
+    hour = flows.HOUR_US
+    rows = [(f"n{r.randrange(accounts)}", f"n{r.randrange(accounts)}", r.randrange(300) * hour // 2, f"t{i}", r.randrange(1, 900)) for i in range(payments)]
+    e = spark.createDataFrame(rows, "src string, dst string, us long, transaction_id string, cents long")
+    plain = [(a, b, t, i) for a, b, t, i, _ in rows]
+    gap = 24 * hour
+    counts = {x["transaction_id"]: (x["s2"], x["s3"], x["s4"]) for x in flows.chain_counts(e, gap).collect()}
+    want = {i: [0, 0, 0] for a, b, _, i in plain if a != b}
+    for k in (2, 3, 4):
+        for p in brute_paths(plain, k, gap):
+            want[p[0][3]][k - 2] += 1
+    assert counts == {i: tuple(c) for i, c in want.items()}
+    span = 72 * hour
+    layers = {(x["n1"], x["n2"]): (x["times"], x["first_us"]) for x in flows.rapid_layers(e, span).collect()}
+    per = {}
+    for p in brute_paths(plain, 3, span, span):
+        n, first = per.get((p[0][1], p[1][1]), (0, p[1][2]))
+        per[p[0][1], p[1][1]] = n + 1, min(first, p[1][2])
+    assert layers == per and per
+    found = {tuple(x["nodes"]): (x["times"], x["first_us"]) for x in flows.circular_flows(e).collect()}
+    per = {}
+    for k in (2, 3, 4, 5):
+        for p in brute_paths(plain, k - 1, span, span):
+            for last in plain:
+                if last[0] == p[-1][1] and last[1] == p[0][0] and last[2] > p[-1][2] and last[2] - p[0][2] <= span:
+                    nodes = (p[0][0], *(x[1] for x in p))
+                    n, first = per.get(nodes, (0, p[0][2]))
+                    per[nodes] = n + 1, min(first, p[0][2])
+    assert found == per and per
+
+
+def test_hubs_are_judged_by_period(spark):
+    day = 24 * flows.HOUR_US
+    busy = [(f"n{i}", "hub", 0, f"a{i}") for i in range(30)]
+    quiet = [("hub", f"n{i}", (10 + 7 * i) * day, f"b{i}") for i in range(30)] + [(f"n{i}", f"m{i}", i * day, f"c{i}") for i in range(60)]
+    e = spark.createDataFrame(busy + quiet, "src string, dst string, us long, transaction_id string")
+    hubs = flows.period_hubs(e, absolute=20)
+    assert [tuple(x) for x in hubs.collect()] == [("hub", 0)]
+    assert {x["transaction_id"] for x in flows.calm_edges(e, hubs).collect()} == {x[3] for x in quiet}
 
 
 def test_fan_in(spark):
@@ -71,15 +122,65 @@ def test_cycles_are_listed_once(spark):
     assert [tuple(x) for x in graph.cycles(p, 3).collect()] == [("a", "b", "c")]
 
 
-def test_traversal_stops_at_hubs_and_caps(spark):
-    hub = spark.createDataFrame([("HUBX",)], "node string")
+HOUR = 3_600_000_000
+
+
+def brute_traversal(rows, seed, at, hubs, hops=4, most=2000, window=72 * HOUR):
+    """Levels with the fewest hubs passed; payments that touch an account that was left. Of an account's ways of one level the one
+    with the fewest hubs counts."""
+    inside = [r for r in rows if abs(r[2] - at) <= window and r[0] != r[1]]
+    seen, front = {seed: (0, 0)}, {seed: 0}
+    left, truncated = set(), False
+    for level in range(1, hops + 1):
+        ready = {n: h for n, h in front.items() if n == seed or n not in hubs or h == 0}
+        left |= set(ready)
+        new = {}
+        for a, b, *_ in inside:
+            for x, y in ((a, b), (b, a)):
+                if x in ready and y not in seen:
+                    new[y] = min(new.get(y, 99), ready[x] + (x in hubs))
+        if len(seen) + len(new) > most:
+            new, truncated = dict(sorted(new.items())[: most - len(seen)]), True
+        seen |= {n: (level, h) for n, h in new.items()}
+        front = new
+        if truncated or not new:
+            break
+    touched = {r[3] for r in inside if (r[0] in left or r[1] in left) and r[0] in seen and r[1] in seen}
+    mode = "SIZE_FALLBACK" if truncated else "HUB_AWARE" if any({r[0], r[1]} & hubs for r in inside if r[3] in touched) else "FULL"
+    return {n: x[0] for n, x in seen.items()}, touched, mode
+
+
+@pytest.mark.parametrize("accounts,payments,most", [(12, 60, 2000), (40, 60, 2000), (40, 120, 9), (30, 200, 2000)])
+def test_traversal_is_a_breadth_first_search(spark, accounts, payments, most):
+    r = random.Random(payments)
+    rows = [(f"n{r.randrange(accounts)}", f"n{r.randrange(accounts)}", r.randrange(240) * HOUR, f"t{i}") for i in range(payments)]
+    hubs = {f"n{i}" for i in range(0, accounts, 4)}
+    cases = [(f"c{i}", f"n{r.randrange(accounts)}", r.randrange(240) * HOUR) for i in range(12)] + [("none", "nobody", 5)]
+    e = spark.createDataFrame(rows, "src string, dst string, us long, transaction_id string")
+    found = traversal.bounded_traversal(e, spark.createDataFrame(cases, "case_id string, node string, at_us long"), spark.createDataFrame([(h,) for h in hubs], "node string"), most=most)
+    levels, touched = {}, {}
+    for x in found.nodes.collect():
+        levels.setdefault(x["case_id"], {})[x["node"]] = x["level"]
+    for x in found.edges.collect():
+        touched.setdefault(x["case_id"], set()).add(x["transaction_id"])
+        assert x["hub_edge"] == bool({x["src"], x["dst"]} & hubs)
+    modes = {x["case_id"]: x["mode"] for x in found.cases.collect()}
+    for case, seed, at in cases:
+        want = brute_traversal(rows, seed, at, hubs, most=most)
+        assert (levels[case], touched.get(case, set()), modes[case]) == want
+
+
+def test_traversal_leaves_one_hub_and_caps(spark):
+    hub = spark.createDataFrame([("H1",), ("H2",)], "node string")
     seed = spark.createDataFrame([("case", "SEED", 0)], "case_id string, node string, at_us long")
-    e = edges(spark, [("SEED", "HUBX", 1, 0), ("HUBX", "M2", 1, 1), ("M2", "M3", 1, 2)])
-    assert {x["node"] for x in graph.bounded_traversal(e, seed, hub).collect()} == {"SEED", "HUBX"}
+    e = edges(spark, [("SEED", "H1", 1, 0), ("H1", "M2", 1, 1), ("M2", "H2", 1, 2), ("H2", "M4", 1, 3)])
+    found = traversal.bounded_traversal(e, seed, hub)
+    assert {x["node"] for x in found.nodes.collect()} == {"SEED", "H1", "M2", "H2"}  # the second hub is not left
+    assert [x["mode"] for x in found.cases.collect()] == ["HUB_AWARE"]
     line = edges(spark, [(f"N{i:02d}", f"N{i + 1:02d}", 1, 0) for i in range(30)])
     start = spark.createDataFrame([("case", "N00", 0)], "case_id string, node string, at_us long")
-    found = graph.bounded_traversal(line, start, hub, hops=30, most=5).collect()
-    assert len(found) == 5 and all(x["truncated"] for x in found)
+    found = traversal.bounded_traversal(line, start, hub, hops=30, most=5)
+    assert found.nodes.count() == 5 and [x["mode"] for x in found.cases.collect()] == ["SIZE_FALLBACK"]
 
 
 def test_kcore_and_components(spark):
@@ -143,7 +244,7 @@ def test_window_parties_against_brute_force(spark):
 
 def test_timed_cycles_and_sizes(spark):
     e = edges(spark, [("A", "B", 1, 0), ("B", "C", 1, 1), ("C", "D", 1, 2), ("D", "E", 1, 3), ("E", "A", 1, 4), ("C", "A", 1, 5), ("B", "A", 1, 200)])
-    found = {tuple(x["nodes"]): x["n"] for x in graph.timed_cycles(e).collect()}
+    found = {tuple(x["nodes"]): x["n"] for x in flows.circular_flows(e).collect()}
     assert found == {tuple("ABCDE"): 5, tuple("ABC"): 3}
     from ledgerspark.plans.graph_queries import graph_modes
 

@@ -16,6 +16,12 @@ def test_query_runs(spark, name):
     assert plans.QUERIES[name](spark, SMALL).count() > 0
 
 
+@pytest.mark.parametrize("name", ["mule_chain", "circular_flow", "rapid_layering", "fan_in_pattern", "fan_out_pattern"])
+def test_patterns_are_found(spark, name):
+    """The network of 10,000 payments holds every pattern."""
+    assert plans.QUERIES[name](spark, SMALL.replace("0.001", "0.01")).count() > 0
+
+
 def test_networks_without_sql_read_all_edges(spark):
     from pyspark.sql import functions as F
 
