@@ -150,9 +150,12 @@ def chain_counts(edges: DataFrame, gap_us: int = 24 * HOUR_US) -> DataFrame:
 
 
 def flows(edges: DataFrame) -> DataFrame:
-    """node, i and o: what it got and paid, in cents."""
+    """node, i and o: what it got and paid, in cents. A payment takes from its first account and brings to its second; a CREDIT (column type,
+    where there is one) brings to its first and takes from its second."""
     zero = F.lit(0).cast("long")
-    ends = F.array(F.struct(F.col("src").alias("node"), zero.alias("i"), F.col("cents").alias("o")), F.struct(F.col("dst").alias("node"), F.col("cents").alias("i"), zero.alias("o")))
+    credit = F.col("type") == "CREDIT" if "type" in edges.columns else F.lit(False)
+    payer, payee = F.when(credit, F.col("dst")).otherwise(F.col("src")), F.when(credit, F.col("src")).otherwise(F.col("dst"))
+    ends = F.array(F.struct(payer.alias("node"), zero.alias("i"), F.col("cents").alias("o")), F.struct(payee.alias("node"), F.col("cents").alias("i"), zero.alias("o")))
     return edges.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
 
 

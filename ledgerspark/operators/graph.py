@@ -13,7 +13,7 @@ HOUR_US = 3_600_000_000
 
 
 def edges_of(txn: DataFrame) -> DataFrame:
-    return txn.select(F.col("account_id").alias("src"), F.col("counterparty").alias("dst"), "transaction_id", "cents", "abs_amount", "ts", "us")
+    return txn.select(F.col("account_id").alias("src"), F.col("counterparty").alias("dst"), "transaction_id", "cents", "abs_amount", "ts", "us", "type")
 
 
 def edge_weights(edges: DataFrame) -> DataFrame:

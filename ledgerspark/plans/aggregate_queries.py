@@ -27,7 +27,7 @@ def edges(spark, sf_dir) -> DataFrame:
     return graph.edges_of(t.txn_events(spark, sf_dir))
 
 
-EDGES = v.TXN + ", e AS (SELECT account_id AS src, counterparty AS dst, transaction_id, cents, abs_amount, ts, us FROM txn), pairs AS (SELECT DISTINCT src, dst FROM e)"
+EDGES = v.TXN + ", e AS (SELECT account_id AS src, counterparty AS dst, transaction_id, cents, abs_amount, ts, us, type FROM txn), pairs AS (SELECT DISTINCT src, dst FROM e)"
 SCORES = "s AS (SELECT d.doc_id, CAST(n_chars AS DOUBLE) / (SELECT max(n_chars) FROM documents) AS score, CAST(toxic AS INTEGER) AS label, quality FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
 
 

@@ -192,7 +192,7 @@ def _path_sql(hops: int, gap: int, span: int | None, closed: bool = False) -> st
     return f"{out} WHERE {' AND '.join(fresh)}"
 
 
-_FLOW = "flow AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 0 AS i, cents AS o FROM q UNION ALL SELECT dst, cents, 0 FROM q) GROUP BY node)"
+_FLOW = "flow AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT CASE WHEN type = 'CREDIT' THEN dst ELSE src END AS node, 0 AS i, cents AS o FROM q UNION ALL SELECT CASE WHEN type = 'CREDIT' THEN src ELSE dst END, cents, 0 FROM q) GROUP BY node)"
 _MULES = f"{_FLOW}, mule AS (SELECT node FROM flow WHERE i > 0 AND o > 0 AND CAST(least(i, o) AS DOUBLE) / greatest(i, o) >= 0.8), mules AS (SELECT n0, count(*) AS chains, max(n) AS longest, min(t0) AS first_us, least(100, 50 + 15 * count(*)) / 100.0 AS score FROM (" + " UNION ALL ".join(
     f"SELECT a0.src AS n0, {h + 1} AS n, a0.us AS t0 FROM {_path_sql(h, _DAY, None)} AND a0.dst IN (SELECT node FROM mule)" for h in (2, 3, 4)
 ) + ") GROUP BY n0)"
