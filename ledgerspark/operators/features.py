@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from .order_statistics import quantiles, running_median
 
 #: Fixed values.
 POPULATION_MEDIAN = 4183.82
@@ -59,7 +60,6 @@ def behaviour(txn: DataFrame) -> DataFrame:
             "total_prev_txns": F.row_number().over(_account()) - 1,
             "account_age_days": F.col("dn") - F.min("dn").over(_so_far()),
             "prior_std": F.coalesce(F.stddev_samp("abs_amount").over(_before()), F.lit(0.0)),
-            "prior_median": F.percentile("abs_amount", 0.5).over(_before()),
             "prev_txns_to_beneficiary": F.row_number().over(beneficiary) - 1,
             "receiver_prev_txns": F.row_number().over(receiver) - 1,
         }
@@ -95,10 +95,11 @@ def behaviour(txn: DataFrame) -> DataFrame:
 
 
 def with_median(df: DataFrame) -> DataFrame:
-    """hist_median: the prior median, else that of the whole set; robust_amount_score."""
-    whole = df.agg(F.percentile("abs_amount", 0.5).alias("whole_median"))  # one row
-    df = df.join(F.broadcast(whole)).withColumn("hist_median", F.coalesce("prior_median", "whole_median")).drop("whole_median")
-    return df.withColumn("robust_amount_score", clip((F.col("abs_amount") - F.col("hist_median")) / (F.col("hist_median") + 1), -50, 50))
+    """transaction_id, abs_amount, hist_median: the account's prior median, else that of the whole set; robust_amount_score."""
+    whole = quantiles(df, "abs_amount", [0.5])[0]
+    prior_median = running_median(df, "account_id", ["ts", "transaction_id"], "transaction_id", "abs_amount")
+    out = prior_median.select("transaction_id", "abs_amount", F.coalesce("prior_median", F.lit(whole)).alias("hist_median"))
+    return out.withColumn("robust_amount_score", clip((F.col("abs_amount") - F.col("hist_median")) / (F.col("hist_median") + 1), -50, 50))
 
 
 def window_parties(df: DataFrame, span_us: int = 7 * DAY_US) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.durable import written
+from .order_statistics import quantiles
 
 HOUR_US = 3_600_000_000
 
@@ -78,12 +79,14 @@ def cycle_nodes(pairs: DataFrame) -> DataFrame:
 
 def supernodes(degree: DataFrame, whitelist: list[str] = [], absolute: int = 500) -> DataFrame:  # noqa: B006
     """node, degree, node_class, is_hub, degree_rank (percentage of nodes with at most this degree)."""
-    cuts = degree.agg(F.percentile("degree", F.array(F.lit(0.95), F.lit(0.99))).alias("p"), F.count(F.lit(1)).alias("nodes"))  # one row
+    degree = written(degree, "degrees")
+    p95, p99 = quantiles(degree, "degree", [0.95, 0.99])
+    total = degree.agg(F.count(F.lit(1)).alias("nodes"))  # one row
     by_degree = degree.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))  # one row per different degree
     below = by_degree.select("degree", F.sum("n").over(Window.orderBy("degree")).alias("at_most"))
-    df = degree.join(below, "degree").join(F.broadcast(cuts))
-    hub = F.col("node").isin(whitelist) | (F.col("degree") >= absolute) | (F.col("degree") >= F.col("p")[1])
-    kind = F.when(hub, "SUPER_NODE").when(F.col("degree") >= F.col("p")[0], "HIGH_DEGREE").otherwise("NORMAL")
+    df = degree.join(below, "degree").join(F.broadcast(total))
+    hub = F.col("node").isin(whitelist) | (F.col("degree") >= absolute) | (F.col("degree") >= F.lit(p99))
+    kind = F.when(hub, "SUPER_NODE").when(F.col("degree") >= F.lit(p95), "HIGH_DEGREE").otherwise("NORMAL")
     return df.select("node", "degree", kind.alias("node_class"), (kind == "SUPER_NODE").alias("is_hub"), (F.col("at_most") / F.col("nodes") * 100).alias("degree_rank"))
 
 

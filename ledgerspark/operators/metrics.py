@@ -6,14 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.durable import written
-
-
-def behaviour_evidence(history: DataFrame) -> DataFrame:
-    """history: transaction_id, amount, and earlier rows' cents and abs_amount."""
-    g = history.groupBy("transaction_id", "amount").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum("cents") / F.count(F.lit(1)) / 100.0).alias("mean"), F.percentile("abs_amount", 0.5).alias("median"), F.max("abs_amount").alias("top")
-    )
-    return g.select("transaction_id", "n", "mean", "median", "top", ((F.col("amount") / F.col("mean") >= 2.5) | (F.col("amount") / F.col("median") >= 2.5)).alias("deviation"))
+from .order_statistics import quantiles, running_median
 
 
 def _earlier(*keys: str):
@@ -21,6 +14,19 @@ def _earlier(*keys: str):
     return Window.partitionBy(*keys).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
 
 
+def behaviour_evidence(txn: DataFrame, asked: Column) -> DataFrame:
+    """For asked rows with earlier rows of their account: number, mean, median and largest of those, and whether the amount is far above. Sums are
+    frames and the median is carried along; no row meets its history in a join."""
+    account = _earlier("account_id")
+    df = txn.withColumns({"n": F.count(F.lit(1)).over(account), "cents_before": F.sum("cents").over(account), "top": F.max("abs_amount").over(account)})
+    carried = running_median(txn, "account_id", ["us", "transaction_id"], "transaction_id", "abs_amount").select("transaction_id", "prior_median", F.col("n").alias("place"))
+    moment = Window.partitionBy("account_id", "us")  # rows of one moment know what its first row knows
+    df = df.join(carried, "transaction_id").withColumn("median", F.min_by("prior_median", "place").over(moment))
+    mean, amount = F.col("cents_before") / F.col("n") / 100.0, F.col("abs_amount")
+    far = (amount / mean >= 2.5) | (amount / F.col("median") >= 2.5)
+    return df.where(asked & (F.col("n") > 0)).select("transaction_id", "n", mean.alias("mean"), "median", "top", far.alias("deviation"))
+
+
 def beneficiary_evidence(txn: DataFrame, asked: Column) -> DataFrame:
     """For asked rows with earlier rows of their account: payments to the same counterparty before."""
     same = _earlier("account_id", "counterparty")
@@ -68,10 +74,15 @@ def evidence_gaps(items: DataFrame, needed: list[str]) -> DataFrame:
 
 
 def feature_quality(df: DataFrame, names: list[str]) -> DataFrame:
+    """Per feature: missing and infinite values, range, mean, exact median, different values, and whether it is constant."""
     tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in names])).alias("r")).select("r.*")
-    return tall.groupBy("feature").agg(
-        F.count_if(F.col("x").isNull()).alias("missing"), F.min("x").alias("low"), F.max("x").alias("high"), F.percentile("x", 0.5).alias("median"), F.countDistinct("x").alias("n"), (F.countDistinct("x") <= 1).alias("constant")
-    )
+    exact = F.col("x").try_cast("decimal(38,6)")  # sums are then the same in any order
+    agg = tall.groupBy("feature").agg(
+        F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.abs("x") == float("inf")).alias("infinite"), F.min("x").alias("low"), F.max("x").alias("high"),
+        (F.sum(exact).cast("double") / F.count(exact)).alias("mean"), F.countDistinct("x").alias("n"), (F.countDistinct("x") <= 1).alias("constant"),
+    )
+    medians = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(quantiles(df, c, [0.5])[0]).cast("double"))])
+    return agg.withColumn("median", medians[F.col("feature")])
 
 
 def confusion(score: str, label: str, threshold: float) -> list[Column]:

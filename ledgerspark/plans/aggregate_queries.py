@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, metrics
+from ..operators.order_statistics import quantiles
 from ..sources import tables as t
+from ..sources.durable import written
 from . import oracle_views as v
 from .feature_queries import featured
 
@@ -71,16 +73,9 @@ def node_row_max(spark, sf_dir):
 HISTORY = f"{v.TXN}, h AS (SELECT a.transaction_id, a.abs_amount AS amount, a.counterparty AS dest, a.dn AS day, b.cents, b.abs_amount, b.counterparty, b.dn, b.ts FROM txn a JOIN txn b ON a.account_id = b.account_id AND b.ts < a.ts WHERE a.is_suspicious = 1)"
 
 
-def history(spark, sf_dir) -> DataFrame:
-    """Each suspicious transaction (amount, dest, day) with the earlier rows of its account."""
-    txn = t.txn_events(spark, sf_dir)
-    asked = txn.where("is_suspicious = 1").select("account_id", "transaction_id", F.col("abs_amount").alias("amount"), F.col("counterparty").alias("dest"), F.col("dn").alias("day"), F.col("ts").alias("at"))
-    return asked.join(txn.select("account_id", "cents", "abs_amount", "counterparty", "dn", "ts"), "account_id").where("ts < at")
-
-
 @query(f"WITH {HISTORY}, g AS (SELECT transaction_id, amount, count(*) AS n, sum(cents) / CAST(count(*) AS DOUBLE) / 100.0 AS mean, quantile_cont(abs_amount, 0.5) AS median, max(abs_amount) AS top FROM h GROUP BY ALL) SELECT transaction_id, n, mean, median, top, amount / mean >= 2.5 OR amount / median >= 2.5 AS deviation FROM g")
 def behavior_evidence(spark, sf_dir):
-    return metrics.behaviour_evidence(history(spark, sf_dir))
+    return metrics.behaviour_evidence(t.txn_events(spark, sf_dir), F.col("is_suspicious") == 1)
 
 
 @query(f"WITH {HISTORY} SELECT transaction_id, CAST(count(*) FILTER (counterparty = dest) AS BIGINT) AS matches, coalesce(sum(cents) FILTER (counterparty = dest), 0) / 100.0 AS total, min(ts) FILTER (counterparty = dest) AS first_seen, count(*) FILTER (counterparty = dest) = 0 AS is_new FROM h GROUP BY 1")
@@ -170,7 +165,7 @@ def score_by_label(spark, sf_dir):
 _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS missing, min({c}) AS low, max({c}) AS high, quantile_cont({c}, 0.5) AS median, count(DISTINCT {c}) AS n, count(DISTINCT {c}) <= 1 AS constant FROM lineitem" for c in _FEATURES))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS missing, count(*) FILTER (isinf({c})) AS infinite, CAST(sum(CAST({c} AS DECIMAL(38, 6))) AS DOUBLE) / count({c}) AS mean, min({c}) AS low, max({c}) AS high, quantile_cont({c}, 0.5) AS median, count(DISTINCT {c}) AS n, count(DISTINCT {c}) <= 1 AS constant FROM lineitem" for c in _FEATURES))
 def feature_quality(spark, sf_dir):
     return metrics.feature_quality(t.table(spark, sf_dir, "lineitem").select(*_FEATURES), _FEATURES)
 
@@ -210,7 +205,7 @@ def brier(spark, sf_dir):
 @query(f"WITH {EDGES}, {DEGREES} SELECT quantile_cont(in_degree + out_degree, 0.95) AS p95, quantile_cont(in_degree + out_degree, 0.99) AS p99 FROM deg")
 def degree_percentiles(spark, sf_dir):
     d = graph.degrees(edges(spark, sf_dir).select("src", "dst").distinct()).select((F.col("in_degree") + F.col("out_degree")).alias("d"))
-    return d.agg(F.percentile("d", 0.95).alias("p95"), F.percentile("d", 0.99).alias("p99"))
+    return spark.createDataFrame([tuple(quantiles(d, "d", [0.95, 0.99]))], "p95 double, p99 double")
 
 
 @query(f"WITH {EDGES} SELECT count(*) AS edges, count(*) FILTER (src = dst) AS self_loops, count(*) FILTER (NOT abs_amount > 0) AS invalid, count(*) - count(DISTINCT transaction_id) AS repeated FROM e")
@@ -232,8 +227,9 @@ def seed_selection(spark, sf_dir):
     from .feature_queries import flagged
 
     df = flagged(spark, sf_dir)
-    cut = df.agg(F.percentile("burst_score", 0.95).alias("cut"))  # one row
-    return df.join(F.broadcast(cut)).where((weighted_score() >= 3) | (F.col("burst_score") >= F.col("cut") + 1e-9) | (F.col("is_suspicious") == 1)).select("transaction_id")
+    df = written(df.select("transaction_id", "burst_score", "is_suspicious", weighted_score().alias("weighted")), "seeds")
+    cut = quantiles(df, "burst_score", [0.95])[0]
+    return df.where((F.col("weighted") >= 3) | (F.col("burst_score") >= F.lit(cut) + 1e-9) | (F.col("is_suspicious") == 1)).select("transaction_id")
 
 
 @query(f"WITH {SCORES}, g AS (SELECT score, count(*) AS n, sum(label) AS p FROM s GROUP BY 1) SELECT score, sum(p) OVER (ORDER BY score DESC) / CAST(sum(n) OVER (ORDER BY score DESC) AS DOUBLE) AS precision, sum(p) OVER (ORDER BY score DESC) / CAST((SELECT sum(label) FROM s) AS DOUBLE) AS recall FROM g")

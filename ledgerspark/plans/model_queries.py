@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, ingest, metrics, ml
+from ..operators.order_statistics import quantiles
 from ..sources import tables as t
 from ..sources.durable import shared_folder, written
 from ..streaming import streams
@@ -103,8 +104,8 @@ def isolation_forest_score(spark, sf_dir):
     """Anomaly in 0..1; the highest tenth is flagged."""
     df = rows(spark, sf_dir)
     scored = written(ml.isolation_scores(df, ml.isolation_forest(df.where("label = 0"), "transaction_id", FEATURES), FEATURES).select("transaction_id", "anomaly"), "anomaly")
-    cut = scored.agg(F.percentile("anomaly", 0.9).alias("cut"))  # one row
-    return scored.join(F.broadcast(cut)).select("transaction_id", "anomaly", (F.col("anomaly") > F.col("cut")).alias("flag"))
+    cut = quantiles(scored, "anomaly", [0.9])[0]
+    return scored.select("transaction_id", "anomaly", (F.col("anomaly") > F.lit(cut)).alias("flag"))
 
 
 @query()

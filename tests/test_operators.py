@@ -1,12 +1,14 @@
 """Small exact cases."""
 
 import random
+import statistics
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, rules, scoring, traversal
+from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, order_statistics, rules, scoring, traversal
 from ledgerspark.sources.tables import with_amounts
 
 TXN = "transaction_id string, account_id string, counterparty string, ts timestamp, amount double, type string, category string"
@@ -47,9 +49,40 @@ def test_features_do_not_depend_on_row_order(spark):
 
 def test_behaviour_evidence(spark):
     amounts = [4000, 5000, 6000, 5500, 4500] * 4
-    rows = [("x", 100000.0, a * 100, float(a)) for a in amounts]
-    got = metrics.behaviour_evidence(spark.createDataFrame(rows, "transaction_id string, amount double, cents long, abs_amount double")).first()
-    assert (got["mean"], got["deviation"]) == (5000.0, True)
+    rows = [(f"t{i:02d}", "a", "b", T0 + timedelta(hours=i), float(a), "CREDIT", "X") for i, a in enumerate(amounts)]
+    rows += [("x", "a", "b", T0 + timedelta(hours=99), 100000.0, "CREDIT", "X"), ("y", "a", "b", T0 + timedelta(hours=99), 5000.0, "CREDIT", "X"), ("z", "new", "b", T0, 5.0, "CREDIT", "X")]
+    got = {x["transaction_id"]: x for x in metrics.behaviour_evidence(with_amounts(spark.createDataFrame(rows, TXN)), F.col("transaction_id").isin("x", "y", "z")).collect()}
+    assert set(got) == {"x", "y"}  # z has no history; x and y are of one moment and don't see each other
+    assert (got["x"]["n"], got["x"]["mean"], got["x"]["median"], got["x"]["top"], got["x"]["deviation"]) == (20, 5000.0, 5000.0, 6000.0, True)
+    assert (got["y"]["n"], got["y"]["median"], got["y"]["deviation"]) == (20, 5000.0, False)
+
+
+@pytest.mark.parametrize("shape", ["random", "up", "down", "ties", "zigzag"])
+def test_running_medians_of_a_hot_key(spark, shape):
+    """A key of many chunks, and small ones; chunks of 8 need several steps down, chunks of 4096 none."""
+    r = random.Random(2)
+    value = {"random": lambda i: r.random(), "up": float, "down": lambda i: -float(i), "ties": lambda i: float(r.randrange(4)), "zigzag": lambda i: float(i if i % 2 else -i)}[shape]
+    rows = [(key, f"{key}{i}", value(i), i) for key, n in (("hot", 700), ("b", 3), ("c", 90), ("d", 1)) for i in range(n)]
+    want, seen = {}, {}
+    for key, i, x, _ in rows:
+        so_far = seen.setdefault(key, [])
+        want[i] = (len(so_far), statistics.median(so_far) if so_far else None)
+        so_far.append(x)
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "account string, id string, x double, t long")
+    for chunk in (8, 4096):
+        got = order_statistics.running_median(df, "account", ["t"], "id", "x", chunk=chunk)
+        assert {x["id"]: (x["n"], x["prior_median"]) for x in got.collect()} == want
+
+
+def test_quantiles_by_selection(spark):
+    r = random.Random(3)
+    at = [0, 0.05, 0.5, 0.95, 0.99, 1]
+    for values in ([r.random() for _ in range(5000)], [1.0] * 3000 + [2.0] * 2000, [float(r.randrange(7)) for _ in range(4000)], [3.0], [float("nan"), None, 1.0, 2.0], [r.expovariate(1) ** 9 for _ in range(3000)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = order_statistics.quantiles(df, "v", at, enough=50, accuracy=100)
+        assert got == pytest.approx(np.quantile([v for v in values if v is not None and v == v], at))
+    assert order_statistics.quantiles(df.limit(0), "v", [0.5]) == [None]
 
 
 def test_mule_chain(spark):
