@@ -112,108 +112,6 @@ def fan(edges: DataFrame, centre: str, other: str) -> DataFrame:
     return agg.where("n >= 5").select("node", "n", share.alias("top_share"), F.least(F.lit(1.0), 0.07 * F.col("n") + 0.3 * share).alias("score"))
 
 
-# Iterative metrics: a driver loop of joins; each round is written to the shared folder, so lineage stays short.
-
-
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """node, rank. edges: src, dst, weight. Nodes without out-edges spread their mass evenly."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    links = written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
-    nodes = written(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
-    n = nodes.count()
-    sinks = nodes.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
-        lost = rank.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
-        flow = links.join(rank, F.expr("src = node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        new = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)
-        rank = nodes.join(flow.withColumnRenamed("dst", "node"), "node", "left").join(F.broadcast(lost)).select("node", new.alias("rank"))
-        rank = written(rank, "rank")
-    return rank
-
-
-def hits(pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """node, hub, auth, each with sum 1."""
-    pairs = written(pairs, "pairs")
-    nodes = written(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
-    hub = nodes.withColumn("hub", F.lit(1.0))
-
-    def step(score: DataFrame, name: str, at: str, to: str, out: str) -> DataFrame:
-        got = pairs.join(score.withColumnRenamed("node", at), at).groupBy(to).agg(F.sum(name).alias(out)).withColumnRenamed(to, "node")
-        full = nodes.join(got, "node", "left").fillna(0.0, [out])
-        total = full.agg(F.sum(out).alias("total"))  # one row
-        return written(full.join(F.broadcast(total)).select("node", (F.col(out) / F.col("total")).alias(out)), "hits")
-
-    for _ in range(rounds):
-        auth = step(hub, "hub", "src", "dst", "auth")
-        hub = step(auth, "auth", "dst", "src", "hub")
-    return hub.join(auth, "node")
-
-
-def kcore(pairs: DataFrame) -> DataFrame:
-    """node, core: the largest k for which the node is in the k-core of the undirected network; peels all nodes under k at once."""
-    live = written(undirected(pairs), "core")
-    out, k = None, 0
-    while True:
-        degree = live.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-        low = degree.where(F.col("d") <= k).select("src")
-        gone = written(low.withColumnRenamed("src", "node").withColumn("core", F.lit(k)), "peeled")
-        if gone.isEmpty():
-            if live.isEmpty():
-                return out
-            k += 1
-            continue
-        out = gone if out is None else out.unionByName(gone)
-        weak = gone.select(F.col("node").alias("src"))
-        left = live.join(weak, "src", "left_anti").join(weak.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
-        # Nodes whose last neighbour went are in the same core as the k that took it.
-        bare = live.select("src").distinct().join(weak, "src", "left_anti").join(left.select("src").distinct(), "src", "left_anti")
-        out = out.unionByName(written(bare.select(F.col("src").alias("node"), F.lit(k).alias("core")), "bare"))
-        live = written(left, "core")
-
-
-def label_propagation(pairs: DataFrame, rounds: int = 6) -> DataFrame:
-    """node, community: the most frequent label among neighbours, the smallest on ties, in synchronous rounds."""
-    both = written(undirected(pairs), "both")
-    label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
-        seen = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
-        label = written(seen.groupBy("src").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community")).withColumnRenamed("src", "node"), "labels")
-    return label
-
-
-def reach_minimum(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """node, label: the smallest label of the nodes from which a node can be reached, itself included."""
-    while True:
-        got = pairs.join(label.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.min("label").alias("got"))
-        step = label.join(got.withColumnRenamed("dst", "node"), "node", "left").select("node", F.least("label", "got").alias("label"), (F.col("got") < F.col("label")).alias("moved"))
-        step = written(step, "reach")
-        label = step.select("node", "label")
-        if step.where("moved").isEmpty():
-            return label
-
-
-def strong_components(pairs: DataFrame) -> DataFrame:
-    """node, component (its smallest node). Each round: the smallest label that reaches a node forwards marks its colour; nodes that
-    reach the colour's root backwards within the colour are its component; what is left goes to the next round."""
-    live = written(pairs.distinct(), "scc")
-    nodes = written(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
-    out = None
-    while not nodes.isEmpty():
-        colour = reach_minimum(live, nodes.withColumn("label", F.col("node")))
-        a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("la")), colour.select(F.col("node").alias("dst"), F.col("label").alias("lb"))
-        inside = written(live.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst"), "inside")
-        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        # Backwards from the root of each colour: label 0 spreads from roots only.
-        seed = colour.withColumn("label", F.when(F.col("node") == F.col("label"), 0).otherwise(1))
-        hit = reach_minimum(back, seed).where("label = 0").select("node")
-        found = written(colour.join(hit, "node", "left_semi").withColumnRenamed("label", "component"), "found")
-        out = found if out is None else out.unionByName(found)
-        nodes = written(nodes.join(found, "node", "left_anti"), "nodes")
-        live = written(live.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc")
-    return out
-
-
 def weighted_risk(scores: dict[str, Column], weights: dict[str, float]) -> Column:
     """The mean of the scores that are there (not null), by weight, times 100."""
     total = sum((F.when(s.isNotNull(), F.lit(weights[k])).otherwise(0.0) for k, s in scores.items()), F.lit(0.0))

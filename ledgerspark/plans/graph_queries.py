@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, mask_id
-from ..operators import flows, graph, joins, traversal
+from ..operators import flows, graph, joins, network_metrics, traversal
 from ..sources import tables as t
 from ..sources.durable import written
 from . import oracle_views as v
@@ -54,28 +54,24 @@ def calm(spark, sf_dir) -> DataFrame:
     return flows.calm_edges(e, written(flows.period_hubs(e), "hubs"))
 
 
-def _rank_sql(rounds: int) -> str:
-    """PageRank as chained table expressions."""
-    out = f"WITH {EDGES}, w AS (SELECT src, dst, sum(cents) / 100.0 AS weight FROM e GROUP BY ALL), l AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM w), nodes AS (SELECT src AS node FROM w UNION SELECT dst FROM w), k AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), sinks AS (SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM w)), r0 AS (SELECT node, 1.0 / n AS rank FROM nodes, k)"
-    for i in range(1, rounds + 1):
-        p = f"r{i - 1}"
-        out += f", r{i} AS (SELECT nodes.node, 0.15 / n + 0.85 * (coalesce(f, 0.0) + (SELECT coalesce(sum(rank), 0.0) FROM {p} WHERE node IN (SELECT node FROM sinks)) / n) AS rank FROM nodes CROSS JOIN k LEFT JOIN (SELECT dst, sum(rank * share) AS f FROM l JOIN {p} ON src = node GROUP BY dst) x ON x.dst = nodes.node)"
-    return out + f" SELECT node, round(rank, 9) AS rank FROM r{rounds}"
+#: PageRank by so many rounds of all nodes, far more than it takes to settle.
+_RANK = f"WITH RECURSIVE {EDGES}, w AS (SELECT src, dst, sum(cents) / 100.0 AS weight FROM e GROUP BY ALL), l AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM w), nodes AS (SELECT node, node NOT IN (SELECT src FROM w) AS sink FROM (SELECT src AS node FROM w UNION SELECT dst FROM w)), k AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), r AS (SELECT 0 AS i, node, sink, 1.0 / n AS rank FROM nodes, k UNION ALL SELECT any_value(i) + 1, node, any_value(sink), 0.15 / any_value(n) + 0.85 * sum(part) FROM (SELECT i, nodes.node, nodes.sink, n, CASE WHEN l.dst IS NULL THEN 0 ELSE r.rank * share END + CASE WHEN first THEN lost / n ELSE 0 END AS part FROM nodes CROSS JOIN k CROSS JOIN (SELECT *, sum(CASE WHEN sink THEN rank ELSE 0 END) OVER () AS lost, row_number() OVER (ORDER BY node) = 1 AS first FROM r WHERE i < 60) r LEFT JOIN l ON l.src = r.node AND l.dst = nodes.node) GROUP BY node), ranked AS (SELECT node, rank FROM r WHERE i = 60)"
 
 
-@query(_rank_sql(6))
+@query(_RANK + " SELECT node, round(rank, 8) AS rank FROM ranked")
 def pagerank(spark, sf_dir):
-    return graph.pagerank(graph.edge_weights(edges(spark, sf_dir)), rounds=6).select("node", F.round("rank", 9).alias("rank"))
+    rank, _ = network_metrics.pagerank(graph.edge_weights(edges(spark, sf_dir)))
+    return rank.select("node", F.round("rank", 8).alias("rank"))
 
 
 @query()
 def hits(spark, sf_dir):
-    return graph.hits(pairs(spark, sf_dir))
+    return network_metrics.hits(pairs(spark, sf_dir))[0]
 
 
 @query()
 def kcore(spark, sf_dir):
-    return graph.kcore(pairs(spark, sf_dir))
+    return network_metrics.kcore(pairs(spark, sf_dir))[0]
 
 
 @query(f"WITH {EDGES} SELECT a.src AS node, least(count(DISTINCT b.dst), 200) AS reach FROM pairs a JOIN pairs b ON a.dst = b.src WHERE b.dst <> a.src GROUP BY 1")
@@ -90,24 +86,33 @@ def cycle_flag(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    label = graph.label_propagation(pairs(spark, sf_dir))
+    """Communities by modularity, their sizes, and the modularity of all."""
+    label, value = network_metrics.communities(pairs(spark, sf_dir))
     size = label.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
-    return label.join(size, "community").select("node", "community", "size")
+    return label.join(size, "community").select("node", "community", "size", F.lit(value).alias("modularity"))
 
 
 _SCC = f"{EDGES}, reach AS (SELECT src AS a, dst AS b FROM pairs UNION SELECT reach.a, pairs.dst FROM reach JOIN pairs ON reach.b = pairs.src), n AS (SELECT src AS node FROM pairs UNION SELECT dst FROM pairs), mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a), comp AS (SELECT node, least(node, coalesce(min(b), node)) AS component FROM n LEFT JOIN mutual ON a = node GROUP BY node)"
 
 
+_RINGS = "rings AS (SELECT 2 AS n FROM pairs a JOIN pairs b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT 3 FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst)"
+
+
 @query(f"WITH RECURSIVE {_SCC} SELECT * FROM comp")
 def scc(spark, sf_dir):
-    return graph.strong_components(pairs(spark, sf_dir))
+    return network_metrics.strong_components(pairs(spark, sf_dir))[0]
 
 
-@query(f"WITH RECURSIVE {_SCC} SELECT size, count(*) AS components FROM (SELECT count(*) AS size FROM comp GROUP BY component) GROUP BY size")
+@query(f"WITH RECURSIVE {_SCC}, sizes AS (SELECT count(*) AS size FROM comp GROUP BY component), {_RINGS} SELECT 'component' AS kind, size, count(*) AS n, CAST(count(*) FILTER (size = 1) AS DOUBLE) / (SELECT count(*) FROM sizes) AS singleton_rate FROM sizes GROUP BY size UNION ALL SELECT 'cycle', n, count(*), 0.0 FROM rings GROUP BY n")
 def size_distribution(spark, sf_dir):
-    """How many components have each size."""
-    size = graph.strong_components(pairs(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return size.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+    """How many components have each size, which share of all are singletons, and how many rings of two and three accounts there are."""
+    near = pairs(spark, sf_dir)
+    size = written(network_metrics.strong_components(near)[0].groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    total = size.agg(F.count(F.lit(1)).alias("all"))  # one row
+    single = F.when(F.col("size") == 1, F.col("n") / F.col("all")).otherwise(0.0).alias("singleton_rate")
+    components = size.groupBy("size").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select(F.lit("component").alias("kind"), "size", "n", single)
+    rings = [graph.cycles(near, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit("cycle").alias("kind"), F.lit(n).cast("long").alias("size"), "n", F.lit(0.0).alias("singleton_rate")) for n in (2, 3)]
+    return reduce(DataFrame.unionByName, [components, *rings]).where("n > 0")
 
 
 @query(f"WITH {EDGES}, {DEGREES}, d AS (SELECT node, in_degree + out_degree AS degree FROM deg), p AS (SELECT quantile_cont(degree, 0.95) AS p95, quantile_cont(degree, 0.99) AS p99 FROM d) SELECT node, degree, CASE WHEN degree >= 500 OR degree >= p99 THEN 'SUPER_NODE' WHEN degree >= p95 THEN 'HIGH_DEGREE' ELSE 'NORMAL' END AS node_class, degree >= 500 OR degree >= p99 AS is_hub FROM d, p")
@@ -163,18 +168,15 @@ def candidate_subgraphs(spark, sf_dir):
     return one.join(two, "node", "left").fillna(0, ["two_hop"])
 
 
-def _central_sql() -> str:
-    rank = _rank_sql(6).rpartition(" SELECT ")[0]
-    mask = "substr(node, 1, 8) || '***' AS node"
-    degree = "SELECT node, in_degree + out_degree AS degree FROM deg ORDER BY degree DESC, node LIMIT 10"
-    top = "SELECT node, rank FROM r6 ORDER BY rank DESC, node LIMIT 10"
-    return f"{rank}, {DEGREES} SELECT 'pagerank' AS metric, {mask}, round(rank, 9) AS value FROM ({top}) UNION ALL SELECT 'degree', {mask}, CAST(degree AS DOUBLE) FROM ({degree})"
+_MASK = "substr(node, 1, 8) || '***' AS node"
+_CENTRAL = f"{_RANK}, {DEGREES} SELECT 'pagerank' AS metric, {_MASK}, round(rank, 8) AS value FROM (SELECT node, rank FROM ranked ORDER BY rank DESC, node LIMIT 10) UNION ALL SELECT 'degree', {_MASK}, CAST(degree AS DOUBLE) FROM (SELECT node, in_degree + out_degree AS degree FROM deg ORDER BY degree DESC, node LIMIT 10)"
 
 
-@query(_central_sql())
+@query(_CENTRAL)
 def centrality_topk(spark, sf_dir):
     """The ten nodes of largest rank and of largest degree, masked."""
-    rank = graph.pagerank(graph.edge_weights(edges(spark, sf_dir)), rounds=6).orderBy(F.desc("rank"), "node").limit(10).select(F.lit("pagerank").alias("metric"), mask_id(F.col("node")).alias("node"), F.round("rank", 9).alias("value"))
+    rank, _ = network_metrics.pagerank(graph.edge_weights(edges(spark, sf_dir)))
+    rank = rank.orderBy(F.desc("rank"), "node").limit(10).select(F.lit("pagerank").alias("metric"), mask_id(F.col("node")).alias("node"), F.round("rank", 8).alias("value"))
     degree = hubs(spark, sf_dir).orderBy(F.desc("degree"), "node").limit(10).select(F.lit("degree").alias("metric"), mask_id(F.col("node")).alias("node"), F.col("degree").cast("double").alias("value"))
     return rank.unionByName(degree)
 

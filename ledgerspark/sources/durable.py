@@ -25,4 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(spark)
     path = f"{folder}/written/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: a loop's earlier rounds."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)

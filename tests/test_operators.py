@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, order_statistics, rules, scoring, traversal
+from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, network_metrics, order_statistics, rules, scoring, traversal
 from ledgerspark.sources.tables import with_amounts
 
 TXN = "transaction_id string, account_id string, counterparty string, ts timestamp, amount double, type string, category string"
@@ -216,11 +216,120 @@ def test_traversal_leaves_one_hub_and_caps(spark):
     assert found.nodes.count() == 5 and [x["mode"] for x in found.cases.collect()] == ["SIZE_FALLBACK"]
 
 
-def test_kcore_and_components(spark):
-    p = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")], "src string, dst string")
-    assert {x["node"]: x["core"] for x in graph.kcore(p).collect()} == {"a": 2, "b": 2, "c": 2, "d": 1}
-    scc = {x["node"]: x["component"] for x in graph.strong_components(p).collect()}
-    assert scc == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
+def random_pairs(spark, r, n, m):
+    rows = sorted({(f"n{r.randrange(n):03d}", f"n{r.randrange(n):03d}") for _ in range(m)})
+    return rows, spark.createDataFrame(rows, "src string, dst string")
+
+
+def brute_components(rows):
+    out = {}
+    for a, b in rows:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for y in out[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen
+
+    far = {a: reach(a) for a in out}
+    return {a: min(b for b in far[a] if a in far[b]) for a in out}
+
+
+@pytest.mark.parametrize("n,m", [(40, 45), (40, 70), (25, 120), (60, 60)])
+def test_strong_components(spark, n, m):
+    rows, p = random_pairs(spark, random.Random(m), n, m)
+    rows += [("x", "y"), ("y", "x"), ("self", "self"), ("p", "q")]
+    p = spark.createDataFrame(rows, "src string, dst string")
+    assert {x["node"]: x["component"] for x in network_metrics.strong_components(p)[0].collect()} == brute_components(rows)
+
+
+def test_long_chains_and_rings_take_few_rounds(spark):
+    ring = 2000
+    e = spark.range(10_000).selectExpr("concat('c', id) AS src", "concat('c', id + 1) AS dst").union(spark.range(ring).selectExpr("concat('r', id) AS src", f"concat('r', (id + 1) % {ring}) AS dst"))
+    found, rounds = network_metrics.strong_components(e)
+    assert rounds < 40
+    size = {x["component"]: x["count"] for x in found.groupBy("component").count().where("count > 1").collect()}
+    assert size == {"r0": ring} and found.count() == 10_001 + ring
+
+
+def test_kcore(spark):
+    rows, p = random_pairs(spark, random.Random(4), 60, 260)
+    near = {}
+    for a, b in rows:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    core, left, k = {}, {a: set(b) for a, b in near.items()}, 0
+    while left:
+        low = [a for a, b in left.items() if len(b) <= k]
+        for a in low:
+            core[a] = k
+            for b in left.pop(a):
+                left.get(b, set()).discard(a)
+        k += not low
+    found, rounds = network_metrics.kcore(p)
+    assert {x["node"]: x["core"] for x in found.collect()} == core
+    clique = [(f"k{i}", f"k{j}") for i in range(40) for j in range(i)]
+    found, rounds = network_metrics.kcore(spark.createDataFrame(clique, "src string, dst string"))
+    assert {x["core"] for x in found.collect()} == {39} and rounds < 5  # not tied to k
+
+
+def brute_rank(rows, rounds=300):
+    out, nodes = {}, {x for a, b, _ in rows for x in (a, b)}
+    for a, _, w in rows:
+        out[a] = out.get(a, 0) + w
+    n = len(nodes)
+    rank = dict.fromkeys(nodes, 1 / n)
+    for _ in range(rounds):
+        lost = sum(v for x, v in rank.items() if x not in out)
+        new = dict.fromkeys(nodes, 0.15 / n + 0.85 * lost / n)
+        for a, b, w in rows:
+            new[b] += 0.85 * rank[a] * w / out[a]
+        rank = new
+    return rank
+
+
+def test_pagerank_and_hits_settle(spark):
+    rows, _ = random_pairs(spark, random.Random(9), 50, 130)
+    rows = [(a, b, float(i % 5 + 1)) for i, (a, b) in enumerate(rows) if a != "n001"]
+    found, rounds = network_metrics.pagerank(spark.createDataFrame(rows, "src string, dst string, weight double"))
+    want = brute_rank(rows)
+    got = {x["node"]: x["rank"] for x in found.collect()}
+    assert got == pytest.approx(want, abs=1e-8) and sum(got.values()) == pytest.approx(1) and 1 < rounds < 100
+    found, rounds = network_metrics.hits(spark.createDataFrame([r[:2] for r in rows], "src string, dst string"))
+    hub = dict.fromkeys(want, 1.0)
+    for _ in range(400):
+        auth = dict.fromkeys(want, 0.0)
+        for a, b, _w in rows:
+            auth[b] += hub[a]
+        hub = dict.fromkeys(want, 0.0)
+        for a, b, _w in rows:
+            hub[a] += auth[b]
+        total = sum(hub.values())
+        hub = {a: v / total for a, v in hub.items()}
+    auth = {a: v / sum(auth.values()) for a, v in auth.items()}
+    got = {x["node"]: x for x in found.collect()}
+    assert {a: x["hub"] for a, x in got.items()} == pytest.approx(hub, abs=1e-5) and {a: x["auth"] for a, x in got.items()} == pytest.approx(auth, abs=1e-5) and rounds < 100
+
+
+def test_communities_by_modularity(spark):
+    """Eight groups with many edges inside and few between; and never worse than label propagation."""
+    r = random.Random(6)
+    rows = {(f"g{g}-{r.randrange(12):02d}", f"g{g}-{r.randrange(12):02d}") for g in range(8) for _ in range(60)} | {(f"g{r.randrange(8)}-{r.randrange(12):02d}", f"g{r.randrange(8)}-{r.randrange(12):02d}") for _ in range(40)}
+    p = spark.createDataFrame(sorted(rows), "src string, dst string")
+    label, value = network_metrics.communities(p)
+    got = {}
+    for x in label.collect():
+        got.setdefault(x["community"], set()).add(x["node"].split("-")[0])
+    assert len(got) == 8 and all(len(g) == 1 for g in got.values())
+    assert value == pytest.approx(network_metrics.modularity(p, label)) and value > 0.6
+    _, loose = random_pairs(spark, r, 60, 90)
+    label, value = network_metrics.communities(loose)
+    assert value == pytest.approx(network_metrics.modularity(loose, label)) and value >= network_metrics.modularity(loose, network_metrics.label_propagation(loose))
 
 
 def test_messages(spark):
