@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler, Word2Vec
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.durable import written
+from ..sources.durable import forget, written
+from .graph import undirected
+from .metrics import ranking_metrics
 
 
 def feature_vector(df: DataFrame, names: list[str], output: str = "features") -> DataFrame:
@@ -129,20 +131,36 @@ def isolation_scores(df: DataFrame, forest: list[np.ndarray], names: list[str],
     return source.withColumn("anomaly", score("x")).drop("x")
 
 
-def random_walks(pairs: DataFrame, walks: int = 4, length: int = 6) -> DataFrame:
-    """walk, path: the next hop is picked by a hash of walk, step and place among the neighbours, so walks repeat exactly."""
-    out = written(pairs.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("next")), "next")
-    at = out.select(F.col("src").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("w"))
-    at = at.select(F.concat_ws("#", "start", "w").alias("walk"), F.col("start").alias("src"), F.array("start").alias("path"))
-    for step in range(length):
-        pick = F.pmod(F.xxhash64("walk", F.lit(step)), F.size("next")).cast("int") + 1
-        moved = at.join(out, "src", "left").withColumn("to", F.when(F.col("next").isNotNull(), F.element_at("next", pick)))
-        at = moved.select("walk", F.coalesce("to", "src").alias("src"), F.when(F.col("to").isNotNull(), F.array_append("path", F.col("to"))).otherwise(F.col("path")).alias("path"))
-    return at.select("walk", "path")
-
-
-def node_embeddings(pairs: DataFrame, size: int = 64) -> DataFrame:
-    """node, embedding: Word2Vec over random walks."""
-    walks = written(random_walks(pairs), "walks")
-    model = Word2Vec(vectorSize=size, minCount=1, inputCol="path", outputCol="v", seed=11, maxIter=1, numPartitions=4).fit(walks)
-    return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("embedding"))
+def node_embeddings(pairs: DataFrame, size: int = 64, weights: tuple[float, ...] = (0.3, 1.0, 1.0)) -> DataFrame:
+    """node, embedding: random signs of each node, averaged over neighbours again and again, and the averages added up by weight.
+
+    Nodes with like neighbourhoods get like vectors (a random projection of the powers of the transition matrix). Signs come from a hash,
+    so nothing is stored for them and results repeat exactly; an average is combined in the map tasks, whatever a node's degree.
+    """
+    both = written(undirected(pairs), "both")
+    signs = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.pmod(F.xxhash64("node", i), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    now = written(ends.select("node", signs.alias("v"), F.array_repeat(F.lit(0.0), size).alias("embedding")), "embedding")
+    for weight in weights:
+        means = both.join(now.select(F.col("node").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("node")).agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(size)])
+        mean = unit(F.array(*[F.coalesce(f"m{i}", F.lit(0.0)) for i in range(size)]))  # nodes without neighbours keep zeros
+        step = now.select("node", "embedding").join(means, "node", "left").select("node", "embedding", mean.alias("v"))
+        new = written(step.select("node", "v", F.zip_with("embedding", "v", lambda a, b: a + weight * b).alias("embedding")), "embedding")
+        forget(now)
+        now = new
+    return now.select("node", unit(F.col("embedding")).alias("embedding"))
+
+
+def unit(v: Column) -> Column:
+    """A vector of length one; zeros stay."""
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+
+
+def link_auc(embeddings: DataFrame, links: DataFrame, others: DataFrame) -> float:
+    """How often a link's ends are more alike than those of another pair (ties count half); links and others: src, dst."""
+    pairs = links.select("src", "dst", F.lit(1).alias("label")).unionByName(others.select("src", "dst", F.lit(0).alias("label")))
+    for end in ("src", "dst"):
+        pairs = pairs.join(embeddings.select(F.col("node").alias(end), F.col("embedding").alias(f"{end}_v")), end)
+    alike = F.aggregate(F.zip_with("src_v", "dst_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return ranking_metrics(pairs.select(F.round(alike, 9).alias("score"), "label"), "score", "label").first()["roc_auc"]

@@ -9,6 +9,7 @@ from ..operators import graph, ingest, metrics, ml
 from ..operators.order_statistics import quantiles
 from ..sources import tables as t
 from ..sources.durable import shared_folder, written
+from ..sources.keyed_table import KeyedTable
 from ..streaming import streams
 from . import oracle_views as v
 from .feature_queries import flagged
@@ -140,13 +141,24 @@ def stream_ingest(spark, sf_dir):
     return streams.run_available(stream(spark, sf_dir), "ingest").select("transaction_id", "account_id", "amount")
 
 
-@query("SELECT count(*) AS n FROM events")
+def keyed_table(spark, name: str, schema: str, key: str) -> KeyedTable:
+    import uuid
+
+    return KeyedTable(spark, f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}", schema, key, buckets=8)
+
+
+@query("SELECT 'CASE-' || event_id AS case_id, 3 AS duplicates FROM events")
 def stream_dedup(spark, sf_dir):
-    """Every event arrives twice; each is counted once (fingerprints of different events differ in the given table)."""
-    path = event_files(spark, sf_dir)
-    both = streams.event_stream(spark, path).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    found = streams.run_available(streams.deduplicated(streams.as_transactions(both)), "dedup")
-    return found.agg(F.count(F.lit(1)).alias("n"))
+    """Every event arrives twice in a run, and there are two runs: one opens a case, three are duplicates of it (fingerprints of different events
+    differ in the given table). The second run knows the first one's fingerprints from the stored table only."""
+    files = event_files(spark, sf_dir)
+    stored = keyed_table(spark, "fingerprints", streams.FINGERPRINTS, "fingerprint")
+    log = f"{stored.path}-log"
+    for run in ("first", "second"):
+        both = streams.event_stream(spark, files, per_trigger=2).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        streams.drop_stored(streams.as_transactions(both), stored, log, run)
+    found = spark.read.schema("fingerprint string, case_id string, nth long").option("recursiveFileLookup", True).parquet(log)
+    return found.groupBy("case_id").agg(F.count(F.lit(1)).alias("duplicates"))
 
 
 @query("WITH p AS (SELECT user_id, CAST(count(*) AS DOUBLE) / count(DISTINCT CAST(ts AS DATE)) AS daily FROM events GROUP BY 1), s AS (SELECT CAST(event_id AS VARCHAR) AS transaction_id, round(0.25 * CASE WHEN value >= 50000 THEN 0.2 ELSE 0.05 END + 0.25 * least(daily / 10.0, 1.0) + 0.10 * CASE WHEN hour(ts) < 6 THEN 1.0 ELSE 0.0 END, 4) AS triage FROM events JOIN p USING (user_id)) SELECT transaction_id, CASE WHEN triage < 0.3 THEN 'LOG_ONLY' WHEN triage < 0.6 THEN 'MONITOR' ELSE 'FULL_INVESTIGATION' END AS decision FROM s")
@@ -172,9 +184,10 @@ def stream_windows(spark, sf_dir):
 
 @query(f"WITH {v.TXN} SELECT account_id, arg_max(transaction_id, (ts, transaction_id)) AS transaction_id, max(ts) AS ts FROM txn GROUP BY 1")
 def stream_case_upsert(spark, sf_dir):
-    """The newest status of each account's case."""
-    found = streams.run_available(stream(spark, sf_dir), "cases").select("account_id", "transaction_id", "ts")
-    return streams.latest(found, "account_id", ["ts", "transaction_id"])
+    """The newest status of each account's case, upserted batch by batch into a keyed table."""
+    table = keyed_table(spark, "cases", streams.CASES, "account_id")
+    streams.upsert_cases(stream(spark, sf_dir), table)
+    return table.read().select("account_id", "transaction_id", "ts")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS transaction_id, ts FROM events ORDER BY ts DESC, transaction_id LIMIT 50")
@@ -200,7 +213,14 @@ def sink_feature_store(spark, sf_dir):
 
 @query("SELECT conv_id AS case_id, turn AS seq, role AS actor FROM conversations")
 def append_audit(spark, sf_dir):
-    return written(t.audit_events(spark, sf_dir), "audit").select("case_id", "seq", "actor")
+    """The trail is appended to, actor by actor; what is there is never written again."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    events = t.audit_events(spark, sf_dir)
+    for part in (F.col("actor") == "user", F.col("actor") == "assistant", ~F.coalesce(F.col("actor").isin("user", "assistant"), F.lit(False))):
+        events.where(part).write.mode("append").parquet(path)
+    return spark.read.schema(events.schema).parquet(path).select("case_id", "seq", "actor")
 
 
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")

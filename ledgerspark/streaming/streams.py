@@ -13,7 +13,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.scalars import fingerprint
 from ..operators.scoring import route, triage_decision, triage_score
-from ..sources.durable import shared_folder
+from ..sources.durable import shared_folder, written
+from ..sources.keyed_table import KeyedTable
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -107,8 +108,49 @@ def run_available(df: DataFrame, name: str, mode: str = "append", each: Callable
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 
 
+def run_each(df: DataFrame, name: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over all that is there; each(batch, number) keeps what is to be kept."""
+    checkpoint = f"{shared_folder(df.sparkSession)}/streams/{name}-{uuid.uuid4().hex}/checkpoint"
+    df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+
+
+CASES = "account_id string, transaction_id string, ts timestamp, updates long"
+
+
+def upsert_cases(txn: DataFrame, table: KeyedTable, source: str = "cases") -> None:
+    """Each account's case gets the status of its newest transaction; a batch is combined by account first, and a replayed one changes nothing."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        newest = F.max_by(F.struct("transaction_id", "ts"), F.struct("ts", "transaction_id")).alias("r")
+        table.upsert(batch.groupBy("account_id").agg(newest, F.count(F.lit(1)).alias("updates")).select("account_id", "r.*", "updates"), ["ts", "transaction_id"], number, source)
+
+    run_each(txn, "cases", each)
+
+
+FINGERPRINTS = "fingerprint string, case_id string, transaction_id string, ts timestamp"
+
+
+def drop_stored(txn: DataFrame, stored: KeyedTable, log: str, source: str) -> None:
+    """Transactions whose fingerprint is stored, from this run or an earlier one, or came before in the batch, are logged under log with
+    the earlier case; the others open a case and are stored. A batch meets only the buckets of its own fingerprints."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = written(batch.select("fingerprint", F.concat(F.lit("CASE-"), "transaction_id").alias("case_id"), "transaction_id", "ts"), "batch")
+        first = rows.groupBy("fingerprint").agg(F.min_by(F.struct("case_id", "transaction_id", "ts"), F.struct("ts", "transaction_id")).alias("r"), F.count(F.lit(1)).alias("n")).select("fingerprint", "r.*", "n")
+        first = written(first, "first")
+        earlier = stored.read(stored.touched(first)).select("fingerprint", F.col("case_id").alias("earlier"))
+        met = written(first.join(earlier, "fingerprint", "left"), "met")
+        # A row of the batch is a duplicate of the stored case, or else of the batch's first: all but one of its rows.
+        repeats = F.explode(F.sequence(F.lit(1), F.when(F.col("earlier").isNull(), F.col("n") - 1).otherwise(F.col("n"))))
+        again = met.where("earlier IS NOT NULL OR n > 1").withColumn("nth", repeats).select("fingerprint", F.coalesce("earlier", "case_id").alias("case_id"), "nth")
+        again.write.mode("overwrite").parquet(f"{log}/{source}-{number:06d}.parquet")  # a replayed batch writes the same file
+        stored.upsert(met.where("earlier IS NULL").select("fingerprint", "case_id", "transaction_id", "ts"), ["ts", "transaction_id"], number, source)
+
+    run_each(txn, "dedup", each)
+
+
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The newest row of each key over all batches: what an upsert leaves."""
+    """The newest row of each key over all batches."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("r")).select(key, "r.*")
 
 

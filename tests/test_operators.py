@@ -1,5 +1,6 @@
 """Small exact cases."""
 
+import os
 import random
 import statistics
 from datetime import datetime, timedelta
@@ -8,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, network_metrics, order_statistics, rules, scoring, traversal
+from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, ml, network_metrics, order_statistics, rules, scoring, traversal
+from ledgerspark.sources import keyed_table
 from ledgerspark.sources.tables import with_amounts
+from ledgerspark.streaming import streams
 
 TXN = "transaction_id string, account_id string, counterparty string, ts timestamp, amount double, type string, category string"
 T0 = datetime(2024, 1, 1, 9)
@@ -394,3 +397,61 @@ def test_timed_cycles_and_sizes(spark):
     hub = spark.createDataFrame([("h", True)] + [(f"n{i}", False) for i in range(6)], "node string, is_hub boolean")
     assert {x["node"]: x["mode"] for x in graph_modes(star, hub, most=4).collect()} == {"h": "HUB_AWARE"} | {f"n{i}": "SIZE_FALLBACK" for i in range(6)}
     assert {x["mode"] for x in graph_modes(star, hub, most=10).collect()} == {"HUB_AWARE", "FULL"}
+
+
+def test_embeddings_tell_links_from_others(spark):
+    """Of two groups with links inside, a tenth is left out; the embeddings of the rest rank it above pairs across."""
+    r = random.Random(8)
+    pairs = sorted({(f"g{g}-{r.randrange(40)}", f"g{g}-{r.randrange(40)}") for g in range(4) for _ in range(300)})
+    pairs = [p for p in pairs if p[0] != p[1]]
+    r.shuffle(pairs)
+    held, rest = pairs[: len(pairs) // 10], pairs[len(pairs) // 10 :]
+    others = [(f"g{g}-{r.randrange(40)}", f"g{(g + 1) % 4}-{r.randrange(40)}") for g in range(4) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    found = ml.node_embeddings(frame([*rest, ("self", "self")]), size=32).cache()
+    assert ml.link_auc(found, frame(held), frame(others)) > 0.9
+    vectors = {x["node"]: np.array(x["embedding"]) for x in found.collect()}
+    assert all(len(v) == 32 and (np.linalg.norm(v) == pytest.approx(1) or n == "self") for n, v in vectors.items()) and not vectors["self"].any()
+
+
+def files(table):
+    return {b: sorted(os.listdir(p.removeprefix("file://"))) for b, p in table.manifest()["folders"].items()}
+
+
+def test_keyed_table_changes_only_touched_buckets(spark, tmp_path):
+    table = keyed_table.KeyedTable(spark, f"file://{tmp_path}/t", "k long, v string, at long", "k", buckets=8)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string, at long")
+    assert table.read().count() == 0
+    assert table.upsert(frame([(k, "old", 1) for k in range(50)]), ["at"], 0)
+    before, names = table.manifest(), files(table)
+    assert table.upsert(frame([(7, "new", 5), (7, "newer", 6), (3, "late", 0)]), ["at"], 1)
+    after = table.manifest()
+    touched = {str(b) for b in table.touched(frame([(7, "", 0), (3, "", 0)]))}
+    assert {b for b in after["folders"] if after["folders"][b] != before["folders"].get(b)} == touched
+    assert all(files(table)[b] == names[b] for b in names if b not in touched)
+    rows = {x["k"]: x["v"] for x in table.read().collect()}
+    assert len(rows) == 50 and rows[7] == "newer" and rows[3] == rows[0] == "old"
+    assert not table.upsert(frame([(7, "again", 99)]), ["at"], 1) and table.manifest() == after  # a replayed batch
+    assert table.upsert(frame([]), ["at"], 2) and table.read().count() == 50
+    table.replace(frame([(7, "", 0), (8, "", 0)]), frame([(8, "one", 1), (8, "two", 2), (9, "not asked", 3)]))
+    rows = sorted((x["k"], x["v"]) for x in table.read().collect())
+    assert len(rows) == 50 and (8, "one") in rows and (8, "two") in rows and (9, "old") in rows and 7 not in dict(rows)
+    manifest = table.manifest()
+    table.upsert(frame([(1, "x", 9)]), ["at"])
+    with pytest.raises(keyed_table.Conflict):  # two writers of one version
+        table._swap({**manifest, "version": manifest["version"] + 1})
+
+
+def test_duplicates_of_an_earlier_run_are_logged(spark, tmp_path):
+    schema = "fingerprint string, transaction_id string, ts timestamp"
+    stored = keyed_table.KeyedTable(spark, f"file://{tmp_path}/f", streams.FINGERPRINTS, "fingerprint", buckets=4)
+
+    def run(name, rows):
+        spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/{name}")
+        streams.drop_stored(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/{name}"), stored, f"file://{tmp_path}/log", name)
+
+    run("a", [("f1", "t1", T0), ("f1", "t2", T0 + timedelta(1)), ("f2", "t3", T0)])
+    run("b", [("f1", "t9", T0), ("f3", "t4", T0), ("f2", "t8", T0), ("f2", "t7", T0)])
+    log = spark.read.schema("fingerprint string, case_id string, nth long").option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/log")
+    assert sorted((x["fingerprint"], x["case_id"]) for x in log.collect()) == [("f1", "CASE-t1"), ("f1", "CASE-t1"), ("f2", "CASE-t3"), ("f2", "CASE-t3")]
+    assert {x["fingerprint"]: x["case_id"] for x in stored.read().collect()} == {"f1": "CASE-t1", "f2": "CASE-t3", "f3": "CASE-t4"}
