@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, rules, scoring
 from ..sources import tables as t
-from ..sources.durable import written
+from ..sources.durable import shared_folder, written
+from ..sources.keyed_table import KeyedTable
 from . import oracle_views as v
 from .aggregate_queries import EVIDENCE, evidence_items
-from .feature_queries import flagged, typed_sql, with_typologies
+from .feature_queries import TYPOLOGY_SQL, flagged, typed_sql, with_typologies
 
 QUERIES, ORACLE = {}, {}
 
@@ -107,14 +110,26 @@ def confidence(spark, sf_dir):
     return scored(spark, sf_dir).select("transaction_id", F.round(scoring.confidence(signals, F.lit(0.8), F.lit(1.0)), 6).alias("confidence"))
 
 
-_PARTS = {"model": 0.35, "anomaly": 0.20, "behaviour": 0.15}
+_PARTS = {"model": "0.35 * model", "anomaly": "0.20 * anomaly", "behaviour": "0.15 * behaviour", "velocity": "0.10 * least(txns_last_day / 10.0, 1.0)"}
+#: A rule's part of the weighted score.
+_RULE_PARTS = {f: f"0.15 * {f} * {rules.RULES[f][0]} / 20.0" for f in v.FLAGS}
+
+
+def _largest_sql(parts: dict[str, str], n: int) -> str:
+    listed = ", ".join(f"{{'i': CAST(-round({e}, 9) AS DOUBLE), 'name': '{k}'}}" for k, e in parts.items())
+    return f"list_filter(list_sort([{listed}]), lambda x: struct_extract(x, 'i') < 0)[1:{n}]"
 
 
-@query(scored_sql("SELECT transaction_id, array_to_string(list_transform(list_sort([(-0.35 * model, 'model'), (-0.20 * anomaly, 'anomaly'), (-0.15 * behaviour, 'behaviour')]), lambda x: x[2])[1:2], ',') AS factors FROM g"))
+@query(scored_sql(f", tf AS (SELECT transaction_id, {_largest_sql(_PARTS, 5)} AS e, {_largest_sql(_RULE_PARTS, 5)} AS r FROM g) SELECT transaction_id, array_to_string(list_transform(list_sort(e || r)[1:8], lambda x: struct_extract(x, 'name')), ',') AS factors FROM tf"))
 def top_risk_factors(spark, sf_dir):
-    """The two largest weighted parts, ties by name."""
-    parts = F.array(*[F.struct((-w * F.col(k)).alias("i"), F.lit(k).alias("name")) for k, w in _PARTS.items()])
-    return scored(spark, sf_dir).select("transaction_id", F.array_join(F.slice(F.transform(F.array_sort(parts), lambda p: p["name"]), 1, 2), ",").alias("factors"))
+    """Of the five largest parts of the score and the five largest of its rules, the eight largest; ties by name."""
+
+    def largest(parts: dict[str, str]) -> Column:
+        listed = F.array(*[F.struct((-F.round(F.expr(e), 9)).cast("double").alias("i"), F.lit(k).alias("name")) for k, e in parts.items()])
+        return F.slice(F.filter(F.array_sort(listed), lambda x: x["i"] < 0), 1, 5)
+
+    factors = F.slice(F.array_sort(F.concat(largest(_PARTS), largest(_RULE_PARTS))), 1, 8)
+    return scored(spark, sf_dir).select("transaction_id", F.array_join(F.transform(factors, lambda x: x["name"]), ",").alias("factors"))
 
 
 _ROUTE = "CASE WHEN (round(triage, 4) < 0.60 AND risk < 60) OR risk < 30 THEN 'AUTO_CLOSED' ELSE 'FULL_INVESTIGATION' END"
@@ -166,13 +181,32 @@ def evidence_augment(spark, sf_dir):
     return s.withColumn("missing", 3 - F.col("sources"))
 
 
-#: Which sources a typology asks for first.
-PRIORITY = {"STRUCTURING": ["CASH_LOG", "VELOCITY"], "MULE_PASSTHROUGH": ["GRAPH", "DEVICE"], "LAYERING": ["GRAPH", "VELOCITY"]}
-BASE_SOURCES = ["HISTORY", "PROFILE", "BENEFICIARY", "ALERTS"]
-
-
-@query(typed_sql(", p AS (SELECT transaction_id, list_concat(list_concat(list_concat(CASE WHEN structuring_window_flag = 1 OR structuring_flag = 1 THEN ['CASH_LOG', 'VELOCITY'] ELSE [] END, CASE WHEN mule_passthrough_flag = 1 OR rapid_movement_flag = 1 THEN ['GRAPH', 'DEVICE'] ELSE [] END), CASE WHEN txns_last_7d >= 10 AND amount_ratio > 3 OR fan_out_flag = 1 AND txns_last_7d >= 10 OR cycle_flag = 1 AND txns_last_7d >= 5 THEN CASE WHEN mule_passthrough_flag = 1 OR rapid_movement_flag = 1 THEN CASE WHEN structuring_window_flag = 1 OR structuring_flag = 1 THEN [] ELSE ['VELOCITY'] END ELSE CASE WHEN structuring_window_flag = 1 OR structuring_flag = 1 THEN ['GRAPH'] ELSE ['GRAPH', 'VELOCITY'] END END ELSE [] END), ['HISTORY', 'PROFILE', 'BENEFICIARY', 'ALERTS']) AS s FROM flagged2) SELECT transaction_id, array_to_string(s, ',') AS sources FROM p"))
+#: Which sources a typology asks for first, and which every case needs.
+PRIORITY = {
+    "STRUCTURING": ["transaction_history", "kyc", "previous_alerts", "amount_baseline"],
+    "SMURFING_FAN_IN": ["transaction_history", "graph", "previous_alerts"],
+    "SMURFING_CONSOLIDATION": ["graph", "transaction_history", "previous_alerts"],
+    "MULE_PASSTHROUGH": ["graph", "velocity_features", "device_history"],
+    "LAYERING": ["graph", "velocity_features", "previous_alerts", "transaction_history"],
+    "ROUND_TRIPPING": ["graph", "transaction_history"],
+    "SHELL_COMPANY_INVOICING": ["kyc", "transaction_history", "beneficiary_history"],
+    "TRADE_BASED_ML": ["kyc", "transaction_history", "beneficiary_history"],
+    "CRYPTO_OFFRAMP": ["beneficiary_history", "external_intel", "graph"],
+    "ACCOUNT_TAKEOVER": ["device_history", "login_history", "previous_alerts", "kyc"],
+    "RAPID_MOVEMENT": ["velocity_features", "transaction_history", "graph"],
+    "HIGH_VELOCITY_TRANSFER": ["velocity_features", "transaction_history"],
+    "UNUSUAL_TRANSACTION": ["transaction_history", "amount_baseline"],
+    "NEW_BENEFICIARY_RISK": ["beneficiary_history", "transaction_history"],
+    "POSSIBLE_LAYERING": ["graph", "velocity_features", "transaction_history"],
+}
+BASE_SOURCES = ["kyc", "transaction_history", "previous_alerts", "similar_cases"]
+
+_WANTED = " || ".join([f"CASE WHEN {when} THEN {PRIORITY[k]!r} ELSE [] END" for k, (when, _) in TYPOLOGY_SQL.items()] + [repr(BASE_SOURCES)])
+
+
+@query(typed_sql(f", p AS (SELECT transaction_id, {_WANTED} AS s FROM flagged2) SELECT transaction_id, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS sources FROM p"))
 def evidence_priority(spark, sf_dir):
+    """The sources that a case's typologies ask for, in order, each once."""
     lists = F.create_map(*[x for k, s in PRIORITY.items() for x in (F.lit(k), F.array(*map(F.lit, s)))])
     wanted = F.transform("typologies.name", lambda n: F.coalesce(lists[n], F.array().cast("array<string>")))
     sources = F.array_distinct(F.concat(F.flatten(wanted), F.array(*map(F.lit, BASE_SOURCES))))
@@ -208,11 +242,12 @@ def tag_overlap(spark, sf_dir):
     return joins.tag_overlap(cases, provisions(spark)).select("case_id", "id", F.array_join("matched", ",").alias("matched"), "score")
 
 
-@query(scored_sql(f"{_MATCH}, rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) AS place FROM mt) SELECT case_id, id, place, title[1:240] AS excerpt FROM rk WHERE place <= 5"))
+@query(scored_sql(f"{_MATCH}, rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) AS place FROM mt) SELECT case_id, id, place, title[1:240] AS excerpt, array_to_string(matched, ',') AS matched, CASE WHEN score > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM rk WHERE place <= 5"))
 def regulatory_match(spark, sf_dir):
     cases = tagged(spark, sf_dir).select(F.col("transaction_id").alias("case_id"), "tags")
     found = joins.tag_overlap(cases, provisions(spark), most=5)
-    return found.select("case_id", "id", "place", F.left("title", F.lit(240)).alias("excerpt"))
+    status = F.when(F.col("score") > 0, "COMPLETE").otherwise("PARTIAL")
+    return found.select("case_id", "id", "place", F.left("title", F.lit(240)).alias("excerpt"), F.array_join("matched", ",").alias("matched"), status.alias("status"))
 
 
 _ACTION = "CASE WHEN new_beneficiary = 1 AND risk >= 60 THEN 'FURTHER_INVESTIGATION' WHEN (structuring_window_flag = 1 OR structuring_flag = 1) AND risk >= 35 THEN 'STR_REVIEW' WHEN risk >= 80 THEN 'ESCALATE' WHEN risk >= 60 THEN 'FURTHER_INVESTIGATION' WHEN risk >= 35 THEN 'COMPLIANCE_REVIEW' ELSE 'MONITOR' END"
@@ -229,30 +264,76 @@ def recommend(spark, sf_dir):
 
 @query()
 def report_rows(spark, sf_dir):
-    """One JSON report per case of at least medium risk, with a narrative from a template."""
-    stored = written(tagged(spark, sf_dir).select("transaction_id", "account_id", "counterparty", "risk", "tags"), "cases")
-    df = stored.where("risk >= 30")
-    text = F.format_string("Transaction %s of account %s scored %.1f.", "transaction_id", "account_id", "risk")
-    return df.select("transaction_id", F.to_json(F.struct("account_id", "counterparty", "risk", "tags", text.alias("narrative"))).alias("report"))
-
-
-@query("SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'COMPLETED' WHEN 'system' THEN 'REQUESTED_MORE_EVIDENCE' ELSE 'ESCALATED' END AS status, CASE WHEN length(text) % 2 = 0 THEN 'MONITOR' ELSE 'ESCALATE' END AS recommendation FROM conversations")
+    """One JSON report of eleven sections per case of at least medium risk, with a narrative from a template; from stored columns only."""
+    complete = F.col("new_beneficiary") == 0
+    action = scoring.recommend(F.col("risk"), F.col("typologies.name"), complete)
+    kinds = {k: F.expr(_WHEN[k]) for k in _KINDS}
+    supporting = F.array_compact(F.array(*[F.when(c, k) for k, c in kinds.items()]))
+    contradicting = F.array_compact(F.array(*[F.when(~c, k) for k, c in kinds.items()]))
+    rules_hit = F.array_compact(F.array(*[F.when(F.col(f) == 1, F.lit(f)) for f in v.FLAGS]))
+    stored = tagged(spark, sf_dir).select(
+        "transaction_id", "account_id", "counterparty", "abs_amount", "us", "risk", scoring.level(F.col("risk")).alias("level"), F.col("typologies.name").alias("types"), "model", "anomaly", "rule_points", "tags",
+        "cycle_flag", "triage", action.alias("action"), complete.alias("complete"), supporting.alias("supporting"), contradicting.alias("contradicting"), rules_hit.alias("rules_hit"),
+    )
+    df = written(stored, "cases").where("risk >= 30")
+    narrative = F.format_string("Transaction %s of account %s scored %.1f (%s). %d findings support the risk and %d do not. Next: %s.", "transaction_id", "account_id", "risk", "level", F.size("supporting"), F.size("contradicting"), "action")
+    section = {
+        "overview": F.struct("transaction_id", "risk", "level", F.col("types").alias("possible_typologies")),
+        "transaction": F.struct("account_id", "counterparty", F.col("abs_amount").alias("amount"), "us"),
+        "detection": F.struct(F.col("rule_points").alias("rules_score"), F.col("anomaly").alias("anomaly_score"), F.col("model").alias("fraud_probability")),
+        "typologies": F.struct(F.col("types").alias("typologies"), F.col("rules_hit").alias("top_reasons")),
+        "evidence": F.struct((F.size("supporting") + F.size("contradicting")).alias("total"), F.size("supporting").alias("supporting"), F.size("contradicting").alias("contradicting")),
+        "evidence_items": F.struct(F.col("supporting").alias("strongest"), F.col("contradicting").alias("weakest")),
+        "graph": F.struct(F.when(F.col("complete"), "COMPLETE").otherwise("PARTIAL").alias("status"), (F.col("cycle_flag") == 1).alias("cycle")),
+        "regulatory": F.struct(F.col("tags").alias("potential_relevance"), (F.size("tags") > 0).alias("human_review_required")),
+        "triage": F.struct(F.col("triage").alias("score"), scoring.triage_decision(F.col("triage")).alias("decision")),
+        "recommendation": F.struct("action", ((F.col("risk") >= 60) | ~F.col("complete") | F.col("action").isin("ESCALATE", "STR_REVIEW", "FURTHER_INVESTIGATION")).alias("human")),
+        "narrative": F.struct(narrative.alias("text"), F.lit("template").alias("source")),
+    }
+    return df.select("transaction_id", F.to_json(F.struct(*[c.alias(k) for k, c in section.items()])).alias("report"))
+
+
+_DECIDED = "CASE role WHEN 'assistant' THEN 'ACCEPT' WHEN 'system' THEN 'REQUEST_MORE_EVIDENCE' WHEN 'user' THEN 'ESCALATE' END"
+
+
+def decisions(spark, sf_dir) -> DataFrame:
+    """Messages as decisions on the case of their conversation's number."""
+    decided = F.when(F.col("role") == "assistant", "ACCEPT").when(F.col("role") == "system", "REQUEST_MORE_EVIDENCE").when(F.col("role") == "user", "ESCALATE")
+    return t.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("transaction_id"), "turn", decided.alias("decision"))
+
+
+@query(scored_sql(f"SELECT transaction_id, turn, {_DECIDED} AS decision, CASE {_DECIDED} WHEN 'ACCEPT' THEN 'COMPLETED' WHEN 'REQUEST_MORE_EVIDENCE' THEN 'REQUESTED_MORE_EVIDENCE' ELSE 'ESCALATED' END AS status, {_ACTION} AS recommendation FROM g JOIN conversations ON transaction_id = CAST(conv_id AS VARCHAR) WHERE {_DECIDED} IS NOT NULL"))
 def human_decision(spark, sf_dir):
-    status = F.when(F.col("role") == "assistant", "COMPLETED").when(F.col("role") == "system", "REQUESTED_MORE_EVIDENCE").otherwise("ESCALATED")
-    return t.table(spark, sf_dir, "conversations").select("conv_id", "turn", status.alias("status"), F.when(F.length("text") % 2 == 0, "MONITOR").otherwise("ESCALATE").alias("recommendation"))
+    """Decisions of the allowed set on known cases, the status that follows, and the recommendation that stood."""
+    cases = scored(spark, sf_dir).select("transaction_id", scoring.recommend(F.col("risk"), F.col("typologies.name"), F.col("new_beneficiary") == 0).alias("recommendation"))
+    status = F.when(F.col("decision").isin("ACCEPT", "OVERRIDE"), "COMPLETED").when(F.col("decision") == "REQUEST_MORE_EVIDENCE", "REQUESTED_MORE_EVIDENCE").otherwise("ESCALATED")
+    allowed = decisions(spark, sf_dir).where(F.col("decision").isin("ACCEPT", "OVERRIDE", "REQUEST_MORE_EVIDENCE", "ESCALATE"))
+    return allowed.join(cases, "transaction_id").select("transaction_id", "turn", "decision", status.alias("status"), "recommendation")
 
 
-@query(scored_sql("SELECT transaction_id, model, anomaly, rule_points, CASE WHEN is_suspicious = 1 THEN 'CONFIRMED' ELSE 'DISMISSED' END AS outcome FROM g"))
+@query(scored_sql(f", dc AS (SELECT CAST(conv_id AS VARCHAR) AS transaction_id, arg_max({_DECIDED}, turn) AS decision FROM conversations WHERE {_DECIDED} IS NOT NULL GROUP BY 1) SELECT transaction_id, model, anomaly, rule_points, round(risk, 7) AS risk, cycle_flag AS in_cycle, {_ACTION} AS recommendation, decision, CASE WHEN is_suspicious = 1 THEN 'CONFIRMED' ELSE 'DISMISSED' END AS outcome FROM g LEFT JOIN dc USING (transaction_id)"))
 def feedback_dataset(spark, sf_dir):
-    return scored(spark, sf_dir).select("transaction_id", "model", "anomaly", "rule_points", F.when(F.col("is_suspicious") == 1, "CONFIRMED").otherwise("DISMISSED").alias("outcome"))
+    """A learning row per case: scores, rules, network, recommendation, the last decision if there is one, and the outcome."""
+    last = decisions(spark, sf_dir).where("decision IS NOT NULL").groupBy("transaction_id").agg(F.max_by("decision", "turn").alias("decision"))
+    action = scoring.recommend(F.col("risk"), F.col("typologies.name"), F.col("new_beneficiary") == 0)
+    outcome = F.when(F.col("is_suspicious") == 1, "CONFIRMED").otherwise("DISMISSED")
+    rows = scored(spark, sf_dir).select("transaction_id", "model", "anomaly", "rule_points", _R("risk", 7), F.col("cycle_flag").alias("in_cycle"), action.alias("recommendation"), outcome.alias("outcome"))
+    return rows.join(last, "transaction_id", "left")
 
 
-@query(scored_sql("SELECT transaction_id, round(least(abs_amount / 200.0, 1.0) * 100, 6) AS rescored FROM g"))
+@query(scored_sql("SELECT transaction_id, round(risk, 7) AS risk, CASE WHEN risk < 30 THEN 'LOW' WHEN risk < 60 THEN 'MEDIUM' WHEN risk < 80 THEN 'HIGH' ELSE 'CRITICAL' END AS level, 2 AS version FROM g"))
 def rescore_cases(spark, sf_dir):
-    """Scores from stored payloads."""
-    stored = scored(spark, sf_dir).select("transaction_id", F.to_json(F.struct("abs_amount")).alias("payload"))
-    amount = F.from_json("payload", "abs_amount double")["abs_amount"]
-    return stored.select("transaction_id", F.round(F.least(amount / 200.0, F.lit(1.0)) * 100, 6).alias("rescored"))
+    """Detection again from stored payloads: the parts come out of JSON, the risk is made of them, and the case's state is upserted."""
+    parts = ["abs_amount", "burst_score", "behaviour", "rule_points", "txns_last_day"]
+    stored = written(scored(spark, sf_dir).select("transaction_id", F.to_json(F.struct(*parts)).alias("payload")), "payloads")
+    state = KeyedTable(spark, f"{shared_folder(spark)}/tables/cases-{uuid.uuid4().hex}", "transaction_id string, risk double, level string, version int", "transaction_id", buckets=8)
+    state.upsert(stored.select("transaction_id", F.lit(None).cast("double").alias("risk"), F.lit("UNKNOWN").alias("level"), F.lit(1).alias("version")), ["version"], 1)
+    p = F.from_json("payload", "abs_amount double, burst_score double, behaviour double, rule_points long, txns_last_day long")
+    model, anomaly = F.least(p["abs_amount"] / 200.0, F.lit(1.0)), F.when(p["burst_score"] >= 1, 1.0).otherwise(0.0)
+    weighted = scoring.weighted_fusion(model, anomaly, p["behaviour"], p["rule_points"], F.least(p["txns_last_day"] / 10.0, F.lit(1.0)), F.lit(0.0))
+    risk = scoring.final_risk(weighted, F.lit(None).cast("double"))
+    state.upsert(stored.select("transaction_id", F.round(risk, 7).alias("risk"), scoring.level(risk).alias("level"), F.lit(2).alias("version")), ["version"], 2)
+    return state.read()
 
 
 @query()

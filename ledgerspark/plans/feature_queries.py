@@ -142,7 +142,7 @@ _CYCLE = """, back AS (SELECT DISTINCT a.account_id FROM txn a JOIN txn b ON a.a
 flagged2 AS (SELECT f.*, CAST(back.account_id IS NOT NULL AS INTEGER) AS cycle_flag FROM flagged f LEFT JOIN back USING (account_id))"""
 _VELOCITY = "(high_velocity_7d_flag = 1 OR high_velocity_flag = 1)"
 _NEW = "(new_beneficiary_risk = 1 OR new_beneficiary = 1)"
-_TYPES = {
+TYPOLOGY_SQL = {
     "STRUCTURING": ("(structuring_window_flag = 1 OR structuring_flag = 1)", ["(structuring_window_flag = 1 OR structuring_flag = 1)", "structuring_flag = 1", "burst_flag = 1", f"({_VELOCITY} OR txns_last_7d >= 3)"]),
     "SMURFING_FAN_IN": ("fan_in_flag = 1", ["fan_in_7d >= 5", "gather_scatter_flag = 1", _VELOCITY, _NEW]),
     "SMURFING_CONSOLIDATION": ("(fan_in_flag = 1 AND high_value_flag = 1 OR gather_scatter_flag = 1)", ["fan_in_flag = 1", "high_value_flag = 1", "gather_scatter_flag = 1", "fan_out_flag = 1"]),
@@ -156,7 +156,7 @@ _TYPES = {
 
 
 def _typed(name: str) -> str:
-    when, signals = _TYPES[name]
+    when, signals = TYPOLOGY_SQL[name]
     n = " + ".join(f"CAST({s} AS INTEGER)" for s in signals)
     return f"CASE WHEN {when} THEN '{name}:' || CASE WHEN {n} >= 2 THEN 'high' WHEN {n} = 1 THEN 'medium' ELSE 'low' END END"
 
@@ -167,7 +167,7 @@ def typed_sql(select: str) -> str:
 
 
 QUERIES["typologies"] = typologies
-ORACLE["typologies"] = typed_sql("SELECT transaction_id, concat_ws(',', " + ", ".join(map(_typed, _TYPES)) + ") AS typologies FROM flagged2")
+ORACLE["typologies"] = typed_sql("SELECT transaction_id, concat_ws(',', " + ", ".join(map(_typed, TYPOLOGY_SQL)) + ") AS typologies FROM flagged2")
 
 
 def typology_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ def typology_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["typology_counts"] = typology_counts
-ORACLE["typology_counts"] = typed_sql(" UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS typology, count(*) AS n FROM flagged2 WHERE {w}) WHERE n > 0" for k, (w, _) in _TYPES.items()))
+ORACLE["typology_counts"] = typed_sql(" UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS typology, count(*) AS n FROM flagged2 WHERE {w}) WHERE n > 0" for k, (w, _) in TYPOLOGY_SQL.items()))
 
 
 def rule_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
