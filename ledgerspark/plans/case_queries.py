@@ -311,14 +311,14 @@ def human_decision(spark, sf_dir):
     return allowed.join(cases, "transaction_id").select("transaction_id", "turn", "decision", status.alias("status"), "recommendation")
 
 
-@query(scored_sql(f", dc AS (SELECT CAST(conv_id AS VARCHAR) AS transaction_id, arg_max({_DECIDED}, turn) AS decision FROM conversations WHERE {_DECIDED} IS NOT NULL GROUP BY 1) SELECT transaction_id, model, anomaly, rule_points, round(risk, 7) AS risk, cycle_flag AS in_cycle, {_ACTION} AS recommendation, decision, CASE WHEN is_suspicious = 1 THEN 'CONFIRMED' ELSE 'DISMISSED' END AS outcome FROM g LEFT JOIN dc USING (transaction_id)"))
+@query(scored_sql(f", dc AS (SELECT CAST(conv_id AS VARCHAR) AS transaction_id, arg_max({_DECIDED}, turn) AS decision FROM conversations WHERE {_DECIDED} IS NOT NULL GROUP BY 1) SELECT transaction_id, model, anomaly, rule_points, round(risk, 7) AS risk, cycle_flag AS in_cycle, {_ACTION} AS recommendation, coalesce(decision, 'NONE') AS decision, CASE WHEN is_suspicious = 1 THEN 'CONFIRMED' ELSE 'DISMISSED' END AS outcome FROM g LEFT JOIN dc USING (transaction_id)"))
 def feedback_dataset(spark, sf_dir):
-    """A learning row per case: scores, rules, network, recommendation, the last decision if there is one, and the outcome."""
+    """A learning row per case: scores, rules, network, recommendation, the last decision (NONE without), and the outcome."""
     last = decisions(spark, sf_dir).where("decision IS NOT NULL").groupBy("transaction_id").agg(F.max_by("decision", "turn").alias("decision"))
     action = scoring.recommend(F.col("risk"), F.col("typologies.name"), F.col("new_beneficiary") == 0)
     outcome = F.when(F.col("is_suspicious") == 1, "CONFIRMED").otherwise("DISMISSED")
     rows = scored(spark, sf_dir).select("transaction_id", "model", "anomaly", "rule_points", _R("risk", 7), F.col("cycle_flag").alias("in_cycle"), action.alias("recommendation"), outcome.alias("outcome"))
-    return rows.join(last, "transaction_id", "left")
+    return rows.join(last, "transaction_id", "left").fillna("NONE", ["decision"])
 
 
 @query(scored_sql("SELECT transaction_id, round(risk, 7) AS risk, CASE WHEN risk < 30 THEN 'LOW' WHEN risk < 60 THEN 'MEDIUM' WHEN risk < 80 THEN 'HIGH' ELSE 'CRITICAL' END AS level, 2 AS version FROM g"))
