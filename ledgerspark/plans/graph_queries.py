@@ -11,7 +11,6 @@ from ..functions.scalars import band, mask_id
 from ..operators import flows, graph, joins, network_metrics, traversal
 from ..sources import tables as t
 from ..sources.durable import written
-from . import oracle_views as v
 from .aggregate_queries import DEGREES, EDGES
 from .ingest_queries import IDENTITY, SHARED
 
@@ -64,9 +63,14 @@ def pagerank(spark, sf_dir):
     return rank.select("node", F.round("rank", 8).alias("rank"))
 
 
-@query()
+#: Hubs and authorities by so many rounds; in a round authorities follow from hubs, then hubs from authorities.
+_HITS = f"WITH RECURSIVE {EDGES}, nodes AS (SELECT src AS node FROM pairs UNION SELECT dst FROM pairs), r AS (SELECT 0 AS i, node, CAST(1.0 AS DOUBLE) AS hub, CAST(0.0 AS DOUBLE) AS auth FROM nodes UNION ALL SELECT i, node, hub / sum(hub) OVER (), auth FROM (SELECT max(a.i) OVER () AS i, nodes.node, coalesce(h.hub, 0) AS hub, coalesce(a.auth, 0) AS auth FROM nodes LEFT JOIN (SELECT i, node, auth / sum(auth) OVER () AS auth FROM (SELECT max(r.i) + 1 AS i, pairs.dst AS node, sum(r.hub) AS auth FROM r JOIN pairs ON pairs.src = r.node WHERE r.i < 60 GROUP BY pairs.dst)) a USING (node) LEFT JOIN (SELECT q.src AS node, sum(x.auth) AS hub FROM (SELECT pairs.dst AS node, sum(r.hub) AS auth FROM r JOIN pairs ON pairs.src = r.node WHERE r.i < 60 GROUP BY pairs.dst) x JOIN pairs q ON q.dst = x.node GROUP BY q.src) h USING (node)) WHERE i IS NOT NULL)"
+
+
+@query(_HITS + " SELECT node, round(hub, 6) AS hub, round(auth, 6) AS auth FROM r WHERE i = 60")
 def hits(spark, sf_dir):
-    return network_metrics.hits(pairs(spark, sf_dir))[0]
+    found, _ = network_metrics.hits(pairs(spark, sf_dir))
+    return found.select("node", F.round("hub", 6).alias("hub"), F.round("auth", 6).alias("auth"))
 
 
 @query()
