@@ -257,6 +257,33 @@ def test_holders_of_the_same_minima_dont_hide_a_passage(docs):
     assert [(x["other_id"], x["start_word"], x["end_word"]) for x in found] == [(20, 70, 130)]
 
 
+def test_holders_of_parts_dont_hide_a_passage(docs):
+    """In each of 300 groups two small documents hold 45 words each of a passage of 50 to 70 words, or most of it; two later ones hold all of
+    it. Every 50-word run that a smaller document holds is found."""
+    r = random.Random(23)
+    rows, want, held = [], set(), {}
+    for trial in range(300):
+        passage = prose(r, r.choice([60, r.randint(50, 70)]))
+        cut = 45 if trial % 3 else r.randint(45, 56)
+        parts = [passage[:cut], passage[15:] if trial % 2 else passage[-45:], passage, passage]
+        rows += [(10 * trial + i, " ".join(prose(r, r.randint(0, 40)) + part + prose(r, r.randint(0, 40)))) for i, part in enumerate(parts)]
+    for i, t in rows:
+        words = t.split()
+        for at in range(len(words) - 49):
+            if held.setdefault(tuple(words[at : at + 50]), i) < i:
+                want |= {(i, x) for x in range(at, at + 50)}
+    got = {(x["doc_id"], w) for x in compact_windows.repeated_passages(docs(rows)).collect() for w in range(x["start_word"], x["end_word"])}
+    assert len({i for i, _ in want if i % 10 == 3}) == 300 and want <= got
+
+
+def test_hashes_of_spans():
+    r = np.random.default_rng(2)
+    x = r.integers(1, 1 << 62, 400).astype(np.uint64)
+    x[300:340] = x[100:140]
+    a, b, c = (compact_windows.span_hashes(x, np.array([s]), np.array([s + n]))[0] for s, n in ((100, 40), (300, 40), (300, 41)))
+    assert a == b != c
+
+
 def test_edited_passages_are_found(docs):
     """Passages of 50 to 150 words with one edited word in every 50 at any place: all are found in full."""
     r = random.Random(22)
