@@ -286,8 +286,7 @@ def _rest(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     apart &= F.least("left_a", "left_b") >= needed("n_a", "n_b", percent)  # holds for the first shingle that a pair shares
     groups = side("a", "small").join(side("b", "large"), keys).where(apart).select("grp_a", "n_a", "grp_b", "n_b").distinct()
     groups = staged(groups, "pairs")
-    some = groups.select(F.col("grp_a").alias("grp")).union(groups.select("grp_b")).distinct()
-    held = rows.groupBy("grp").agg(F.collect_list("token").alias("tokens")).join(some, "grp", "left_semi")  # at most one document's prefix
+    held = rows.groupBy("grp").agg(F.collect_list("token").alias("tokens"))  # at most one document's prefix
     of = lambda c: held.select(F.col("grp").alias(f"grp_{c}"), F.col("tokens").alias(f"tokens_{c}"))
     both = groups.join(of("a"), "grp_a").join(of("b"), "grp_b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= needed("n_a", "n_b", percent))
     node = lambda c: label.select(F.col("grp").alias(f"grp_{c}"), F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
