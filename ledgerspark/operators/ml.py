@@ -61,18 +61,27 @@ def explain_rows(model: GBTClassificationModel, df: DataFrame, key: str, names:
 
 
 # Isolation forest: each tree is grown from a hashed sample of at most ``SAMPLE`` rows; trees are a small table.
-TREES, SAMPLE = 50, 256
+TREES, SAMPLE = 300, 256
+_HASHES = 1 << 30
+
+
+def _point(names: list[str]) -> Column:
+    """The features as an array; null, NaN and infinite values count as 0."""
+    return F.array(*[F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0) for c in names])
 
 
 def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = TREES, sample: int = SAMPLE) -> list[np.ndarray]:
     """Trees as arrays of (feature, threshold, left, right, size); bounded by trees x sample, so they may be broadcast."""
-    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
-    numbered = rows.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.col(key).alias("k"))
-    total = df.count()
-    share = min(1.0, 4 * sample / max(total, 1))  # a hash cut first, then the smallest hashes
-    order = F.pmod(F.xxhash64("k", "tree"), F.lit(1 << 30))
+    rows = df.select(F.col(key).alias("k"), _point(names).alias("x"))
+    share = min(1.0, 4 * sample / max(df.count(), 1))  # a hash cut first, then the smallest hashes
+    # One hash of a row serves as many trees as shares fit into its range: on a large table a row is given to one tree at most.
+    width = max(1, int(share * _HASHES))
+    served = _HASHES // width
+    numbered = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // served) - 1))))
+    dealt = numbered.withColumn("h", F.pmod(F.xxhash64("k", "turn"), F.lit(_HASHES))).withColumn("slot", F.floor(F.col("h") / width))
+    dealt = dealt.withColumn("tree", (F.col("turn") * served + F.col("slot")).cast("int")).where((F.col("slot") < served) & (F.col("tree") < trees))
     place = Window.partitionBy("tree").orderBy("h", "k")
-    picked = numbered.withColumn("h", order).where(F.col("h") < int(share * (1 << 30))).withColumn("i", F.row_number().over(place)).where(F.col("i") <= sample)
+    picked = dealt.withColumn("i", F.row_number().over(place)).where(F.col("i") <= sample).select("x", "tree", "k")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["x"].to_numpy())
@@ -107,7 +116,7 @@ def isolation_scores(df: DataFrame, forest: list[np.ndarray], names: list[str],
     """Adds anomaly in 0..1 by mean path length."""
     shared = df.sparkSession.sparkContext.broadcast(forest)
     usual = float(_usual_depth(np.array([float(sample)]))[0])
-    source = df.withColumn("x", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]))
+    source = df.withColumn("x", _point(names))
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:

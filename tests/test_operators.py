@@ -455,3 +455,21 @@ def test_duplicates_of_an_earlier_run_are_logged(spark, tmp_path):
     log = spark.read.schema("fingerprint string, case_id string, nth long").option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/log")
     assert sorted((x["fingerprint"], x["case_id"]) for x in log.collect()) == [("f1", "CASE-t1"), ("f1", "CASE-t1"), ("f2", "CASE-t3"), ("f2", "CASE-t3")]
     assert {x["fingerprint"]: x["case_id"] for x in stored.read().collect()} == {"f1": "CASE-t1", "f2": "CASE-t3", "f3": "CASE-t4"}
+
+
+def test_isolation_forest(spark):
+    """Far rows score highest; every tree has a whole sample where there are enough rows; null, NaN and infinite values count as 0."""
+    r = np.random.default_rng(3)
+    usual = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(size=(6000, 2)))]
+    far = [(6000 + i, 9.0 + i, -9.0 - i) for i in range(5)]
+    odd = [(7000, None, float("inf")), (7001, float("nan"), 0.0)]
+    df = spark.createDataFrame(usual + far + odd, "id long, p double, q double")
+    forest = ml.isolation_forest(df, "id", ["p", "q"], trees=40, sample=64)
+    assert len(forest) == 40 and all(tree[0, 4] == 64 for tree in forest)
+    got = {x["id"]: x["anomaly"] for x in ml.isolation_scores(df, forest, ["p", "q"], sample=64).collect()}
+    assert len(got) == len(usual + far + odd)
+    assert set(sorted(got, key=got.get)[-5:]) == {x[0] for x in far}
+    assert got[7000] == got[7001] < 0.5
+    few = df.limit(3)
+    assert all(tree[0, 4] == 3 for tree in ml.isolation_forest(few, "id", ["p", "q"], trees=7))
+    assert ml.isolation_forest(df.limit(0), "id", ["p", "q"]) == []
