@@ -45,7 +45,7 @@ def windowed(txn: DataFrame, length: str, slide: str | None = None, delay: str =
 
 
 class Velocity(StatefulProcessor):
-    """Per account: times of the last day (expiring), and a map of the counterparties seen, of which a batch reads only its own."""
+    """Per account: times of the last day (expiring), and a map of the counterparties seen and since when, of which a batch reads only its own."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.times = handle.getListState("times", StructType([StructField("us", LongType())]))
@@ -59,6 +59,7 @@ class Velocity(StatefulProcessor):
         times = sorted(x[0] for x in self.times.get()) if self.times.exists() else []
         first = equal = 0  # times[first:] are of the last day, times[equal:] are not before this row
         counts, known = [], []
+        since: dict[str, int | None] = {}  # of the batch's counterparties: each is looked up once
         for us, other in zip(pdf["us"].tolist(), pdf["counterparty"], strict=True):
             while first < len(times) and times[first] < us - day:
                 first += 1
@@ -66,9 +67,12 @@ class Velocity(StatefulProcessor):
             while equal < len(times) and times[equal] < us:
                 equal += 1
             counts.append(equal - first)
-            seen = self.seen.containsKey((other,))
-            known.append(seen)
-            if not seen:
+            if other not in since:
+                since[other] = self.seen.getValue((other,))[0] if self.seen.containsKey((other,)) else None
+            seen = since[other]
+            known.append(seen is not None and seen < us)  # rows of one moment don't know each other
+            if seen is None or us < seen:
+                since[other] = us
                 self.seen.updateValue((other,), (us,))
             insort(times, us)
         self.times.put([(t,) for t in times[first:]])

@@ -473,3 +473,28 @@ def test_isolation_forest(spark):
     few = df.limit(3)
     assert all(tree[0, 4] == 3 for tree in ml.isolation_forest(few, "id", ["p", "q"], trees=7))
     assert ml.isolation_forest(df.limit(0), "id", ["p", "q"]) == []
+
+
+def test_scores_are_added_in_one_order(spark):
+    """Rows whose band another order of adding changes: 30.0 against 29.999999999999993."""
+    rows = [(35.0, 0.17500000000000002, 19, 7), (65.0, 0.42500000000000004, 7, 7), (80.0, 0.1, 14, 4)]
+    df = spark.createDataFrame(rows, "amount double, behaviour double, points long, day long")
+    weighted = scoring.weighted_fusion(F.least(F.col("amount") / 200.0, F.lit(1.0)), F.lit(0.0), F.col("behaviour"), F.col("points"), F.least(F.col("day") / 10.0, F.lit(1.0)), F.lit(0.0))
+    risk = scoring.final_risk(weighted, F.lit(None).cast("double"))
+    got = [tuple(r) for r in df.select(risk.alias("risk"), scoring.level(risk).alias("level")).collect()]
+    want = []
+    for amount, behaviour, points, day in rows:
+        w = (0.35 * min(amount / 200.0, 1.0) + 0.20 * 0.0 + 0.15 * behaviour + 0.15 * min(points / 20.0, 1.0) + 0.10 * min(day / 10.0, 1.0) + 0.05 * 0.0) * 100
+        r = min(max(0.4 * w + 0.6 * w, 0), 100)
+        want.append((r, "LOW" if r < 30 else "MEDIUM"))
+    assert got == want
+
+
+def test_velocities_of_one_moment_don_t_know_each_other(spark, tmp_path):
+    at = [T0, T0, T0 + timedelta(hours=1), T0 + timedelta(hours=1), T0 + timedelta(hours=30)]
+    rows = [(f"t{i}", "a", c, ts) for i, (c, ts) in enumerate(zip("bbbcb", at))]
+    schema = "transaction_id string, account_id string, counterparty string, ts timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    found = streams.run_available(streams.velocity(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")), "velocity")
+    assert {tuple(r) for r in found.select("transaction_id", "count_24h", "known").collect()} == {("t0", 0, False), ("t1", 0, False), ("t2", 2, True), ("t3", 2, False), ("t4", 0, True)}
