@@ -498,3 +498,14 @@ def test_velocities_of_one_moment_don_t_know_each_other(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     found = streams.run_available(streams.velocity(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")), "velocity")
     assert {tuple(r) for r in found.select("transaction_id", "count_24h", "known").collect()} == {("t0", 0, False), ("t1", 0, False), ("t2", 2, True), ("t3", 2, False), ("t4", 0, True)}
+
+
+def test_cases_of_one_start_and_copies_of_payments(spark):
+    """Cases of one account and time have the same accounts; every payment of a case is listed once, also where both ends were left."""
+    e = edges(spark, [("a", "b", 10, 1), ("a", "b", 10, 1), ("b", "c", 10, 2), ("c", "a", 10, 3), ("c", "c", 1, 3), ("c", "d", 1, 99)])
+    seed = spark.createDataFrame([("x", "a", int(3600e6)), ("y", "a", int(3600e6)), ("z", "q", int(3600e6))], "case_id string, node string, at_us long")
+    found = traversal.bounded_traversal(e, seed, spark.createDataFrame([("b",)], "node string"))
+    assert sorted(tuple(r) for r in found.nodes.collect()) == sorted([(c, n, i) for c in "xy" for n, i in (("a", 0), ("b", 1), ("c", 1))] + [("z", "q", 0)])
+    listed = found.edges.select("case_id", "transaction_id", "hub_edge").collect()
+    assert sorted(tuple(r) for r in listed) == sorted((c, t, h) for c in "xy" for t, h in (("t0", True), ("t1", True), ("t2", True), ("t3", False)))
+    assert {r["case_id"]: r["mode"] for r in found.cases.collect()} == {"x": "HUB_AWARE", "y": "HUB_AWARE", "z": "FULL"}
