@@ -509,3 +509,18 @@ def test_cases_of_one_start_and_copies_of_payments(spark):
     listed = found.edges.select("case_id", "transaction_id", "hub_edge").collect()
     assert sorted(tuple(r) for r in listed) == sorted((c, t, h) for c in "xy" for t, h in (("t0", True), ("t1", True), ("t2", True), ("t3", False)))
     assert {r["case_id"]: r["mode"] for r in found.cases.collect()} == {"x": "HUB_AWARE", "y": "HUB_AWARE", "z": "FULL"}
+
+
+def test_layer_paths_are_listed(spark):
+    """Against loops: every combination of four accounts, with its number of paths and first payment."""
+    r = random.Random(3)
+    rows = [(f"a{r.randint(0, 5)}", f"a{r.randint(0, 5)}", 10, round(r.uniform(0, 200), 2)) for _ in range(60)]
+    want = {}
+    for a in rows:
+        for b in rows:
+            for c in rows:
+                if a[1] == b[0] and b[1] == c[0] and len({a[0], b[0], c[0], c[1]}) == 4 and a[3] < b[3] < c[3] <= a[3] + 72:
+                    n, first = want.get((a[0], b[0], c[0], c[1]), (0, 1e9))
+                    want[a[0], b[0], c[0], c[1]] = n + 1, min(first, a[3])
+    got = {(x["n0"], x["n1"], x["n2"], x["n3"]): (x["times"], round(x["first_us"] / 3600e6, 2)) for x in flows.layer_paths(edges(spark, rows)).collect()}
+    assert got == want
