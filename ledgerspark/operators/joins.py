@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import written
+
 
 def with_defaults(df: DataFrame, other: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Left join, missing values replaced."""
@@ -87,7 +89,7 @@ def neighbour_risk(edges: DataFrame, risk: DataFrame) -> DataFrame:
 def similar_cases(cases: DataFrame, vector: list[str], candidates: int = 500, k: int = 5) -> DataFrame:
     """The k cases nearest by cosine among the newest candidates (at most ``candidates``, which travel as one array)."""
     norm = F.sqrt(sum((F.col(c) * F.col(c) for c in vector), F.lit(0.0)))
-    known = cases.withColumn("norm", norm)
+    known = written(cases.withColumn("norm", norm), "cases")  # read twice, computed once
     newest = known.orderBy(F.desc("updated"), "case_id").limit(candidates)
     one = newest.agg(F.collect_list(F.struct("case_id", *vector, "norm")).alias("newest"))  # one row
 

@@ -524,3 +524,11 @@ def test_layer_paths_are_listed(spark):
                     want[a[0], b[0], c[0], c[1]] = n + 1, min(first, a[3])
     got = {(x["n0"], x["n1"], x["n2"], x["n3"]): (x["times"], round(x["first_us"] / 3600e6, 2)) for x in flows.layer_paths(edges(spark, rows)).collect()}
     assert got == want
+
+
+def test_similar_cases_are_computed_once(spark):
+    """The cases are a table before they meet their newest: what they are made of is not read twice."""
+    cases = spark.createDataFrame([("a", 1, 1.0, 0.0), ("b", 2, 1.0, 0.1), ("c", 3, 0.0, 1.0)], "case_id string, updated long, v1 double, v2 double")
+    found = joins.similar_cases(cases, ["v1", "v2"], k=1)
+    assert found.inputFiles() and all("/written/cases-" in f for f in found.inputFiles())
+    assert {(r["case_id"], r["other"]) for r in found.collect()} == {("a", "b"), ("b", "a"), ("c", "b")}
