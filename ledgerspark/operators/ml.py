@@ -48,16 +48,17 @@ def importance(model: GBTClassificationModel, names: list[str], df: DataFrame) -
 
 def explain_rows(model: GBTClassificationModel, df: DataFrame, key: str, names: list[str], k: int = 5) -> DataFrame:
     """The k features whose replacement by their mean changes a row's probability most."""
-    means = df.agg(*[F.avg(c).alias(f"{c}__mean") for c in names])  # one row
-    wide = df.select(key, *names).join(F.broadcast(means))
-    variants = [F.struct(F.lit("").alias("feature"), *[F.col(c).cast("double").alias(c) for c in names])]
-    variants += [F.struct(F.lit(f).alias("feature"), *[(F.col(f"{c}__mean") if c == f else F.col(c)).cast("double").alias(c) for c in names]) for f in names]
-    tall = wide.select(key, F.explode(F.array(*variants)).alias("v")).select(key, "v.*")
-    scored = predict(model, feature_vector(tall, names)).select(key, "feature", "probability")
-    base = scored.where("feature = ''").select(key, F.col("probability").alias("base"))
-    impact = scored.where("feature <> ''").join(base, key).select(key, "feature", (F.col("base") - F.col("probability")).alias("impact"))
-    place = Window.partitionBy(key).orderBy(F.desc(F.abs("impact")), "feature")
-    return impact.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    means = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"{c}__mean") for c in names])  # one row
+    scored = df.select(key, *[value(c).alias(c) for c in names]).join(F.broadcast(means))
+    # A row keeps all its probabilities: nothing is exploded, joined back or sorted, so a task needs memory for a batch of rows only.
+    for i, changed in enumerate([None, *names]):
+        vector = VectorAssembler(inputCols=[f"{c}__mean" if c == changed else c for c in names], outputCol="_v")
+        model_i = model.copy().setFeaturesCol("_v").setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
+        scored = model_i.transform(vector.transform(scored)).withColumn(f"_p{i}", vector_to_array("_p")[1]).drop("_v", "_p")
+    impact = [F.struct((-F.abs(F.col("_p0") - F.col(f"_p{i}"))).alias("least"), F.lit(c).alias("feature"), (F.col("_p0") - F.col(f"_p{i}")).alias("impact")) for i, c in enumerate(names, 1)]
+    largest = F.slice(F.array_sort(F.array(*impact)), 1, k)
+    return scored.select(key, F.posexplode(largest).alias("place", "r")).select(key, "r.feature", "r.impact", (F.col("place") + 1).alias("place"))
 
 
 # Isolation forest: each tree is grown from a hashed sample of at most ``SAMPLE`` rows; trees are a small table.

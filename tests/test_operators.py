@@ -532,3 +532,13 @@ def test_similar_cases_are_computed_once(spark):
     found = joins.similar_cases(cases, ["v1", "v2"], k=1)
     assert found.inputFiles() and all("/written/cases-" in f for f in found.inputFiles())
     assert {(r["case_id"], r["other"]) for r in found.collect()} == {("a", "b"), ("b", "a"), ("c", "b")}
+
+
+def test_explained_rows_are_not_sorted_or_joined_back(spark):
+    """Each row is explained where it lies: one exchange, the broadcast of the means. The first feature decides, so it comes first."""
+    df = spark.createDataFrame([(f"t{i}", float(i % 2), float(i % 3), i % 2, i % 5 == 0) for i in range(60)], "id string, x double, y double, label int, valid boolean")
+    df = ml.feature_vector(df, ["x", "y"])
+    found = ml.explain_rows(ml.train_classifier(df, "label", trees=2, depth=2), df, "id", ["x", "y"], k=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 0 and plan.count("Sort") == 0 and plan.count("Join") == 1
+    assert {(r["feature"], r["place"]) for r in found.collect()} == {("x", 1)} and found.count() == 60
