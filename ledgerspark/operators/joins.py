@@ -100,7 +100,9 @@ def similar_cases(cases: DataFrame, vector: list[str], candidates: int = 500, k:
 
     others = F.filter("newest", lambda c: c["case_id"] != F.col("case_id"))
     ranked = F.slice(F.array_sort(F.transform(others, near)), 1, k)
-    found = known.join(F.broadcast(one)).select("case_id", F.posexplode(ranked).alias("place", "c"))
+    # Ranking costs far more than reading: few small rows must not end up in one task.
+    tasks = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = known.repartition(tasks).join(F.broadcast(one)).select("case_id", F.posexplode(ranked).alias("place", "c"))
     return found.select("case_id", "c.other", (F.col("place") + 1).alias("place"), "c.cosine")
 
 
