@@ -18,9 +18,11 @@ repeated rows are packed as often as they occur; other columns, whatever their n
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,17 @@ _SPECIAL = "<|"
 #: The pre-token pattern of the vocabulary file, and the mark of tokens that end a pre-token.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _WORD_END = "</w>"
+#: Single pre-tokens at the end of a run of letters.
+_MARKS = frozenset(".,;:!?")
+
+
+def _pre_tokens(run: str) -> list[str]:
+    """The pre-tokens of a run of non-space characters; words, and words with a mark after them, need no pattern."""
+    if run.isalpha():
+        return [run]
+    if run[-1] in _MARKS and run[:-1].isalpha():
+        return [run[:-1], run[-1]]
+    return _WORDS.findall(run)
 
 
 class WordTokenizer:
@@ -78,22 +91,32 @@ class WordTokenizer:
             self.words[word] = flat[a:b]
 
     def _learn_runs(self, runs: list[str]) -> None:
-        split = list(map(_WORDS.findall, runs))
-        words = set().union(*split)
+        split = list(map(_pre_tokens, runs))
+        words = set(chain.from_iterable(split))
         new = list(words.difference(self.words))
         if len(self.words) + len(new) > CACHE_ENTRIES:
             self.words.clear()
             new = list(words)
-        for at in range(0, len(new), 50_000):
-            self._learn(new[at : at + 50_000])
+        for at in range(0, len(new), 1_000):
+            self._learn(new[at : at + 1_000])
         known = self.words.__getitem__
         for run, parts in zip(runs, split, strict=True):
-            self.runs[run] = b"".join(map(known, parts))
+            self.runs[run] = b"".join(map(known, parts)) if len(parts) > 1 else known(parts[0])
         for word in new:
             if len(word) > CACHED_LENGTH:
                 del self.words[word]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        # Many short-lived lists and no cycle among them: the cycle collector would walk all of them many times.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.lower().split() if _PLAIN.fullmatch(t) and _SPECIAL not in t else None for t in texts]
         runs = set().union(*(x for x in split if x))
         new = list(runs.difference(self.runs))

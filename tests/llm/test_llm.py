@@ -618,3 +618,13 @@ def test_pipeline_stages_odd_rows(spark):
             assert [x["n_chars"] for x in found if x["doc_id"] == 4] == [len(long)] * (frame is docs)
         pieces = c.STAGES[-1][1](spark, frame, SMALL)
         assert {x["doc_id"] for x in pieces.collect()} == ({None, 1, 2, 3, 4, 5} if frame is docs else set())
+
+
+def test_pre_tokens_are_those_of_the_pattern():
+    """Words, and words with a mark, skip the pattern and give what it gives; so do the ids of the library, whatever the order of learning."""
+    r = random.Random(31)
+    runs = ["".join(r.choice("abzéßªº²1'.,;:!?-*&¡") for _ in range(r.randint(1, 7))) for _ in range(20_000)] + ["don't", "'s", "a'", "word.", "ein,", "x²", ".", "!?"]
+    assert all(packing._pre_tokens(run) == packing._WORDS.findall(run) for run in runs)
+    tokenizer = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    text = " ".join(runs[:3000])
+    assert tokenizer.encode_all([text, ""])[0].tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
