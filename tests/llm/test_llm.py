@@ -628,3 +628,27 @@ def test_pre_tokens_are_those_of_the_pattern():
     tokenizer = packing.WordTokenizer(P.path("word_bpe_49k.json"))
     text = " ".join(runs[:3000])
     assert tokenizer.encode_all([text, ""])[0].tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_chain_of_runs_has_one_link(docs, monkeypatch):
+    """120 documents hold the same 70 words in prose of their own: a link for each window's chain, not one for each run of 50 words."""
+    r = random.Random(29)
+    passage = prose(r, 70)
+    rows = [(i, " ".join(prose(r, r.randint(1, 40)) + passage + prose(r, r.randint(1, 40)))) for i in range(120)]
+    links, chains = [], compact_windows._chains
+
+    def counted(runs):
+        made = chains(runs)
+        links.append((runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.sum(F.col("n") - 1)).first()[0], made.count()))
+        return made
+
+    monkeypatch.setattr(compact_windows, "_chains", counted)
+    found = compact_windows.repeated_passages(docs(rows)).collect()
+    covered = Counter(d for d, _ in {(x["doc_id"], w) for x in found for w in range(x["start_word"], x["end_word"])})
+    assert all(covered[i] >= 70 for i in range(1, 120))
+    assert 4 * links[0][1] <= links[0][0]
+    # Two words over and over: two runs of 50 words, at hundreds of places of each document.
+    rows = [(i, " ".join(prose(r, 20) + ["the", "of"] * (150 + i) + prose(r, 20))) for i in range(40)]
+    found = compact_windows.repeated_passages(docs(rows)).collect()
+    covered = Counter(d for d, _ in {(x["doc_id"], w) for x in found for w in range(x["start_word"], x["end_word"])})
+    assert all(covered[i] >= 2 * (150 + i) for i in range(1, 40)) and links[1][1] <= 10 * 40
