@@ -23,7 +23,8 @@ def behaviour_evidence(txn: DataFrame, asked: Column) -> DataFrame:
     moment = Window.partitionBy("account_id", "us")  # rows of one moment know what its first row knows
     df = df.join(carried, "transaction_id").withColumn("median", F.min_by("prior_median", "place").over(moment))
     mean, amount = F.col("cents_before") / F.col("n") / 100.0, F.col("abs_amount")
-    far = (amount / mean >= 2.5) | (amount / F.col("median") >= 2.5)
+    times = lambda usual: F.when(usual == 0, True).otherwise(amount / usual >= 2.5)  # noqa: E731  # where all before is 0, any amount is far above
+    far = times(mean) | times(F.col("median"))
     return df.where(asked & (F.col("n") > 0)).select("transaction_id", "n", mean.alias("mean"), "median", "top", far.alias("deviation"))
 
 
