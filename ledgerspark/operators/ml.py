@@ -94,7 +94,7 @@ def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = TRE
             nodes.append([-1.0, 0.0, -1.0, -1.0, float(len(at))])
             low, high = x[at].min(axis=0), x[at].max(axis=0)
             free = np.flatnonzero(high > low)
-            if len(at) > 1 and depth < 8 and len(free):
+            if len(at) > 1 and depth < _DEPTH and len(free):
                 f = int(random.choice(free))
                 cut = random.uniform(low[f], high[f])
                 below = x[at, f] <= cut
@@ -113,27 +113,51 @@ def _usual_depth(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
+#: Levels below a tree's root.
+_DEPTH = 8
+
+
+def _laid_out(tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """feature, threshold and path length by place in a full tree (children of i: 2i+1, 2i+2), so that a step needs no look at children;
+    below a leaf every step goes to the left, and the path length of its leftmost place is the leaf's."""
+    size = 2 ** (_DEPTH + 1) - 1
+    feature, threshold, length = np.zeros(size, np.intp), np.full(size, np.inf), np.zeros(size)
+    todo = [(0, 0, 0)]
+    while todo:
+        node, place, depth = todo.pop()
+        f, cut, left, right, n = tree[node]
+        if f >= 0:
+            feature[place], threshold[place] = int(f), cut
+            todo += [(int(left), 2 * place + 1, depth + 1), (int(right), 2 * place + 2, depth + 1)]
+        else:
+            lowest = (place + 1) * 2 ** (_DEPTH - depth) - 1
+            length[lowest] = depth + float(_usual_depth(np.array([n]))[0])
+    return feature, threshold, length
+
+
 def isolation_scores(df: DataFrame, forest: list[np.ndarray], names: list[str], sample: int = SAMPLE) -> DataFrame:
     """Adds anomaly in 0..1 by mean path length."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    shared = df.sparkSession.sparkContext.broadcast([_laid_out(tree) for tree in forest])
     usual = float(_usual_depth(np.array([float(sample)]))[0])
     source = df.withColumn("x", _point(names))
+    block = 4096  # rows whose features and places stay in a core's cache over all trees
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
-        rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(names)))
-        depth = np.zeros(len(rows))
-        for tree in shared.value:
-            at = np.zeros(len(rows), np.int64)
-            for _ in range(9):
-                f = tree[at, 0].astype(np.int64)
-                inner = f >= 0
-                if not inner.any():
-                    break
-                below = rows[np.arange(len(rows)), np.maximum(f, 0)] <= tree[at, 1]
-                depth += inner
-                at = np.where(inner, np.where(below, tree[at, 2], tree[at, 3]).astype(np.int64), at)
-            depth += _usual_depth(tree[at, 4])
+        depth = np.zeros(len(x))
+        for begin in range(0, len(x), block):
+            rows = np.stack(x.iloc[begin : begin + block].to_numpy())
+            flat, base = rows.reshape(-1), np.arange(len(rows), dtype=np.intp) * rows.shape[1]
+            total = np.zeros(len(rows))
+            for feature, threshold, length in shared.value:
+                at = np.zeros(len(rows), np.intp)
+                for _ in range(_DEPTH):
+                    above = flat.take(base + feature.take(at)) > threshold.take(at)
+                    at += at
+                    at += 1
+                    at += above
+                total += length.take(at)
+            depth[begin : begin + block] = total
         return pd.Series(2.0 ** (-depth / max(len(shared.value), 1) / usual))
 
     return source.withColumn("anomaly", score("x")).drop("x")

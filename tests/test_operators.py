@@ -542,3 +542,24 @@ def test_explained_rows_are_not_sorted_or_joined_back(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 0 and plan.count("Sort") == 0 and plan.count("Join") == 1
     assert {(r["feature"], r["place"]) for r in found.collect()} == {("x", 1)} and found.count() == 60
+
+
+def test_behaviour_evidence_after_zeros(spark):
+    """Where all earlier amounts are 0 the mean and the median are 0; SQL's quotient is infinite, so the amount is far above."""
+    day = datetime(2024, 1, 1)
+    rows = [("a", "A", day, 0.0), ("b", "A", day + timedelta(1), 0.0), ("x", "A", day + timedelta(2), 60.0)]
+    df = spark.createDataFrame(rows, "transaction_id string, account_id string, ts timestamp, amount double")
+    (got,) = metrics.behaviour_evidence(with_amounts(df), F.col("transaction_id") == "x").collect()
+    assert (got["n"], got["mean"], got["median"], got["deviation"]) == (2, 0.0, 0.0, True)
+
+
+def test_laid_out_trees_score_as_their_nodes():
+    tree = np.array([[1, 0.5, 1, 2, 7], [-1, 0, -1, -1, 3], [0, 2.0, 3, 4, 4], [-1, 0, -1, -1, 1], [-1, 0, -1, -1, 3]], float)
+    feature, threshold, length = ml._laid_out(tree)
+    for row in ([0.0, 0.5], [2.0, 0.6], [2.1, 9.0]):
+        node = depth = at = 0
+        while tree[node, 0] >= 0:
+            node, depth = int(tree[node, 2 if row[int(tree[node, 0])] <= tree[node, 1] else 3]), depth + 1
+        for _ in range(8):
+            at = 2 * at + 1 + (row[feature[at]] > threshold[at])
+        assert length[at] == depth + ml._usual_depth(tree[node, 4])
