@@ -1,6 +1,6 @@
 """A table that is changed by key: rows lie in buckets of their key, a change rewrites the buckets it touches, and a manifest says which files count.
 
-Files are never changed in place. A change writes new folders for the touched buckets, then a manifest with the next number, by a rename that
+Files are never changed in place. New keys may be appended in folders of their own; any other change writes new folders for the touched buckets, then a manifest with the next number, by a rename that
 fails if another writer was there first; readers take the newest manifest. A batch has a number, and one that was applied before is
 left out, so a stream may replay it. Buckets are numbers below ``buckets``: that is all the driver handles. Choose their number so that a bucket, not the
 table, fits a task; a bucket's rows of one key are combined before they meet (hot keys are one row each).
@@ -29,7 +29,7 @@ class KeyedTable:
         self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict:
-        """version, batches (the last number by source) and folders (by bucket) of the newest manifest."""
+        """version, batches (the last number by source) and folders (by bucket, one or a list) of the newest manifest."""
         root = self._hadoop(f"{self.path}/manifests")
         names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
         names = sorted(n for n in names if n.endswith(".json"))
@@ -39,7 +39,7 @@ class KeyedTable:
 
     def read(self, only: list[int] | None = None) -> DataFrame:
         folders = self.manifest()["folders"]
-        paths = [p for b, p in folders.items() if only is None or int(b) in only]
+        paths = [p for b, there in folders.items() if only is None or int(b) in only for p in ([there] if isinstance(there, str) else there)]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def bucket(self):
@@ -68,6 +68,26 @@ class KeyedTable:
 
         return self._change(rows.select(self.schema.names), keys, change, number, source)
 
+    def append(self, rows: DataFrame, number: int | None = None, source: str = "") -> bool:
+        """Rows of keys that the table does not hold yet, one a key, in folders beside those that are there: nothing stored is written again."""
+        now = self.manifest()
+        if number is not None and number <= now["batches"].get(source, -1):
+            return False
+        folder = f"{self.path}/data/{now['version'] + 1:08d}-{uuid.uuid4().hex}"
+        rows.select(self.schema.names).withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        for name in (s.getPath().getName() for s in self._fs.listStatus(self._hadoop(folder))):
+            if name.startswith("_bucket="):
+                there = now["folders"].get(name[len("_bucket="):], [])
+                now["folders"][name[len("_bucket="):]] = [*([there] if isinstance(there, str) else there), f"{folder}/{name}"]
+        return self._counted(now, number, source)
+
+    def _counted(self, now: dict, number: int | None, source: str) -> bool:
+        if number is not None:
+            now["batches"][source] = number
+        now["version"] += 1
+        self._swap(now)
+        return True
+
     def _change(self, rows: DataFrame, touching: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], number: int | None, source: str) -> bool:
         now = self.manifest()
         if number is not None and number <= now["batches"].get(source, -1):
@@ -83,11 +103,7 @@ class KeyedTable:
                 now["folders"].pop(str(b), None)
                 if name in there:  # a bucket whose rows all went has no folder
                     now["folders"][str(b)] = f"{folder}/{name}"
-        if number is not None:
-            now["batches"][source] = number
-        now["version"] += 1
-        self._swap(now)
-        return True
+        return self._counted(now, number, source)
 
     def _swap(self, manifest: dict) -> None:
         temporary = self._hadoop(f"{self.path}/manifests/{uuid.uuid4().hex}.tmp")

@@ -148,7 +148,7 @@ def drop_stored(txn: DataFrame, stored: KeyedTable, log: str, source: str) -> No
         repeats = F.explode(F.sequence(F.lit(1), F.when(F.col("earlier").isNull(), F.col("n") - 1).otherwise(F.col("n"))))
         again = met.where("earlier IS NOT NULL OR n > 1").withColumn("nth", repeats).select("fingerprint", F.coalesce("earlier", "case_id").alias("case_id"), "nth")
         again.write.mode("overwrite").parquet(f"{log}/{source}-{number:06d}.parquet")  # a replayed batch writes the same file
-        stored.upsert(met.where("earlier IS NULL").select("fingerprint", "case_id", "transaction_id", "ts"), ["ts", "transaction_id"], number, source)
+        stored.append(met.where("earlier IS NULL").select("fingerprint", "case_id", "transaction_id", "ts"), number, source)
 
     run_each(txn, "dedup", each)
 

@@ -457,6 +457,18 @@ def test_duplicates_of_an_earlier_run_are_logged(spark, tmp_path):
     assert {x["fingerprint"]: x["case_id"] for x in stored.read().collect()} == {"f1": "CASE-t1", "f2": "CASE-t3", "f3": "CASE-t4"}
 
 
+def test_new_keys_are_appended(spark, tmp_path):
+    """Appended rows leave the folders that are there as they are; a later upsert sees all of them; a replayed batch changes nothing."""
+    table = keyed_table.KeyedTable(spark, f"file://{tmp_path}/a", "k long, v string, at long", "k", buckets=2)
+    make = lambda *rows: spark.createDataFrame(list(rows), "k long, v string, at long")
+    assert table.append(make(*((i, "a", 1) for i in range(20))), 0, "s")
+    before = {p for x in table.manifest()["folders"].values() for p in x}
+    assert table.append(make(*((i, "b", 1) for i in range(20, 40))), 1, "s") and not table.append(make((99, "z", 1)), 1, "s")
+    assert before < {p for x in table.manifest()["folders"].values() for p in x}
+    table.upsert(make((3, "c", 2), (30, "c", 2)), ["at"], 2, "s")
+    assert {x["k"]: x["v"] for x in table.read().collect()} == {i: "c" if i in (3, 30) else "a" if i < 20 else "b" for i in range(40)}
+
+
 def test_isolation_forest(spark):
     """Far rows score highest; every tree has a whole sample where there are enough rows; null, NaN and infinite values count as 0."""
     r = np.random.default_rng(3)
