@@ -115,20 +115,31 @@ def node_embeddings(spark, sf_dir):
     return ml.node_embeddings(pairs)
 
 
-def event_files(spark, sf_dir, parts: int = 4) -> str:
-    """The events as several sets of files, written one after the other in time order: streams take older files first."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/streams/events-{uuid.uuid4().hex}"
+def event_sets(spark, sf_dir, path: str, parts: int = 4):
+    """Write the events to path as several sets of files in time order, a set with each step of this iterator. A set may be any number of files; times
+    overlap among the files of a set only."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     day = F.datediff("ts", F.lit("1970-01-01"))
     low, high = events.agg(F.min(day), F.max(day)).first()
     if low is None:
-        events.write.parquet(path)
-        return path
+        yield events.write.parquet(path)
+        return
     step = -(-(high - low + 1) // parts)
     for start in range(low, high + 1, step):
-        events.where(day.between(start, start + step - 1)).write.mode("append").parquet(path)
+        yield events.where(day.between(start, start + step - 1)).write.mode("append").parquet(path)
+
+
+def new_folder(spark) -> str:
+    import uuid
+
+    return f"{shared_folder(spark)}/streams/events-{uuid.uuid4().hex}"
+
+
+def event_files(spark, sf_dir) -> str:
+    """All sets, written one after the other: streams take older files first."""
+    path = new_folder(spark)
+    for _ in event_sets(spark, sf_dir, path):
+        pass
     return path
 
 
@@ -170,9 +181,13 @@ def stream_triage(spark, sf_dir):
 
 @query(f"WITH {v.TXN} SELECT transaction_id, count(*) OVER (PARTITION BY account_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS count_24h, count(*) OVER (PARTITION BY account_id, counterparty ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS known FROM txn")
 def stream_velocity(spark, sf_dir):
-    """State per account in RocksDB."""
+    """State per account in RocksDB. Sets of files arrive in time order, and a batch takes a whole set: what came before a row is in its batch or in the state."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return streams.run_available(streams.velocity(stream(spark, sf_dir)), "velocity").select("transaction_id", "count_24h", "known")
+    path = new_folder(spark)
+    sets = event_sets(spark, sf_dir, path)
+    next(sets)
+    txn = streams.as_transactions(streams.event_stream(spark, path, per_trigger=None))
+    return streams.run_available(streams.velocity(txn), "velocity", later=sets).select("transaction_id", "count_24h", "known")
 
 
 @query("SELECT 'A' || user_id AS account_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) / 100.0 AS total FROM events GROUP BY ALL")

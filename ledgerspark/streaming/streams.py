@@ -19,10 +19,11 @@ from ..sources.keyed_table import KeyedTable
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """New parquet files under path, a bounded number per trigger; the checkpoint of the query keeps the offset."""
+def event_stream(spark: SparkSession, path: str, per_trigger: int | None = 1) -> DataFrame:
+    """New parquet files under path, a bounded number per trigger, or all that there are; the checkpoint of the query keeps the offset."""
     naive = StructType.fromDDL(EVENTS.replace("ts timestamp", "ts timestamp_ntz"))
-    raw = spark.readStream.schema(naive).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    reader = spark.readStream.schema(naive)
+    raw = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -97,8 +98,9 @@ def triaged(txn: DataFrame, profile: DataFrame) -> DataFrame:
     return df.select("transaction_id", "account_id", "ts", score.alias("triage"), decision.alias("decision"), route(decision, score * 100).alias("route"))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
-    """Run a stream over all that is there and read what it wrote; each(batch, number, path) may replace the plain append."""
+def run_available(df: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, later: Iterator = ()) -> DataFrame:
+    """Run a stream over all that is there and read what it wrote; each(batch, number, path) may replace the plain append. With each step of ``later``
+    more files arrive, and the stream goes on from its checkpoint."""
     spark = df.sparkSession
     base = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     out = f"{base}/out"
@@ -107,7 +109,10 @@ def run_available(df: DataFrame, name: str, mode: str = "append", each: Callable
             batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:06d}.parquet")
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    query.foreachBatch(lambda batch, number: each(batch, number, out)).start().awaitTermination()
+    query = query.foreachBatch(lambda batch, number: each(batch, number, out))
+    query.start().awaitTermination()
+    for _ in later:
+        query.start().awaitTermination()
     schema = df.schema.add("batch", "integer")
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 

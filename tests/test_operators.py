@@ -7,9 +7,11 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from conftest import SMALL, same_rows
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, ml, network_metrics, order_statistics, rules, scoring, traversal
+from ledgerspark.plans import model_queries
 from ledgerspark.sources import keyed_table
 from ledgerspark.sources.tables import with_amounts
 from ledgerspark.streaming import streams
@@ -512,6 +514,14 @@ def test_velocities_of_one_moment_don_t_know_each_other(spark, tmp_path):
     assert {tuple(r) for r in found.select("transaction_id", "count_24h", "known").collect()} == {("t0", 0, False), ("t1", 0, False), ("t2", 2, True), ("t3", 2, False), ("t4", 0, True)}
 
 
+def test_velocities_where_files_overlap_in_time(spark, tmp_path):
+    """Events in several files of the same times, as a large table is written: the rows are those of the one file."""
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    for i in range(3):
+        events.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/events.parquet")
+    same_rows(model_queries.stream_velocity(spark, f"file://{tmp_path}"), model_queries.ORACLE["stream_velocity"])
+
+
 def test_cases_of_one_start_and_copies_of_payments(spark):
     """Cases of one account and time have the same accounts; every payment of a case is listed once, also where both ends were left."""
     e = edges(spark, [("a", "b", 10, 1), ("a", "b", 10, 1), ("b", "c", 10, 2), ("c", "a", 10, 3), ("c", "c", 1, 3), ("c", "d", 1, 99)])
