@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from bisect import insort
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -16,6 +18,7 @@ from ..operators.scoring import route, triage_decision, triage_score
 from ..sources.durable import shared_folder, written
 from ..sources.keyed_table import KeyedTable
 
+DAY_US = 86_400_000_000
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -45,49 +48,77 @@ def windowed(txn: DataFrame, length: str, slide: str | None = None, delay: str =
     return counted.select("account_id", F.col("w.start").alias("start"), "n", (F.col("cents") / 100.0).alias("total"))
 
 
+#: Counterparties of an account, or of a bucket of them, whose times are kept in one value.
+IN_ONE = 512
+
+
 class Velocity(StatefulProcessor):
-    """Per account: times of the last day (expiring), and a map of the counterparties seen and since when, of which a batch reads only its own."""
+    """Per account: the times of the last day, and since when each counterparty is known. Values are JSON, as each call to the state costs far more than what
+    is in it. An account of up to ``IN_ONE`` counterparties is one value; beyond that they lie in 2^bits buckets, of which a batch reads and
+    writes only those of its own counterparties, and whose number doubles as they fill."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType([StructField("us", LongType())]))
-        self.seen = handle.getMapState("seen", StructType([StructField("counterparty", StringType())]), StructType([StructField("us", LongType())]))
+        value = StructType([StructField("json", StringType())])
+        self.account = handle.getValueState("account", value)  # times, known (by counterparty, or null), bits, total
+        self.buckets = handle.getMapState("buckets", StructType([StructField("bucket", LongType())]), value)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
-
-        day = 86_400_000_000
-        pdf = pd.concat(list(rows)).sort_values(["us", "transaction_id"])
-        times = sorted(x[0] for x in self.times.get()) if self.times.exists() else []
+        rows = sorted(((r["us"], r["transaction_id"], r["counterparty"]) for r in rows), key=lambda r: r[0])
+        held = self.account.get()
+        times, known, bits, total = json.loads(held[0]) if held else ([], [], 0, 0)
+        if known is None:
+            known = self._read({_bucket(other, bits) for _, _, other in rows})
+        since = dict(known)
+        before, out = len(since), []
         first = equal = 0  # times[first:] are of the last day, times[equal:] are not before this row
-        counts, known = [], []
-        since: dict[str, int | None] = {}  # of the batch's counterparties: each is looked up once
-        for us, other in zip(pdf["us"].tolist(), pdf["counterparty"], strict=True):
-            while first < len(times) and times[first] < us - day:
+        for us, transaction_id, other in rows:
+            while first < len(times) and times[first] < us - DAY_US:
                 first += 1
             equal = max(equal, first)
             while equal < len(times) and times[equal] < us:
                 equal += 1
-            counts.append(equal - first)
-            if other not in since:
-                since[other] = self.seen.getValue((other,))[0] if self.seen.containsKey((other,)) else None
-            seen = since[other]
-            known.append(seen is not None and seen < us)  # rows of one moment don't know each other
+            seen = since.get(other)
+            # Rows of one moment don't know each other.
+            out.append(Row(transaction_id=transaction_id, account_id=key[0], count_24h=equal - first, known=seen is not None and seen < us))
             if seen is None or us < seen:
                 since[other] = us
-                self.seen.updateValue((other,), (us,))
             insort(times, us)
-        self.times.put([(t,) for t in times[first:]])
-        yield pd.DataFrame({"transaction_id": pdf["transaction_id"], "account_id": key[0], "count_24h": counts, "known": known})
+        self._write(times[first:], since, bits, total + len(since) - before)
+        yield from out
+
+    def _read(self, buckets) -> list:
+        held = [self.buckets.getValue((b,)) for b in buckets]
+        return [x for h in held if h for x in json.loads(h[0])]
+
+    def _write(self, times: list, since: dict, bits: int, total: int) -> None:
+        whole, parts = total <= IN_ONE, {}
+        if total > IN_ONE << bits:  # dealt out anew, and every bucket is written, also an empty one
+            if bits:
+                since = dict(self._read(range(1 << bits))) | since
+            while total > IN_ONE << bits:
+                bits += 1
+            parts = {b: [] for b in range(1 << bits)}
+        if not whole:
+            for other, us in since.items():
+                parts.setdefault(_bucket(other, bits), []).append((other, us))
+            for b, part in parts.items():
+                self.buckets.updateValue((b,), (json.dumps(part),))
+        self.account.update((json.dumps((times, list(since.items()) if whole else None, bits, total)),))
 
     def close(self) -> None:
         pass
 
 
+def _bucket(counterparty: str | None, bits: int) -> int:
+    return crc32((counterparty or "").encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
+
+
 def velocity(txn: DataFrame) -> DataFrame:
-    """transaction_id, account_id, count_24h and known (whether the counterparty was seen before). Needs the RocksDB state store."""
+    """transaction_id, account_id, count_24h and known (whether the counterparty was seen before). Needs the RocksDB state store. Rows of a batch may come in any
+    order; no batch may bring rows from before an earlier batch's."""
     rows = txn.select("transaction_id", "account_id", "counterparty", F.unix_micros("ts").alias("us"))
     schema = "transaction_id string, account_id string, count_24h long, known boolean"
-    return rows.groupBy("account_id").transformWithStateInPandas(Velocity(), schema, outputMode="Append", timeMode="None")
+    return rows.groupBy("account_id").transformWithState(Velocity(), schema, outputMode="Append", timeMode="None")
 
 
 def triaged(txn: DataFrame, profile: DataFrame) -> DataFrame:

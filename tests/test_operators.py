@@ -522,6 +522,47 @@ def test_velocities_where_files_overlap_in_time(spark, tmp_path):
     same_rows(model_queries.stream_velocity(spark, f"file://{tmp_path}"), model_queries.ORACLE["stream_velocity"])
 
 
+class Held:
+    """A value or a map of state, that counts how often it is asked."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, {}
+
+    def getValue(self, key=()):
+        self.calls.append("get")
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls.append("put")
+        self.held[key] = value
+
+    get = getValue
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+@pytest.mark.parametrize("others", [40, 400, 6000])
+def test_velocity_asks_its_state_little(others):
+    """Batches of one account against loops. Up to 512 counterparties a batch reads one value and writes one; beyond, the buckets of its own."""
+    r, calls, rows = random.Random(others), [], []
+    handle = type("Handle", (), {"getValueState": lambda self, *_: Held(calls), "getMapState": lambda self, *_: Held(calls)})()
+    state = streams.Velocity()
+    state.init(handle)
+    for batch in range(5):
+        new = [{"us": (batch * 48 + r.randrange(48)) * HOUR, "transaction_id": f"{batch}-{i}", "counterparty": r.choice([None, *map(str, range(others))])} for i in range(others // 2)]
+        rows += new
+        calls.clear()
+        got = {x["transaction_id"]: (x["count_24h"], x["known"]) for x in state.handleInputRows(("a",), iter(new), None)}
+        assert len(calls) <= (2 if others <= 512 else len(new) // 4)
+        first, times = {}, sorted(x["us"] for x in rows)
+        for x in rows:
+            first[x["counterparty"]] = min(x["us"], first.get(x["counterparty"], x["us"]))
+        for x in new:
+            count = sum(x["us"] - 24 * HOUR <= t < x["us"] for t in times)
+            assert got[x["transaction_id"]] == (count, first[x["counterparty"]] < x["us"])
+
+
 def test_cases_of_one_start_and_copies_of_payments(spark):
     """Cases of one account and time have the same accounts; every payment of a case is listed once, also where both ends were left."""
     e = edges(spark, [("a", "b", 10, 1), ("a", "b", 10, 1), ("b", "c", 10, 2), ("c", "a", 10, 3), ("c", "c", 1, 3), ("c", "d", 1, 99)])
