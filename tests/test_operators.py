@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerspark.operators import features, flows, graph, ingest, joins, metrics, ml, network_metrics, order_statistics, rules, scoring, traversal
 from ledgerspark.plans import model_queries
 from ledgerspark.sources import keyed_table
+from ledgerspark.sources.durable import written
 from ledgerspark.sources.tables import with_amounts
 from ledgerspark.streaming import streams
 
@@ -574,6 +575,28 @@ def test_cases_of_one_start_and_copies_of_payments(spark):
     assert {r["case_id"]: r["mode"] for r in found.cases.collect()} == {"x": "HUB_AWARE", "y": "HUB_AWARE", "z": "FULL"}
 
 
+def test_cases_near_in_time_are_traversed_together(spark, monkeypatch):
+    """What the levels write is rows of blocks of cases: 200 cases of 200 accounts, some minutes apart, in a ring of all of them. Against loops."""
+    at = [HOUR * 100 + i * 60_000_000 for i in range(200)]
+    rows = [(f"n{i:03d}", f"n{(i + 1) % 200:03d}", HOUR * 100 + (i % 7 - 3) * 24 * HOUR + i, f"t{i}") for i in range(200)] + [("n000", "n001", None, "t"), (None, "n001", 5, "u")]
+    cases = [(f"c{i}", f"n{i:03d}", at[i]) for i in range(200)] + [("none", "n000", None)]
+    counts = []
+    monkeypatch.setattr(traversal, "written", lambda df, name: counts.append((name, df.count())) or written(df, name))
+    e = spark.createDataFrame(rows, "src string, dst string, us long, transaction_id string")
+    found = traversal.bounded_traversal(e, spark.createDataFrame(cases, "case_id string, node string, at_us long"), spark.createDataFrame([("n003",)], "node string"))
+    levels, touched = {}, {}
+    for x in found.nodes.collect():
+        levels.setdefault(x["case_id"], {})[x["node"]] = x["level"]
+    for x in found.edges.collect():
+        touched.setdefault(x["case_id"], set()).add(x["transaction_id"])
+    for case, seed, us in cases[:-1]:
+        want = brute_traversal(rows[:200], seed, us, {"n003"})
+        assert (levels[case], touched.get(case, set())) == want[:2]
+    assert levels["none"] == {"n000": 0} and "none" not in touched
+    assert sum(n for name, n in counts if name == "ways") <= 200 * 5  # payments meet 4 or 5 blocks, not 200 cases
+    assert {name for name, _ in counts} >= {"ways", "front"}
+
+
 def test_layer_paths_are_listed(spark):
     """Against loops: every combination of four accounts, with its number of paths and first payment."""
     r = random.Random(3)
