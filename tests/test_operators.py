@@ -597,6 +597,13 @@ def test_cases_near_in_time_are_traversed_together(spark, monkeypatch):
     assert {name for name, _ in counts} >= {"ways", "front"}
 
 
+def test_a_large_case_is_whole(spark):
+    """2,500 accounts that a case's account pays: all of them, and all payments, as in the SQL."""
+    e = spark.range(2500).selectExpr("'a' AS src", "concat('b', id) AS dst", "id AS us", "concat('t', id) AS transaction_id")
+    found = traversal.bounded_traversal(e, spark.createDataFrame([("x", "a", 0)], "case_id string, node string, at_us long"), spark.createDataFrame([], "node string"))
+    assert (found.nodes.count(), found.edges.count(), found.cases.first()["mode"]) == (2501, 2500, "FULL")
+
+
 def test_layer_paths_are_listed(spark):
     """Against loops: every combination of four accounts, with its number of paths and first payment."""
     r = random.Random(3)
