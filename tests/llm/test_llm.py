@@ -319,6 +319,43 @@ def test_passages_with_repeated_lines_are_verified():
     assert [(a, b + 4, c, d + 4) for a, b, c, d, _ in found] == [(7, 67, 65, 125)]
 
 
+def test_passages_inside_long_chains_are_found():
+    """A passage with an edit in each 40 words, and on both sides of it 20 scraps of 7 equal words: it is neither a whole chain nor at an end of one."""
+    count = iter(range(10**6))
+    fresh = lambda n: [f"f{next(count)}" for _ in range(n)]
+    equal = lambda n: (x := fresh(n), x)
+    other = lambda n: (fresh(n), fresh(n))
+    scraps = lambda: [y for _ in range(20) for y in (equal(7), other(5))]
+    passage = [y for _ in range(6) for y in (equal(39), other(1))] + [equal(39)]
+    parts = [*scraps(), *passage, other(5), *scraps()]
+    own, there = (sequence([w for part in parts for w in part[side]]) for side in (0, 1))
+    start, stop = (sum(len(p[0]) for p in parts[:n]) for n in (40, 40 + len(passage)))
+    found = compact_windows.matched_stretches(own, there)
+    assert any(a <= start and stop - 4 <= b for a, b, *_ in found) and all(similarity >= 0.8 for *_, similarity in found)
+
+
+def test_parts_of_chains_against_brute_force():
+    r = random.Random(8)
+    for words in (4, 9, 300):
+        a = [r.randrange(words) for _ in range(400)]
+        own, other = (np.array([x if r.random() > 0.05 else r.randrange(words) for x in a], np.uint64) for _ in range(2))
+        start = np.arange(0, 390, 10) + np.array([r.randrange(3) for _ in range(39)])
+        stop, diagonal = start + 5, np.array([r.randrange(4) for _ in range(39)])
+
+        def similar(x, y):
+            mine, its = set(own[start[x] : stop[y]].tolist()), set(other[start[x] + diagonal[x] : stop[y] + diagonal[y]].tolist())
+            return stop[y] - start[x] >= compact_windows.MIN_SHINGLES and len(mine & its) >= 0.8 * len(mine | its)
+
+        want, todo = [], [(0, 39)]
+        while todo:
+            low, high = todo.pop()
+            best = max(((y - x, -x, y) for x in range(low, high) for y in range(x, high) if similar(x, y)), default=None)
+            if best:
+                want.append((-best[1], best[2]))
+                todo += [(low, -best[1]), (best[2] + 1, high)]
+        assert compact_windows._similar_parts(own, other, start, stop, diagonal) == want
+
+
 def test_runs_of_equal_shingles_are_passages():
     r = random.Random(12)
     for _ in range(60):
