@@ -210,6 +210,25 @@ def prose(r, n):
     return [f"{r.choice('bcdfg')}{r.randint(0, 4000)}" for _ in range(n)]
 
 
+def test_windows_reach_as_far_as_their_minimum(docs):
+    """Against a loop, on a text of 3,000 words; reaches of texts beyond 32,768 words are packed wider, never narrower."""
+    words = prose(random.Random(5), 3000)
+    found = {(r["key"], r["place"] >> 32): (r["place"] >> 16 & 0xFFFF, r["place"] & 0xFFFF) for r in compact_windows.windows(docs([(1, " ".join(words))])).collect()}
+    whole = sequence(words)
+    for i, (width, least) in enumerate(compact_windows.SIGNATURES):
+        v = [max(int(x), 1) for x in shingles.run_hashes(whole, width)]
+        want = {}
+        for c, x in enumerate(v):
+            left = next((c - j - 1 for j in range(c - 1, -1, -1) if v[j] <= x), c)
+            right = next((j - c - 1 for j in range(c + 1, len(v)) if v[j] < x), len(v) - 1 - c)
+            if left + right + 1 >= least:
+                want[int(np.uint64(x & ~1 | i).view(np.int64)), c] = left, right
+        assert {k: x for k, x in found.items() if k[0] & 1 == i} == want and max(map(max, want.values())) > 500
+    reach = np.array([0, 127, 32_767, 32_768, 32_769, 98_304, 98_305, 1 << 30])
+    packed = compact_windows._packed(reach)
+    assert (compact_windows._unpacked(packed)[:4] == reach[:4]).all() and (compact_windows._unpacked(packed) >= reach).all() and packed.max() < 1 << 16
+
+
 def test_passages_are_found_and_cut(docs, odd):
     r = random.Random(4)
     shared = prose(r, 60)
